@@ -85,7 +85,7 @@ class _Powers:
 _powers = _Powers()
 
 
-def _range_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def range_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Hash of values[start:end] for each range, alike wherever the range stands."""
     up, down = _powers.get(len(values) + 1)
     sums = np.zeros(len(values) + 1, _U)
@@ -132,7 +132,7 @@ def words_of(data: np.ndarray, offsets: np.ndarray, lower: bool) -> tuple[np.nda
     after = np.empty(n, bool)
     after[-1], after[:-1] = True, ~solid[1:]
     ends = np.flatnonzero(solid & (after | edge[1:])) + 1
-    return _range_hash(_TABLE[data], starts, ends), starts, ends, np.searchsorted(starts, offsets)
+    return range_hashes(_TABLE[data], starts, ends), starts, ends, np.searchsorted(starts, offsets)
 
 
 def window_hashes(words: np.ndarray, k: int) -> np.ndarray:
@@ -140,7 +140,7 @@ def window_hashes(words: np.ndarray, k: int) -> np.ndarray:
     if len(words) < k:
         return np.zeros(0, _U)
     starts = np.arange(len(words) - k + 1)
-    return _range_hash(words, starts, starts + k)
+    return range_hashes(words, starts, starts + k)
 
 
 def rows(schema: pa.Schema, columns: Iterable) -> pa.RecordBatch:
