@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docloom.llm import decontaminate, near_dup, packing, secrets, sharding, substrings, token_counts
+from docloom.llm import decontaminate, embeddings, line_dedup, near_dup, packing, secrets, sharding, substrings, token_counts
 from docloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -42,10 +42,18 @@ def op7_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_report(table(spark, sf_dir, "documents"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_token_counts, op3_near_duplicates, op4_decontamination, op5_secrets, op6_repeated_spans, op7_shards, op9_packing)}
+def op10_embedding_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_token_counts, op3_near_duplicates, op4_decontamination, op5_secrets, op6_repeated_spans, op7_shards, op8_line_dedup, op9_packing, op10_embedding_near_dup)}
 
 SQL: dict[str, str] = {}
