@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import binary_cells, chunks, components, mix, text_buffers, window_hashes, words_of, written
+from docloom.llm.common import binary_cells, chunks, components, mix, text_buffers, window_hashes, with_row_key, words_of, written
 
 _U = np.uint64
 SKETCH_WORDS = 4  # of 64 bits
@@ -136,16 +136,8 @@ def _confirm(pairs: DataFrame, texts: DataFrame, p: Params) -> DataFrame:
     return left.join(full.toDF("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(confirm, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, p: Params | None = None) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of each row of docs (doc_id, text).
-
-    A null text, or one without words, has the empty set and links with nothing. Rows
-    that share a doc_id count as one document with the links of all of them. A row with
-    a null doc_id links with nothing: component_id is null and kept is true. Ties go to
-    the smaller id; other columns are not read; an empty table gives no rows.
-    """
-    p = p or Params()
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+def _placed(docs: DataFrame, p: Params) -> DataFrame:
+    """docs without text, with n_shingles and component_id; doc_id must be a long."""
     signed = written(signatures(docs, p), "signatures")
     usable = signed.filter("n_shingles > 0 and doc_id is not null")
     key = ["class_hi", "class_lo"]
@@ -178,4 +170,27 @@ def near_duplicates(docs: DataFrame, p: Params | None = None) -> DataFrame:
     of_class = reps.select(*key, "rep").join(final.withColumnRenamed("node", "rep"), "rep", "left").select(*key, F.coalesce("component", "rep").alias("component"))
     out = signed.join(of_class, key, "left")
     component = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("component")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id")))
+    return out.withColumn("component_id", component).drop("component", "bands", *key, *[f"s{w}" for w in range(SKETCH_WORDS)])
+
+
+def near_duplicates(docs: DataFrame, p: Params | None = None) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept of each row of docs (doc_id, text).
+
+    A null text, or one without words, has the empty set and links with nothing. Rows
+    that share a doc_id count as one document with the links of all of them. A row with
+    a null doc_id links with nothing: component_id is null and kept is true. Ties go to
+    the smaller id; other columns are not read; an empty table gives no rows.
+    """
+    placed = _placed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), p or Params())
+    return placed.select("doc_id", "n_shingles", "component_id", (F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id"))).alias("kept"))
+
+
+def keep_one(docs: DataFrame, p: Params | None = None) -> DataFrame:
+    """The rows of docs, with all their columns, of which one stays of each component:
+    the first row of the smallest doc_id. Rows with a null doc_id stay."""
+    keyed = with_row_key(docs)
+    placed = _placed(keyed.select("_row", F.col("doc_id").cast("long").alias("doc_id"), "text"), p or Params())
+    placed = written(placed.filter("doc_id is not null").select("_row", "doc_id", "component_id"), "near-components")
+    first = placed.filter("doc_id = component_id").groupBy("component_id").agg(F.min("_row").alias("_first"))
+    gone = placed.join(first, "component_id").filter("_row <> _first").select("_row")
+    return keyed.join(gone, "_row", "left_anti").drop("_row")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docloom.llm import decontaminate, embeddings, line_dedup, near_dup, packing, secrets, sharding, substrings, token_counts
+from docloom.llm import decontaminate, embeddings, line_dedup, near_dup, packing, quality, secrets, sharding, substrings, token_counts
 from docloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,6 +22,10 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -54,6 +58,6 @@ def op10_embedding_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_token_counts, op3_near_duplicates, op4_decontamination, op5_secrets, op6_repeated_spans, op7_shards, op8_line_dedup, op9_packing, op10_embedding_near_dup)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_token_counts, op2_quality, op3_near_duplicates, op4_decontamination, op5_secrets, op6_repeated_spans, op7_shards, op8_line_dedup, op9_packing, op10_embedding_near_dup)}
 
 SQL: dict[str, str] = {}
