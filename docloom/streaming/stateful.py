@@ -21,9 +21,6 @@ def rate_limited(requests: DataFrame, most: int = config.RATE_LIMIT, seconds: in
     `most` allowed requests per client in any window; refused ones don't count."""
 
     def step(key: tuple, batches: Iterable[pd.DataFrame], state: Any) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
         kept = list(state.get[0]) if state.exists else []
         rows = pd.concat(list(batches)).sort_values(["ts", "request_id"], ignore_index=True)
         at = rows["ts"].astype("datetime64[us]").astype("int64").to_numpy()
@@ -34,12 +31,11 @@ def rate_limited(requests: DataFrame, most: int = config.RATE_LIMIT, seconds: in
             if allowed[-1]:
                 kept.append(int(t))
         state.update((kept,))
-        state.setTimeoutDuration(2000 * seconds)
         yield rows.assign(client=key[0], allowed=allowed)[["client", "ts", "request_id", "allowed"]]
 
     kind = requests.schema["client"].dataType.simpleString()
     rid = requests.schema["request_id"].dataType.simpleString()
-    return requests.groupBy("client").applyInPandasWithState(step, f"client {kind}, ts timestamp, request_id {rid}, allowed boolean", "times array<long>", "append", "ProcessingTimeTimeout")
+    return requests.groupBy("client").applyInPandasWithState(step, f"client {kind}, ts timestamp, request_id {rid}, allowed boolean", "times array<long>", "append", "NoTimeout")
 
 
 def cached(requests: DataFrame, least: float = config.CACHE_SIMILARITY, most: int = config.CACHE_SIZE, ttl_seconds: int = config.CACHE_TTL_SECONDS) -> DataFrame:
