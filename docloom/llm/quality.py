@@ -170,8 +170,9 @@ def train(docs: DataFrame, labels: DataFrame) -> Model | None:
     """A model from labelled rows whose crc32(doc_id) mod 5 is not 0; None without any."""
     known = labels.select("doc_id", F.col("quality").cast("int").alias("quality")).filter("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.max("quality").alias("quality"))
     known = known.filter(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0)
-    rows = known.join(docs.select("doc_id", "text").filter("text is not null"), "doc_id")
-    rows = rows.filter(F.size(F.split("text", "\n")) <= TRAIN_LINES).orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_DOCS)
+    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_DOCS)
+    rows = docs.select("doc_id", "text").filter("text is not null").join(F.broadcast(chosen), "doc_id")  # TRAIN_DOCS rows at most
+    rows = rows.filter(F.size(F.split("text", "\n")) <= TRAIN_LINES).dropDuplicates(["doc_id"])
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
