@@ -60,4 +60,21 @@ def op10_embedding_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_token_counts, op2_quality, op3_near_duplicates, op4_decontamination, op5_secrets, op6_repeated_spans, op7_shards, op8_line_dedup, op9_packing, op10_embedding_near_dup)}
 
-SQL: dict[str, str] = {}
+_WORDS = r"list_filter(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
+
+SQL: dict[str, str] = {
+    "op4_decontamination": f"""WITH b AS (SELECT item_id, {_WORDS} AS w FROM benchmark), n AS (SELECT item_id, w, least(13, len(w)) AS m FROM b WHERE len(w) > 0),
+g AS (SELECT DISTINCT item_id, m, array_to_string(w[i : i + m - 1], ' ') AS gram FROM (SELECT item_id, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM n)),
+d AS (SELECT row_number() OVER () AS k, doc_id, {_WORDS} AS w FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents)),
+a AS (SELECT k, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM d, (SELECT DISTINCT m FROM g) WHERE len(w) >= m),
+h AS (SELECT k, i, a.m, item_id FROM a JOIN g ON g.m = a.m AND g.gram = array_to_string(a.w[i : i + a.m - 1], ' ')),
+c AS (SELECT k, count(DISTINCT p) AS n_hit FROM (SELECT k, unnest(range(i, i + m)) AS p FROM h) GROUP BY 1),
+t AS (SELECT k, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT DISTINCT k, item_id::VARCHAR AS id FROM h) GROUP BY 1)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN c USING (k) LEFT JOIN t USING (k)""",
+    "op6_repeated_spans": r"""WITH d AS (SELECT row_number() OVER () AS k, doc_id, list_filter(string_split_regex(coalesce(text, ''), '[ \t-\r]+'), lambda x: x <> '') AS w FROM documents),
+v AS (SELECT k, doc_id, i, array_to_string(w[i : i + 49], ' ') AS g FROM (SELECT k, doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM d WHERE len(w) >= 50)),
+f AS (SELECT g, min(doc_id) AS source FROM v GROUP BY 1), r AS (SELECT k, i FROM v JOIN f USING (g) WHERE doc_id > source),
+p AS (SELECT k, list_distinct(flatten(list(range(i, i + 50)))) AS gone FROM r GROUP BY 1)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(len(gone), 0)::BIGINT AS n_removed, sha256(array_to_string(CASE WHEN gone IS NULL THEN w ELSE list_filter(w, lambda x, i: NOT list_contains(gone, i)) END, ' ')) AS kept_sha256 FROM d LEFT JOIN p USING (k)""",
+}
