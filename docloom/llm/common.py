@@ -46,9 +46,28 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/docloom/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    spark.sparkContext._jvm.System.gc()  # lets the context cleaner take the shuffle files that made it
     return spark.read.schema(df.schema).parquet(path)
 
 
+def forget(*tables: DataFrame) -> None:
+    """Deletes tables that written() made and nothing will read again."""
+    for df in tables:
+        jvm = df.sparkSession.sparkContext._jvm
+        for file in df.inputFiles()[:1]:
+            folder = jvm.org.apache.hadoop.fs.Path(file).getParent()
+            if "/docloom/" in str(folder):
+                folder.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """name, or with underscores added until no column of df is called so."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def with_row_key(df: DataFrame, name: str = "_row") -> DataFrame:
     """A key for each input row; repeated rows stay apart. It depends only on the
     scan's partition and position, so a task that runs again gives the same keys."""

@@ -5,12 +5,17 @@
    samples that fall on them. The population count of two sketches' XOR grows with the
    number of differing samples and is most precise where similarity is high.
 2. Documents of equal sets are one class; only class representatives go on.
-3. In each band bucket every representative meets the bucket's smallest one. Of the
+3. For representatives that share a band bucket with another, the shingles that no other
+   such representative holds are counted. They bound a set's overlap with any other, so
+   that a much edited copy is seen to link with nothing before it meets a whole group.
+4. In each bucket every representative meets the bucket's leader, the one of fewest
+   shingles of its own, which stands nearest to what the others were made from. Of the
    leaders so met it keeps the one whose sketch is nearest, and that pair is confirmed
    on the full sets. Connected components follow.
-4. Buckets that still span several components give their pairs across components, again
-   past the sketches, to be confirmed too. So no candidate pair between components is
-   left out, and no pairs within a component are ever listed.
+5. Where buckets still span several components, what they connect is one group. Groups
+   are split into blocks that meet pair by pair; a task compares its rows across
+   components, sketches first and then full sets, and returns edges of a spanning
+   forest, never its pairs. So no candidate pair between components is left out.
 """
 
 from __future__ import annotations
@@ -18,14 +23,17 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import binary_cells, chunks, components, mix, text_buffers, window_hashes, with_row_key, words_of, written
+from docloom.llm.common import chunks, components, free_name, mix, text_buffers, window_hashes, with_row_key, words_of, written
 
 _U = np.uint64
 SKETCH_WORDS = 4  # of 64 bits
+#: Rows, and shingles, of a block that a task compares with another.
+BLOCK_ROWS, BLOCK_SHINGLES = 192, 2_000_000
 
 
 class Params:
@@ -33,7 +41,7 @@ class Params:
     band with probability 4e-7. most_bits: differing sketch bits at which a candidate
     is let go; a pair of 0.85 exceeds it with probability under 1e-6."""
 
-    def __init__(self, shingle: int = 5, num: int = 85, den: int = 100, bands: int = 20, rows: int = 4, most_bits: int = 64) -> None:
+    def __init__(self, shingle: int = 5, num: int = 85, den: int = 100, bands: int = 20, rows: int = 4, most_bits: int = 58) -> None:
         self.shingle, self.num, self.den, self.bands, self.rows, self.most_bits = shingle, num, den, bands, rows, most_bits
 
 
@@ -106,36 +114,90 @@ def _bits(a: str, b: str) -> F.Column:
 
 
 def _near(a: str, b: str, p: Params) -> F.Column:
-    """Sizes and sketches allow the similarity."""
-    x, y = F.col(f"{a}.n_shingles"), F.col(f"{b}.n_shingles")
-    return (x * p.den >= y * p.num) & (y * p.den >= x * p.num) & (_bits(a, b) <= p.most_bits)
+    """Sizes, shingles of their own and sketches allow the similarity. What one set has
+    alone is in the union and not in the overlap."""
+    x, y = (F.col(f"{c}.n_shingles") - F.col(f"{c}.own") for c in (a, b))
+    overlap = F.least(x, y)
+    union = F.col(f"{a}.n_shingles") + F.col(f"{b}.n_shingles") - overlap
+    return (overlap * p.den >= union * p.num) & (_bits(a, b) <= p.most_bits)
 
 
-def _confirm(pairs: DataFrame, texts: DataFrame, p: Params) -> DataFrame:
-    """Those of the pairs (a, b) whose full sets have the similarity. texts: (rep, text)."""
+def _sets(texts: DataFrame, wanted: DataFrame, p: Params) -> DataFrame:
+    """rep, shingles (array of longs) of the wanted ones of texts (rep, text)."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, found in shingle_sets(batch.column("text"), p.shingle):
-                bounds = np.concatenate(([0], np.cumsum([len(s) for s in found])))
-                yield pa.RecordBatch.from_arrays([batch.column("rep").slice(at, len(found)), binary_cells(np.concatenate(found), bounds)], names=["rep", "shingles"])
+                bounds = np.concatenate(([0], np.cumsum([len(s) for s in found]))).astype(np.int32)
+                cells = pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.concatenate([np.sort(s.view(np.int64)) for s in found])))
+                yield pa.RecordBatch.from_arrays([batch.column("rep").slice(at, len(found)), cells], names=["rep", "shingles"])
+
+    return written(texts.join(wanted, "rep", "left_semi").mapInArrow(sets, "rep long, shingles array<long>"), "shingle-sets")
+
+
+def _confirm(pairs: DataFrame, full: DataFrame, p: Params) -> DataFrame:
+    """Those of the pairs (a, b) whose full sets have the similarity."""
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ok = []
             for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
-                u, v = np.frombuffer(x.as_buffer(), _U), np.frombuffer(y.as_buffer(), _U)
-                at = np.searchsorted(u, v)
-                common = int((u[np.minimum(at, len(u) - 1)] == v).sum())
+                u, v = (c.values.to_numpy() for c in (x, y))
+                common = _overlap(u, v)
                 ok.append(p.den * common >= p.num * (len(u) + len(v) - common))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    wanted = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct()
-    full = written(texts.join(wanted, "rep", "left_semi").mapInArrow(sets, "rep long, shingles binary"), "shingle-sets")
     left = pairs.join(full.toDF("a", "x"), "a")
     return left.join(full.toDF("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(confirm, "a long, b long")
 
 
+def _overlap(u: np.ndarray, v: np.ndarray) -> int:
+    at = np.searchsorted(u, v)
+    return int((u[np.minimum(at, len(u) - 1)] == v).sum())
+
+
+def _block(a: pd.DataFrame, b: pd.DataFrame, same: bool, p: Params) -> pd.DataFrame:
+    """Edges of a spanning forest of the links between components among a and b."""
+    bits = sum(np.bitwise_count(a[f"s{w}"].to_numpy()[:, None].view(_U) ^ b[f"s{w}"].to_numpy()[None, :].view(_U)).astype(np.int16) for w in range(SKETCH_WORDS))
+    na, nb = (x["n_shingles"].to_numpy() for x in (a, b))
+    overlap = np.minimum((na - a["own"].to_numpy())[:, None], (nb - b["own"].to_numpy())[None, :])
+    may = (bits <= p.most_bits) & (overlap * p.den >= (na[:, None] + nb[None, :] - overlap) * p.num) & (a["component"].to_numpy()[:, None] != b["component"].to_numpy()[None, :])
+    if same:
+        may &= np.tri(len(a), k=-1, dtype=bool).T
+    sa, sb = a["shingles"].tolist(), b["shingles"].tolist()
+    ids = np.unique(np.concatenate((a["component"], b["component"])))
+    ca, cb = (np.searchsorted(ids, x["component"].to_numpy()) for x in (a, b))
+    label = np.arange(len(ids))
+    edges = []
+    for i, j in zip(*np.nonzero(may), strict=True):
+        x, y = label[ca[i]], label[cb[j]]
+        if x != y:  # else some links found here already join the two
+            common = _overlap(sa[i], sb[j])
+            if p.den * common >= p.num * (len(sa[i]) + len(sb[j]) - common):
+                edges.append((a["rep"].iat[i], b["rep"].iat[j]))
+                label[label == y] = x
+    return pd.DataFrame(edges, columns=["a", "b"], dtype=np.int64)
+
+
+def _across(open_: DataFrame, full: DataFrame, p: Params) -> DataFrame:
+    """Edges between the components of rows (band, rep, component, own and sketch) that
+    hold wherever two rows of one connected group of buckets have the similarity."""
+    first = open_.groupBy("band").agg(F.min("rep").alias("a"))
+    group = components(open_.select("band", F.col("rep").alias("b")).join(first, "band").select("a", "b")).toDF("rep", "group")
+    rows = open_.drop("band").distinct().join(group, "rep").join(full, "rep")
+    rows = written(rows, "group-rows")
+    parts = rows.groupBy("group").agg(F.ceil(F.greatest(F.count("*") / BLOCK_ROWS, F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("parts"))
+    dealt = rows.join(parts, "group").withColumn("own_part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    dealt = dealt.withColumn("i", F.least("own_part", "other")).withColumn("j", F.greatest("own_part", "other"))
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        i, j = pdf["i"].iat[0], pdf["j"].iat[0]
+        a, b = pdf[pdf["own_part"] == i], pdf[pdf["own_part"] == j]
+        return _block(a.reset_index(drop=True), b.reset_index(drop=True), bool(i == j), p)
+
+    return dealt.groupBy("group", "i", "j").applyInPandas(compare, "a long, b long")
+
+
 def _placed(docs: DataFrame, p: Params) -> DataFrame:
     """docs without text, with n_shingles and component_id; doc_id must be a long."""
     signed = written(signatures(docs, p), "signatures")
@@ -147,25 +209,28 @@ def _placed(docs: DataFrame, p: Params) -> DataFrame:
     # one row of each class's bands: that of its smallest document
     banded = usable.select(*key, "doc_id", "bands").join(reps.select(*key, F.col("rep").alias("doc_id")), [*key, "doc_id"], "left_semi")
     bands = banded.select(F.col("doc_id").alias("rep"), F.explode("bands").alias("band"))
-    shared = bands.groupBy("band").agg(F.min("rep").alias("lead"), F.max("rep").alias("last")).filter("lead < last").select("band", "lead")
+    shared = bands.groupBy("band").agg(F.min("rep").alias("first"), F.max("rep").alias("last")).filter("first < last").select("band")
     buckets = written(bands.join(shared, "band").distinct(), "buckets")
-    met = buckets.filter("rep <> lead").select("rep", "lead").distinct()
-    met = met.join(sketches.alias("x").withColumnRenamed("rep", "lead"), "lead").alias("x").join(sketches.alias("y"), "rep").filter(_near("x", "y", p))
-    star = met.select("rep", "lead", _bits("x", "y").alias("bits")).groupBy("rep").agg(F.min(F.struct("bits", "lead")).alias("best")).select(F.col("rep").alias("b"), F.col("best.lead").alias("a"))
     texts = docs.filter("doc_id is not null").select(F.col("doc_id").alias("rep"), "text")
-    edges = written(_confirm(written(star, "star-pairs"), texts, p), "star-links")
+    full = _sets(texts, buckets.select("rep").distinct(), p)
+    # a shingle of one set alone can't be in an overlap, which must be num / den of the set
+    single = full.select("rep", F.explode("shingles").alias("shingle")).groupBy("shingle").agg(F.min("rep").alias("rep"), F.count("*").alias("n")).filter("n = 1")
+    own = full.select("rep", F.size("shingles").alias("n")).join(single.groupBy("rep").agg(F.count("*").alias("own")), "rep", "left").withColumn("own", F.coalesce("own", F.lit(0).cast("long")))
+    able = written(own.filter(p.den * (F.col("n") - F.col("own")) >= p.num * F.col("n")).groupBy("rep").agg(F.min("own").alias("own")), "linkable")
+    buckets = written(buckets.join(able, "rep"), "linkable-buckets")
+    sketches = written(sketches.join(able, "rep"), "linkable-sketches")
+    leads = buckets.groupBy("band").agg(F.min(F.struct("own", "rep")).alias("lead"), F.max("rep").alias("last"), F.min("rep").alias("first")).filter("first < last").select("band", F.col("lead.rep").alias("lead"))
+    met = buckets.join(leads, "band").filter("rep <> lead").select("rep", "lead").distinct()
+    met = met.join(sketches.withColumnRenamed("rep", "lead"), "lead").alias("x").join(sketches.alias("y"), "rep").filter(_near("x", "y", p))
+    star = met.select("rep", "lead", _bits("x", "y").alias("bits")).groupBy("rep").agg(F.min(F.struct("bits", "lead")).alias("best")).select(F.col("best.lead").alias("a"), F.col("rep").alias("b"))
+    star = written(star, "star-pairs")
+    edges = written(_confirm(star, full, p), "star-links")
     first = components(edges)
     # buckets that span components: pairs across them
     placed = buckets.join(first.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     mixed = placed.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("band")
-    open_ = placed.join(mixed, "band", "left_semi").join(sketches, "rep").drop("lead")
-    open_ = written(open_, "open-buckets")
-    x, y = open_.alias("x"), open_.alias("y")
-    across = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.component") != F.col("y.component")) & _near("x", "y", p))
-    across = across.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
-    tried = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    across = written(across.join(tried, ["a", "b"], "left_anti"), "cross-pairs")
-    more = _confirm(across, texts, p)
+    open_ = written(placed.drop("own").join(mixed, "band", "left_semi").join(sketches, "rep"), "open-buckets")
+    more = _across(open_, full, p)
     final = components(edges.unionByName(more))
     of_class = reps.select(*key, "rep").join(final.withColumnRenamed("node", "rep"), "rep", "left").select(*key, F.coalesce("component", "rep").alias("component"))
     out = signed.join(of_class, key, "left")
@@ -188,9 +253,10 @@ def near_duplicates(docs: DataFrame, p: Params | None = None) -> DataFrame:
 def keep_one(docs: DataFrame, p: Params | None = None) -> DataFrame:
     """The rows of docs, with all their columns, of which one stays of each component:
     the first row of the smallest doc_id. Rows with a null doc_id stay."""
-    keyed = with_row_key(docs)
-    placed = _placed(keyed.select("_row", F.col("doc_id").cast("long").alias("doc_id"), "text"), p or Params())
+    row = free_name(docs, "_row")
+    keyed = with_row_key(docs, row)
+    placed = _placed(keyed.select(F.col(row).alias("_row"), F.col("doc_id").cast("long").alias("doc_id"), "text"), p or Params())
     placed = written(placed.filter("doc_id is not null").select("_row", "doc_id", "component_id"), "near-components")
     first = placed.filter("doc_id = component_id").groupBy("component_id").agg(F.min("_row").alias("_first"))
-    gone = placed.join(first, "component_id").filter("_row <> _first").select("_row")
-    return keyed.join(gone, "_row", "left_anti").drop("_row")
+    gone = placed.join(first, "component_id").filter("_row <> _first").select(F.col("_row").alias(row))
+    return keyed.join(gone, row, "left_anti").select(*docs.columns)
