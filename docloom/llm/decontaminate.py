@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import with_row_key
+from docloom.llm.common import free_name, with_row_key
 
 #: Fixed values of the contract: what separates words, and what makes them.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -70,7 +70,7 @@ def _flagged(keyed: DataFrame, benchmark: DataFrame, n: int, share: int) -> Data
     shortest = min(lengths, default=n)
     at = split.withColumn("i", F.explode(F.expr(f"sequence(0, greatest(0, n_words - {shortest - 1}))")))
     if len(lengths) > 1:
-        at = at.withColumn("width", F.explode(F.array(*map(F.lit, lengths)))).filter(f"i + width - 1 <= n_words and (i > 0 or width = {shortest})")
+        at = at.withColumn("width", F.explode(F.array(*map(F.lit, lengths)))).filter(f"(i = 0 and width = {shortest}) or (i > 0 and i + width - 1 <= n_words)")
         key = F.coalesce(*[F.when(F.col("width") == m, _hash(m)) for m in lengths])
     else:
         at = at.withColumn("width", F.lit(shortest))
@@ -98,11 +98,12 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, remove: str = "document
     """docs without what is contaminated: remove="documents" drops contaminated
     documents, remove="spans" takes the hit words (and what separates them from the word
     before) out of every text that has any. All columns and all other rows stay."""
-    keyed = with_row_key(docs, "_row")
-    flags = _flagged(keyed.select("_row", "doc_id", "text"), benchmark, n, share)
+    row, mark = free_name(docs, "_row"), free_name(docs, "_hits")
+    keyed = with_row_key(docs, row)
+    flags = _flagged(keyed.select(F.col(row).alias("_row"), "doc_id", "text"), benchmark, n, share)
     if remove == "documents":
-        return keyed.join(flags.filter("contaminated").select("_row"), "_row", "left_anti").drop("_row")
-    marked = keyed.join(flags.filter("n_hit > 0").select("_row", F.col("hits").alias("_hits")), "_row", "left")
-    units = F.expr(f"filter(regexp_extract_all(text, r'[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]*{WORD}', 0), (u, i) -> not exists(_hits, h -> i >= h.from and i < h.to))")
+        return keyed.join(flags.filter("contaminated").select(F.col("_row").alias(row)), row, "left_anti").select(*docs.columns)
+    marked = keyed.join(flags.filter("n_hit > 0").select(F.col("_row").alias(row), F.col("hits").alias(mark)), row, "left")
+    units = F.expr(f"filter(regexp_extract_all(text, r'[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]*{WORD}', 0), (u, i) -> not exists({mark}, h -> i >= h.from and i < h.to))")
     tail = F.regexp_extract("text", SEPARATORS + r"\z", 0)
-    return marked.withColumn("text", F.when(F.col("_hits").isNull(), F.col("text")).otherwise(F.concat(F.array_join(units, ""), tail))).drop("_row", "_hits")
+    return marked.withColumn("text", F.when(F.col(mark).isNull(), F.col("text")).otherwise(F.concat(F.array_join(units, ""), tail))).select(*docs.columns)
