@@ -78,9 +78,7 @@ def yaml_headers(docs: DataFrame) -> DataFrame:
     """docs (source, text) with the fields of parse_yaml_header, texts in NFC."""
     import unicodedata
 
-    from pyspark.sql.types import StructType
-
-    names = [f.name for f in StructType.fromDDL(RESULT).fields] if hasattr(StructType, "fromDDL") else [p.split()[0] for p in RESULT.split(", ")]
+    names = [p.split()[0] for p in RESULT.split(", ")]
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
