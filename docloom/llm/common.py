@@ -69,8 +69,16 @@ def free_name(df: DataFrame, name: str) -> str:
 
 
 def with_row_key(df: DataFrame, name: str = "_row") -> DataFrame:
-    """A key for each input row; repeated rows stay apart. It depends only on the
-    scan's partition and position, so a task that runs again gives the same keys."""
+    """A key for each input row; repeated rows stay apart. It depends only on the scan's
+    partition and position, so a task that runs again gives the same keys. What is no
+    plain scan is written first: a shuffle may deal rows out anew each time it is read."""
+    for line in df._jdf.queryExecution().optimizedPlan().toString().splitlines():
+        kind = line.lstrip(" +-:").split(" ")[0].split("[")[0]
+        if kind in ("Relation", "InMemoryRelation", "LocalRelation"):
+            break
+        if kind not in ("Project", "Filter"):
+            df = written(df, "rows")
+            break
     return df.withColumn(name, F.monotonically_increasing_id())
 
 
