@@ -39,7 +39,7 @@ BLOCK_ROWS, BLOCK_SHINGLES = 192, 2_000_000
 class Params:
     """similarity is a ratio (num, den). bands x rows samples: a pair of 0.85 shares no
     band with probability 4e-7. most_bits: differing sketch bits at which a candidate
-    is let go; a pair of 0.85 exceeds it with probability under 1e-6."""
+    is let go; by a rough estimate a pair of 0.85 exceeds it about once in a million."""
 
     def __init__(self, shingle: int = 5, num: int = 85, den: int = 100, bands: int = 20, rows: int = 4, most_bits: int = 58) -> None:
         self.shingle, self.num, self.den, self.bands, self.rows, self.most_bits = shingle, num, den, bands, rows, most_bits
