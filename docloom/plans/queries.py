@@ -1,8 +1,8 @@
 """One query per operator over the driver's tables, and the same in DuckDB SQL.
 
 Corpus views: documents are files and chunks (labels.quality tells active ones),
-embeddings are chunk vectors (label is the level; vec_id under 5 are queries, every fifth
-row is a parent), conversations are history, events are requests, pages are HTML.
+embeddings are chunk vectors (label is the level; vec_id under 5 are queries, in queries
+named _all every vec_id divisible by 20; every fifth row is a parent), conversations are history, events are requests, pages are HTML.
 """
 
 from __future__ import annotations
@@ -45,6 +45,10 @@ def _asked(s: SparkSession, d: str) -> DataFrame:
     return read_table(s, d, "embeddings").filter("vec_id < 5").select(F.col("vec_id").alias("query_id"), "embedding")
 
 
+def _asked_all(s: SparkSession, d: str) -> DataFrame:
+    return read_table(s, d, "embeddings").filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+
+
 def _chunks(s: SparkSession, d: str) -> DataFrame:
     """Documents as chunks: every third is a parent of the two after it."""
     labels = read_table(s, d, "labels").groupBy("doc_id").agg(F.min("quality").alias("quality"))
@@ -89,6 +93,18 @@ def vector_topk_filtered(s: SparkSession, d: str) -> DataFrame:
     return retrieval.vector_topk(_corpus(s, d).filter(retrieval.metadata_filter(level="2")), _asked(s, d))
 
 
+@query(f"""WITH s AS (SELECT q.vec_id AS query_id, c.vec_id AS chunk_id, {_COS} AS score FROM embeddings q, embeddings c WHERE q.vec_id % 20 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM s) SELECT query_id, chunk_id, score, rank::INT AS rank FROM r WHERE rank <= 7""")
+def vector_topk_all(s: SparkSession, d: str) -> DataFrame:
+    return retrieval.vector_topk(_corpus(s, d), _asked_all(s, d))
+
+
+@query(f"""WITH s AS (SELECT q.vec_id AS query_id, c.vec_id AS chunk_id, {_COS} AS score FROM embeddings q, embeddings c WHERE q.vec_id % 20 = 0 AND (nullif(c.label, 3) IS NULL OR nullif(c.label, 3) = 2)),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM s) SELECT query_id, chunk_id, score, rank::INT AS rank FROM r WHERE rank <= 7""")
+def vector_topk_filtered_all(s: SparkSession, d: str) -> DataFrame:
+    return retrieval.vector_topk(_corpus(s, d).filter(retrieval.metadata_filter(level="2")), _asked_all(s, d))
+
+
 _TERMS = r"list_filter(string_split_regex(lower({0}), '[^\p{{L}}\p{{N}}]+'), lambda t: t <> '')"
 _POSTINGS = f"""docs AS (SELECT doc_id AS chunk_id, {_TERMS.format("text")} AS t FROM documents),
 p AS (SELECT chunk_id, len(t) AS length, term, count(*) AS tf FROM (SELECT chunk_id, t, unnest(t) AS term FROM docs) GROUP BY ALL),
@@ -148,6 +164,40 @@ def parent_rollup(s: SparkSession, d: str) -> DataFrame:
     return retrieval.representatives(retrieval.fuse(_lists(s, d)), chunks)
 
 
+def _lists_all(s: SparkSession, d: str) -> DataFrame:
+    """Two vector lists (a query and the row after it) and one of the query's label, for each query."""
+    e = read_table(s, d, "embeddings")
+    both = e.filter("vec_id % 20 < 2").select(F.col("vec_id").alias("query_id"), "embedding")
+    second = F.col("query_id") % 20
+    vec = retrieval.vector_topk(_corpus(s, d), both).select((F.col("query_id") - second).alias("query_id"), second.cast("int").alias("list_no"), F.lit("vector").alias("source"), F.when(second == 0, config.STANDALONE_BOOST).otherwise(1.0).alias("weight"), "chunk_id", "rank", "score")
+    w = Window.partitionBy("label").orderBy("vec_id")
+    by_label = e.select("label", "vec_id").withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= config.TEXT_TOP_K).select("label", F.col("vec_id").alias("chunk_id"), "rank")
+    text = e.filter("vec_id % 20 = 0").select("label", F.col("vec_id").alias("query_id")).join(by_label, "label")
+    return vec.unionByName(text.select("query_id", F.lit(9).alias("list_no"), F.lit("text").alias("source"), F.lit(1.0).alias("weight"), "chunk_id", "rank", F.lit(0.5).alias("score")))
+
+
+_FUSED_ALL = f"""v AS (SELECT q.vec_id AS q, c.vec_id AS chunk_id, {_COS} AS score FROM embeddings q, embeddings c WHERE q.vec_id % 20 IN (0, 1)),
+vr AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, chunk_id) AS rank FROM v),
+t AS (SELECT q.vec_id AS query_id, c.vec_id AS chunk_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY c.vec_id) AS rank FROM embeddings q JOIN embeddings c ON q.label = c.label WHERE q.vec_id % 20 = 0),
+l AS (SELECT q - q % 20 AS query_id, q % 20 AS list_no, 'vector' AS source, CASE WHEN q % 20 = 0 THEN 1.2 ELSE 1.0 END AS weight, chunk_id, rank, score FROM vr WHERE rank <= 7
+ UNION ALL SELECT query_id, 9, 'text', 1.0, chunk_id, rank, 0.5 FROM t WHERE rank <= 5),
+f AS (SELECT query_id, chunk_id, round(sum(weight::DOUBLE / (60 + rank)), 9) AS rrf, min(list_no * 1000 + rank) AS first,
+ arg_min(source, (CASE source WHEN 'vector' THEN 0 ELSE 1 END) * 1000000 + list_no * 1000 + rank) AS source, arg_min(score, (CASE source WHEN 'vector' THEN 0 ELSE 1 END) * 1000000 + list_no * 1000 + rank) AS score FROM l GROUP BY 1, 2),
+fused AS (SELECT query_id, chunk_id, rrf, source, score, row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, first, chunk_id) AS rank FROM f)"""
+
+
+@query(f"WITH {_FUSED_ALL} SELECT query_id, chunk_id, rrf, source, score::DOUBLE AS score, rank::INT AS rank FROM fused")
+def rrf_fusion_all(s: SparkSession, d: str) -> DataFrame:
+    return retrieval.fuse(_lists_all(s, d))
+
+
+@query(f"""WITH {_FUSED_ALL}, o AS (SELECT query_id, chunk_id - chunk_id % 5 AS parent_id, min(rank) AS best FROM fused GROUP BY 1, 2)
+SELECT query_id, parent_id, position::INT AS position FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY best) AS position FROM o) WHERE position <= 4""")
+def parent_rollup_all(s: SparkSession, d: str) -> DataFrame:
+    chunks = read_table(s, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.when(F.col("vec_id") % 5 == 0, "parent").otherwise("child").alias("chunk_level"), (F.col("vec_id") - F.col("vec_id") % 5).alias("parent_id"))
+    return retrieval.representatives(retrieval.fuse(_lists_all(s, d)), chunks)
+
+
 def _per_source(s: SparkSession, d: str) -> DataFrame:
     w = Window.partitionBy("source").orderBy("doc_id")
     return read_table(s, d, "documents").select(F.col("source").alias("query_id"), F.row_number().over(w).alias("position"), F.col("text").alias("content"))

@@ -49,3 +49,9 @@ def test_has_rows(spark, name):
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert plans.QUERIES.keys() <= entry.queries().keys()
+
+
+@pytest.mark.parametrize("name", ["vector_topk_all", "vector_topk_filtered_all", "rrf_fusion_all", "parent_rollup_all"])
+def test_every_twentieth_row_is_searched(spark, name):
+    ids = {r.vec_id for r in spark.read.parquet(f"{FOLDER}/embeddings.parquet").collect() if r.vec_id % 20 == 0}
+    assert len(ids) > 5 and {r.query_id for r in plans.QUERIES[name](spark, FOLDER).collect()} == ids
