@@ -130,6 +130,30 @@ def bm25_topk(s: SparkSession, d: str) -> DataFrame:
     return retrieval.bm25(*_text_index(s, d))
 
 
+_POSTINGS_ALL = f"""docs AS (SELECT doc_id AS chunk_id, {_TERMS.format("text")} AS t FROM documents),
+p AS (SELECT chunk_id, len(t) AS length, term, count(*) AS tf FROM (SELECT chunk_id, t, unnest(t) AS term FROM docs) GROUP BY ALL),
+wanted AS (SELECT query_id, len(list_distinct(t)) AS n_terms, unnest(list_distinct(t)) AS term FROM (SELECT item_id AS query_id, {_TERMS.format("text")} AS t FROM benchmark))"""
+
+
+def _text_index_all(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    docs = read_table(s, d, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"))
+    asked = read_table(s, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    return retrieval.postings(docs), retrieval.query_terms(asked), retrieval.corpus_sizes(docs)
+
+
+@query(f"WITH {_POSTINGS_ALL} SELECT query_id, chunk_id FROM (SELECT query_id, chunk_id, count(*) AS n, max(n_terms) AS m FROM p JOIN wanted USING (term) GROUP BY ALL) WHERE n = m")
+def fulltext_match_all_whole(s: SparkSession, d: str) -> DataFrame:
+    index, wanted, _ = _text_index_all(s, d)
+    return retrieval.match_all(index, wanted)
+
+
+@query(f"""WITH {_POSTINGS_ALL}, df AS (SELECT term, count(*) AS df FROM p GROUP BY 1), sz AS (SELECT count(*) AS n, avg(len(t)) AS mean FROM docs),
+s AS (SELECT query_id, chunk_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean))), 6) AS score FROM p JOIN wanted USING (term) JOIN df USING (term), sz GROUP BY 1, 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM s) SELECT query_id, chunk_id, score, rank::INT AS rank FROM r WHERE rank <= 5""")
+def bm25_topk_whole(s: SparkSession, d: str) -> DataFrame:
+    return retrieval.bm25(*_text_index_all(s, d))
+
+
 def _lists(s: SparkSession, d: str) -> DataFrame:
     """Two vector lists (a query and its neighbour) and one by label, for each query."""
     corpus = _corpus(s, d)
@@ -231,8 +255,8 @@ def late_fetch(s: SparkSession, d: str) -> DataFrame:
 def hybrid_retrieval(s: SparkSession, d: str) -> DataFrame:
     e = read_table(s, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
     chunks = _chunks(s, d).join(e.withColumnRenamed("doc_id", "chunk_id"), "chunk_id", "left")
-    asked = read_table(s, d, "benchmark").select(F.col("item_id").alias("query_id"), F.regexp_extract("text", r"^(\S+)", 1).alias("text")).join(e.select(F.col("doc_id").alias("query_id"), "embedding"), "query_id", "left")
-    both = asked.withColumn("variant", F.lit(0)).unionByName(asked.withColumn("variant", F.lit(1)).filter("query_id % 2 = 0"))
+    asked = read_table(s, d, "benchmark").select(F.col("item_id").alias("query_id"), "text").join(e.select(F.col("doc_id").alias("query_id"), "embedding"), "query_id", "left")
+    both = asked.withColumn("variant", F.lit(0)).unionByName(asked.withColumn("variant", F.lit(1)))
     return retrieval.hybrid(chunks, both)
 
 

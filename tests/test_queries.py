@@ -55,3 +55,27 @@ def test_entry(spark):
 def test_every_twentieth_row_is_searched(spark, name):
     ids = {r.vec_id for r in spark.read.parquet(f"{FOLDER}/embeddings.parquet").collect() if r.vec_id % 20 == 0}
     assert len(ids) > 5 and {r.query_id for r in plans.QUERIES[name](spark, FOLDER).collect()} == ids
+
+
+def test_questions_are_whole_texts(spark):
+    import re
+
+    words = lambda t: set(re.findall(r"[^\W_]+", t.lower()))
+    asked = {r.item_id: words(r.text) for r in spark.read.parquet(f"{FOLDER}/benchmark.parquet").collect()}
+    held = {r.doc_id: words(r.text) for r in spark.read.parquet(f"{FOLDER}/documents.parquet").collect()}
+    want = {(q, c) for q, a in asked.items() for c, t in held.items() if a <= t}
+    assert {tuple(r) for r in plans.QUERIES["fulltext_match_all_whole"](spark, FOLDER).select("query_id", "chunk_id").collect()} == want
+    _, wanted, _ = plans._text_index_all(spark, FOLDER)
+    got = {}
+    for r in wanted.collect():
+        got.setdefault(r.query_id, set()).add(r.term)
+    assert got == asked and max(map(len, asked.values())) > 2
+    assert {r.query_id for r in plans.QUERIES["bm25_topk_whole"](spark, FOLDER).collect()} == asked.keys()
+
+
+def test_hybrid_asks_whole_texts_and_both_variants(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(plans.retrieval, "hybrid", lambda chunks, questions, *a: seen.append(questions) or questions)
+    plans.QUERIES["hybrid_retrieval"](spark, FOLDER)
+    texts = {r.item_id: r.text for r in spark.read.parquet(f"{FOLDER}/benchmark.parquet").collect()}
+    assert sorted((r.query_id, r.variant, r.text) for r in seen[0].collect()) == sorted((i, v, t) for i, t in texts.items() for v in (0, 1))
