@@ -251,6 +251,14 @@ def late_fetch(s: SparkSession, d: str) -> DataFrame:
     return retrieval.fetch(p.select("query_id", "position", (F.col("vec_id") * 3).alias("parent_id")), _chunks(s, d)).select("query_id", "position", "parent_id", F.sha2("content", 256).alias("content_hash"))
 
 
+@query(f"""WITH {_CHUNKS}, p AS (SELECT label::BIGINT AS query_id, (vec_id * 3) AS wanted, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS position FROM embeddings)
+SELECT query_id, position::INT AS position, wanted AS parent_id, sha256(content) AS content_hash FROM p JOIN chunks ON wanted = chunk_id WHERE is_active""")
+def late_fetch_all(s: SparkSession, d: str) -> DataFrame:
+    w = Window.partitionBy("query_id").orderBy("vec_id")
+    p = read_table(s, d, "embeddings").select(F.col("label").cast("long").alias("query_id"), "vec_id").withColumn("position", F.row_number().over(w))
+    return retrieval.fetch(p.select("query_id", "position", (F.col("vec_id") * 3).alias("parent_id")), _chunks(s, d)).select("query_id", "position", "parent_id", F.sha2("content", 256).alias("content_hash"))
+
+
 @query()
 def hybrid_retrieval(s: SparkSession, d: str) -> DataFrame:
     e = read_table(s, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")

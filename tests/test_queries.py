@@ -79,3 +79,11 @@ def test_hybrid_asks_whole_texts_and_both_variants(spark, monkeypatch):
     plans.QUERIES["hybrid_retrieval"](spark, FOLDER)
     texts = {r.item_id: r.text for r in spark.read.parquet(f"{FOLDER}/benchmark.parquet").collect()}
     assert sorted((r.query_id, r.variant, r.text) for r in seen[0].collect()) == sorted((i, v, t) for i, t in texts.items() for v in (0, 1))
+
+
+def test_every_position_is_fetched(spark):
+    folder = "/root/testdata/sf0.1"  # smaller tables have no label with more than 40 active rows
+    active = {r.chunk_id for r in plans._chunks(spark, folder).filter("is_active").select("chunk_id").collect()}
+    want = sorted(3 * r.vec_id for r in spark.read.parquet(f"{folder}/embeddings.parquet").select("vec_id").collect() if 3 * r.vec_id in active)
+    got = plans.QUERIES["late_fetch_all"](spark, folder).select("position", "parent_id").collect()
+    assert sorted(r.parent_id for r in got) == want and max(r.position for r in got) > 40
