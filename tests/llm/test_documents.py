@@ -378,3 +378,15 @@ def test_marginals_equal_enumeration():
 
 def test_rows_with_other_columns_only_pass_through(docs):
     assert line_dedup.dedup_lines(docs).select(F.count_if(F.col("_row") != "clash")).first()[0] == 0
+
+
+def test_short_lines_are_compared_exactly(spark, tmp_path):
+    from corpus_pipeline import line_dedup_stage
+    from docloom.llm.queries import op8_line_dedup
+
+    rows = [(1, "Les.\n\nFirst text of its own, nothing like it\n"), (2, " Les. \nLet.\n\n"), (3, "Les.\nAnother one that no text has again"), (4, "Let.\nAnd a last line, which stays alone here")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.removed for r in op8_line_dedup(spark, str(tmp_path)).collect()}
+    assert got == {1: "", 2: "0", 3: "0", 4: "0"}
+    cut = {r.doc_id: r.text for r in line_dedup_stage(spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), str(tmp_path)).collect()}
+    assert cut == {1: rows[0][1], 2: "Let.\n\n", 3: rows[2][1][5:], 4: rows[3][1][5:]}
