@@ -47,7 +47,7 @@ def op7_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.line_report(table(spark, sf_dir, "documents"), exact=1)
+    return line_dedup.line_report(table(spark, sf_dir, "documents"), exact=1, fine=True)
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -390,3 +390,17 @@ def test_short_lines_are_compared_exactly(spark, tmp_path):
     assert got == {1: "", 2: "0", 3: "0", 4: "0"}
     cut = {r.doc_id: r.text for r in line_dedup_stage(spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), str(tmp_path)).collect()}
     assert cut == {1: rows[0][1], 2: "Let.\n\n", 3: rows[2][1][5:], 4: rows[3][1][5:]}
+
+
+def test_one_character_edits_of_short_lines(spark, tmp_path):
+    from docloom.llm.queries import op8_line_dedup
+
+    rng, rows = random.Random(11), []
+    for i in range(40):
+        line = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz ", k=39 + i)).strip().ljust(39 + i, "q")
+        at = rng.randrange(8, len(line) - 8)
+        rows += [(2 * i, line), (2 * i + 1, line[:at] + str(i % 10) + line[at + 1 :])]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.n_removed for r in op8_line_dedup(spark, str(tmp_path)).collect()}
+    found = sum(got[2 * i + 1] for i in range(40))
+    assert not any(got[2 * i] for i in range(40)) and found >= 38  # a pair at 0.8 shares a band with probability 0.995
