@@ -404,3 +404,9 @@ def test_one_character_edits_of_short_lines(spark, tmp_path):
     got = {r.doc_id: r.n_removed for r in op8_line_dedup(spark, str(tmp_path)).collect()}
     found = sum(got[2 * i + 1] for i in range(40))
     assert not any(got[2 * i] for i in range(40)) and found >= 38  # a pair at 0.8 shares a band with probability 0.995
+
+
+def test_lines_of_few_different_shingles_keep_a_sketch(spark):
+    lines = [(i, i, a * 2000 + " " + b * 2000) for i, (a, b) in enumerate((a, b) for a in "ABCDEFGH" for b in "ijklmnop")]
+    got = line_dedup._sketches(spark.createDataFrame(lines, "h1 long, h2 long, line string"), line_dedup.SHINGLE, bounded=True).collect()
+    assert len(got) == len(lines) and all(r.short for r in got)
