@@ -303,23 +303,24 @@ def lines_brute(rows, least=20):
     where = defaultdict(list)
     for row, (i, t, *_) in enumerate(rows):
         for p, line in enumerate(t.split("\n") if t is not None else []):
-            if len(line.strip(" ")) >= least:
-                where[line.strip(" ")].append(((i is None, i or 0), row, p))
-    sets = {x: frozenset(x.encode()[j : j + 8] for j in range(max(1, len(x.encode()) - 7))) for x in where}
-    parent = {x: x for x in sets}
+            if len(line.strip(line_dedup.WHITE)) >= least:
+                where[line.strip(line_dedup.WHITE)].append(((i is None, i or 0), row, p))
+    parent = {x: x for x in where}
 
     def find(x):
         while parent[x] != x:
             x = parent[x]
         return x
 
-    names = list(sets)
-    for k, a in enumerate(names):
-        for b in names[k + 1 :]:
-            if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
-                parent[find(b)] = find(a)
+    for size, fits in ((4, lambda b: len(b) < 100), (8, lambda b: len(b) >= 80)):
+        sets = {x: frozenset(b[j : j + size] for j in range(max(1, len(b) - size + 1))) for x in where for b in [x.encode()] if fits(b)}
+        names = list(sets)
+        for k, a in enumerate(names):
+            for b in names[k + 1 :]:
+                if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                    parent[find(b)] = find(a)
     groups = defaultdict(list)
-    for x in names:
+    for x in where:
         groups[find(x)] += where[x]
     gone = Counter()
     for g in groups.values():
@@ -406,7 +407,31 @@ def test_one_character_edits_of_short_lines(spark, tmp_path):
     assert not any(got[2 * i] for i in range(40)) and found >= 38  # a pair at 0.8 shares a band with probability 0.995
 
 
-def test_lines_of_few_different_shingles_keep_a_sketch(spark):
-    lines = [(i, i, a * 2000 + " " + b * 2000) for i, (a, b) in enumerate((a, b) for a in "ABCDEFGH" for b in "ijklmnop")]
-    got = line_dedup._sketches(spark.createDataFrame(lines, "h1 long, h2 long, line string"), line_dedup.SHINGLE, bounded=True).collect()
-    assert len(got) == len(lines) and all(r.short for r in got)
+def test_lines_of_few_different_shingles_keep_a_sketch():
+    import pyarrow as pa
+
+    lines = [a * 2000 + " " + b * 2000 for a in "ABCDEFGH" for b in "ijklmnop"]
+    out = list(line_dedup._sign(iter([pa.RecordBatch.from_pydict({"rep": list(range(len(lines))), "line": lines})])))
+    assert sum(b.num_rows for b in out) == len(lines) and all(len(s) == line_dedup.SKETCH for b in out for s in b.column("signature").to_pylist())
+
+
+def test_a_large_group_of_lines_across_blocks(spark, monkeypatch):
+    """Copies of copies of one line, in many blocks and components, give the brute-force components."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choices("aeiounrstl", k=rng.randrange(2, 9)))
+    base = [word() for _ in range(60)]
+    lines, made = [], [base]
+    for i in range(260):
+        w = list(rng.choice(made))
+        for _ in range(rng.choice([1, 2, 3, 4, 6])):
+            w[rng.randrange(len(w))] = word()
+        if i % 3:
+            made.append(w)
+        lines.append(" ".join(w))
+    passage = " ".join(word() for _ in range(30))  # shared by lines that are else unlike
+    lines += [passage + " " + " ".join(word() for _ in range(30)) for _ in range(60)]
+    rows = [(i, line) for i, line in enumerate(lines)]
+    monkeypatch.setattr(line_dedup, "BLOCK_LINES", 16)
+    got = {r.doc_id: r.n_removed for r in line_dedup.line_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = lines_brute(rows)
+    assert {i for i, n in got.items() if n} == {i for _, i in want}
