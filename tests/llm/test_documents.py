@@ -407,12 +407,22 @@ def test_one_character_edits_of_short_lines(spark, tmp_path):
     assert not any(got[2 * i] for i in range(40)) and found >= 38  # a pair at 0.8 shares a band with probability 0.995
 
 
-def test_lines_of_few_different_shingles_keep_a_sketch():
+def test_signatures_are_the_least_hashes():
+    import numpy as np
     import pyarrow as pa
 
-    lines = [a * 2000 + " " + b * 2000 for a in "ABCDEFGH" for b in "ijklmnop"]
-    out = list(line_dedup._sign(iter([pa.RecordBatch.from_pydict({"rep": list(range(len(lines))), "line": lines})])))
-    assert sum(b.num_rows for b in out) == len(lines) and all(len(s) == line_dedup.SKETCH for b in out for s in b.column("signature").to_pylist())
+    rng = random.Random(3)
+    lines = [a * 2000 + " " + b * 2000 for a in "ABCDEFGH" for b in "ijklmnop"] + ["x", "ab" * 30, "é" * 50]
+    lines += ["".join(rng.choices("abcdefgh ", k=n)) for n in [*range(1, 130), 500, 3000]]
+    columns = {"line": lines, "compared": [True] * len(lines), "id": list(range(len(lines)))}
+    out = pa.Table.from_batches(list(line_dedup._sign(iter([pa.RecordBatch.from_pydict(columns)])))).to_pylist()
+    want = []
+    for i, line in enumerate(x.encode() for x in lines):
+        for k in [4] * (len(line) < 100) + [8] * (len(line) >= 80):
+            least = line_dedup._least(next(line_dedup._windows(np.frombuffer(line, np.uint8), np.array([0, len(line)]), 3 * k)))
+            want.append((i, k, least.view(np.int64).tolist()))
+    assert sorted((r["id"], r["k"], r["signature"]) for r in out) == sorted(want)
+    assert sorted(r["id"] for r in out if r["once"]) == list(range(len(lines)))
 
 
 def test_a_large_group_of_lines_across_blocks(spark, monkeypatch):
