@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 #: Most text bytes that the numpy kernels take at once; a longer text is taken alone.
 CHUNK_BYTES = 2 << 20
 
+#: Spark's setting by which an execution removes its own shuffle files when it ends.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 _U = np.uint64
 _P, _P_INV = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
 _rng = np.random.Generator(np.random.PCG64(20240229))
@@ -30,23 +33,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir where the
-    cluster names one; a temporary folder only where nothing is set (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir where the cluster
+    names one. Where nothing is set a temporary folder is made, on a local master only
+    (tests): executors elsewhere wouldn't see it."""
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        sc = spark.sparkContext
-        if not sc.getCheckpointDir():
-            sc.setCheckpointDir(tempfile.mkdtemp(prefix="docloom-"))
-        named = sc.getCheckpointDir()
-    return named.rstrip("/")
+    sc = spark.sparkContext
+    if not named and not sc.getCheckpointDir():
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="docloom-"))
+    return (named or sc.getCheckpointDir()).rstrip("/")
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Cuts the lineage: writes df as Parquet into the shared folder and reads it back."""
+    """Cuts the lineage: writes df as Parquet into the shared folder and reads it back.
+    The shuffle files that made it go as soon as it is there."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/docloom/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    spark.sparkContext._jvm.System.gc()  # lets the context cleaner take the shuffle files that made it
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -198,7 +207,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         large = written(large, "large-star")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
-        pairs = written(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "small-star")
+        new = written(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "small-star")
+        forget(pairs, large)
+        pairs = new
         now = pairs.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == state or now[0] == 0:
             break
