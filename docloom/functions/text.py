@@ -25,7 +25,7 @@ def token_estimate(text: Column, chars_per_token: float = 0) -> Column:
         n = F.floor(F.length(text) / chars_per_token)
     else:
         count = lambda rest: F.length(F.regexp_replace(text, rest, ""))
-        part = count(r"[\x00-\x7F]") / 1.5 + count(r"[^0-9A-Za-z]") / 4.0 + count(r"[^\x21-\x2F\x3A-\x40\x5B-\x60\x7B-\x7E\x00-\x08\x0E-\x1B\x7F]") / 2.0 + count(r"[^\x09-\x0D\x1C-\x20]") / 5.0
+        part = count(r"[\x00-\x7F]+") / 1.5 + count(r"[^0-9A-Za-z]+") / 4.0 + count(r"[^\x21-\x2F\x3A-\x40\x5B-\x60\x7B-\x7E\x00-\x08\x0E-\x1B\x7F]+") / 2.0 + count(r"[^\x09-\x0D\x1C-\x20]+") / 5.0
         n = F.floor(part + F.greatest(F.lit(1.0), part * 0.05))
     return F.greatest(F.lit(1), F.coalesce(n, F.lit(1))).cast("long")
 
@@ -58,12 +58,17 @@ def normalize_teencode(text: Column) -> Column:
 def guard(text: Column) -> Column:
     """Struct (safe, layer, rule): layer 0 length, 1 banned words, 2 injection; the first
     hit decides, -1 and null where there is none."""
-    normal = normalize_teencode(text)
-    hit = F.when(F.length(text) > config.MAX_INPUT_CHARS, F.struct(F.lit(False).alias("safe"), F.lit(0).alias("layer"), F.lit("length").alias("rule")))
-    for layer, patterns in ((1, config.BANNED), (2, config.INJECTION)):
-        for i, p in enumerate(patterns):
-            hit = hit.when(normal.rlike(f"(?iu){p}"), F.struct(F.lit(False).alias("safe"), F.lit(layer).alias("layer"), F.lit(f"{layer}.{i}").alias("rule")))
-    return hit.otherwise(F.struct(F.lit(True).alias("safe"), F.lit(-1).alias("layer"), F.lit(None).cast("string").alias("rule")))
+    verdict = lambda safe, layer, rule: F.struct(F.lit(safe).alias("safe"), F.lit(layer).alias("layer"), rule.alias("rule"))
+
+    def layers(normal: Column) -> Column:
+        hit = F.when(F.length(text) > config.MAX_INPUT_CHARS, verdict(False, 0, F.lit("length")))
+        for layer, patterns in ((1, config.BANNED), (2, config.INJECTION)):
+            rule = F.coalesce(*[F.when(normal.rlike(f"(?iu){p}"), f"{layer}.{i}") for i, p in enumerate(patterns)])
+            hit = hit.when(normal.rlike("(?iu)" + "|".join(patterns)), verdict(False, layer, rule))
+        return hit.otherwise(verdict(True, -1, F.lit(None).cast("string")))
+
+    # one element: the normal form is made once, not once for each branch
+    return F.element_at(F.transform(F.array(normalize_teencode(text)), layers), 1)
 
 
 def first_match(text: Column, dimension: list[tuple[str, list[str]]]) -> Column:

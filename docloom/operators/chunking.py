@@ -8,6 +8,7 @@ functions over whole documents, one text in memory at a time.
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
@@ -272,22 +273,31 @@ def base_blocks(text: str, limits: ChunkLimits = LIMITS) -> list[str]:
     return found
 
 
-def merge_blocks(blocks: list[str], starts: list[bool], limits: ChunkLimits = LIMITS, overlap: int = 0, least_tokens: int = 70, most_tokens: int = 800) -> list[str]:
-    """Chunks of blocks, a new one at each start; each opens with the last `overlap`
-    blocks of the one before, is cut at limits.child, and a small one joins its
-    predecessor if both stay within most_tokens."""
+def mixed_tokens(text: str) -> int:
+    """The estimate of docloom.functions.text.token_estimate, of one text."""
+    other = len(re.findall(r"[^\x00-\x7F]", text))
+    plain, blank = len(re.findall(r"[0-9A-Za-z]", text)), len(re.findall(r"[\x09-\x0D\x1C-\x20]", text))
+    part = other / 1.5 + plain / 4 + (len(text) - other - plain - blank) / 2 + blank / 5
+    return max(1, int(part + max(1.0, part * 0.05)))
+
+
+def merge_blocks(blocks: list[str], starts: list[bool], limits: ChunkLimits = LIMITS, overlap: int = 1, least_tokens: int = 70, most_tokens: int = 800) -> list[tuple[str, bool]]:
+    """Chunks of blocks, a new one at each start, and whether text was lost to the limit.
+    Each opens with the last `overlap` blocks of the one before (one at least), is cut at
+    limits.child, and a small one joins its predecessor if both stay within most_tokens."""
     groups: list[list[str]] = []
     for block, start in zip(blocks, starts, strict=True):
         if start or not groups:
             groups.append([])
         groups[-1].append(block)
-    out: list[str] = []
+    out: list[tuple[str, bool]] = []
     for i, g in enumerate(groups):
-        text = " ".join((groups[i - 1][-overlap:] if i and overlap else []) + g)[: limits.child]
-        if out and len(text) // 4 < least_tokens and len(out[-1]) // 4 + len(text) // 4 <= most_tokens:
-            out[-1] += " " + text
+        whole = " ".join((groups[i - 1][-max(1, overlap) :] if i else []) + g).strip()
+        text, lost = whole[: limits.child], len(whole) > limits.child
+        if out and mixed_tokens(text) < least_tokens and mixed_tokens(out[-1][0]) + mixed_tokens(text) <= most_tokens:
+            out[-1] = (out[-1][0] + " " + text, out[-1][1] or lost)
         else:
-            out.append(text)
+            out.append((text, lost))
     return out
 
 
@@ -310,7 +320,7 @@ def chunk_texts(docs: DataFrame, cut: Callable[[str], list[str]] = fallback) ->
             rows = [(doc, i, len(c), x) for doc, t in zip(pdf["doc_id"], pdf["text"], strict=True) for c in [cut(t or "")] for i, x in enumerate(c, 1)]
             yield pd.DataFrame(rows, columns=["doc_id", "chunk_index", "total", "content"])
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, chunk_index int, total int, content string")
+    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {_kind(docs)}, chunk_index int, total int, content string")
 
 
 def boundaries(blocks: DataFrame, threshold: float) -> DataFrame:
@@ -324,6 +334,64 @@ def boundaries(blocks: DataFrame, threshold: float) -> DataFrame:
     return cut.withColumn("chunk_no", F.sum("is_cut").over(w.rowsBetween(Window.unboundedPreceding, 0)))
 
 
+#: Fixed value: a block opens a new chunk where its similarity to the one before is lower.
+SIMILARITY = 0.57
+
+
+def semantic_chunks(texts: DataFrame, embed: Callable[[DataFrame], DataFrame], threshold: float = SIMILARITY) -> DataFrame:
+    """doc_id, chunk_index, total, content, truncated of texts (doc_id, text): base blocks,
+    cut where neighbours' embeddings drop apart, merged. embed adds embedding to rows with
+    content. A text without words has no chunks."""
+
+    def cut(text: str) -> list[str]:
+        return base_blocks(re.sub(r"\n{3,}", "\n\n", re.sub(r"[ \t]+", " ", unicodedata.normalize("NFC", text))).strip())
+
+    blocks = embed(chunk_texts(texts, cut).withColumnRenamed("chunk_index", "seq"))
+    numbered = boundaries(blocks, threshold).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("seq", "content", "chunk_no"))).alias("b"))
+
+    def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for doc, b in zip(pdf["doc_id"], pdf["b"], strict=True):
+                no = [x["chunk_no"] for x in b]
+                found = merge_blocks([x["content"] for x in b], [i == 0 or no[i] != no[i - 1] for i in range(len(no))])
+                rows += [(doc, i, len(found), *c) for i, c in enumerate(found, 1)]
+            yield pd.DataFrame(rows, columns=["doc_id", "chunk_index", "total", "content", "truncated"])
+
+    return numbered.mapInPandas(merge, f"doc_id {_kind(texts)}, chunk_index int, total int, content string, truncated boolean")
+
+
+def hierarchy(docs: DataFrame, embed: Callable[[DataFrame], DataFrame] | None) -> DataFrame:
+    """Parents and children of docs (doc_id, text, and columns that all chunks inherit):
+    chunk_id, parent_id, chunk_level, doc_id, chunk_index, total, section_path,
+    section_name, content, truncated, children_ids, then the inherited columns.
+
+    Parents follow the headings; children are cut inside a parent by meaning, or by
+    sentences alone where embed is None, and open with the parent's context prefix. Ids
+    are hashes of the document and the chunk's place. A text without words has no chunks."""
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    found = parent_chunks(sections(headings(fences(lines(docs.select("doc_id", "text").filter("trim(text) <> ''"))))))
+    named = found.withColumn("chunk_id", F.sha2(F.concat_ws("#", "doc_id", "chunk_index"), 256))
+    prefix = F.concat(F.lit("[Nguồn: "), F.col("doc_id").cast("string"), F.lit("]\n[Mục: "), F.col("section_path"), F.lit("]\n\n"))
+    named = named.withColumn("prefix", prefix)
+    body = F.when(F.startswith("content", F.col("prefix")), F.substring("content", F.length("prefix") + 1, F.length("content"))).otherwise(F.col("content"))
+    inner = named.select(F.col("chunk_id").alias("doc_id"), F.trim(body).alias("text"))
+    cut = chunk_texts(inner).withColumn("truncated", F.lit(False)) if embed is None else semantic_chunks(inner, embed)
+    parts = named.select(F.col("chunk_id").alias("parent_id"), F.col("doc_id").alias("doc"), "section_path", "section_name", "prefix")
+    children = cut.join(parts, F.col("doc_id") == F.col("parent_id")).select(
+        F.sha2(F.concat_ws("#", "parent_id", "chunk_index"), 256).alias("chunk_id"), "parent_id", F.lit("child").alias("chunk_level"), F.col("doc").alias("doc_id"), "chunk_index", "total", "section_path", "section_name",
+        F.when(F.startswith("content", F.col("prefix")), F.col("content")).otherwise(F.concat("prefix", "content")).alias("content"), "truncated",
+    )
+    kept = children.groupBy("parent_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("chunk_index", "chunk_id"))), lambda x: x["chunk_id"]).alias("children_ids"))
+    parents_ = named.join(kept.withColumnRenamed("parent_id", "chunk_id"), "chunk_id", "left").select("chunk_id", F.lit(None).cast("string").alias("parent_id"), F.lit("parent").alias("chunk_level"), "doc_id", "chunk_index", "total", "section_path", "section_name", "content", F.lit(False).alias("truncated"), F.coalesce("children_ids", F.array().cast("array<string>")).alias("children_ids"))
+    every = parents_.unionByName(children.withColumn("children_ids", F.array().cast("array<string>")))
+    return every.join(docs.select("doc_id", *rest), "doc_id") if rest else every
+
+
+def _kind(docs: DataFrame) -> str:
+    return docs.schema["doc_id"].dataType.simpleString()
+
+
 #: Headings of structured program texts.
 SECTION_HEADINGS = [
     r"CHƯƠNG TRÌNH ĐÀO TẠO[^*\r\n.,\"]*", r"GIỚI THIỆU CHƯƠNG TRÌNH[^*\r\n.,\"]*", "ĐIỀU KIỆN XÉT TUYỂN", "CƠ HỘI NGHỀ NGHIỆP",

@@ -12,7 +12,10 @@ from docloom.functions import text as T
 from docloom.functions.vectors import cosine
 
 #: Spellings of the school's name, masked before metadata is looked for, in order.
-SCHOOL_NAMES = ["trường đại học tài chính - marketing", "trường đại học tài chính marketing", "đại học tài chính - marketing", "đại học tài chính marketing", "tài chính - marketing", "tài chính marketing", "trường đại học ufm", "đại học ufm", "trường ufm", "ufm"]
+SCHOOL_NAMES = [
+    "đại học tài chính - marketing", "đại học tài chính marketing", "đh tài chính - marketing", "đh tài chính marketing",
+    "tài chính - marketing", "tài chính marketing", "đại học ufm", "đh ufm", "ufm", "trường đại học",
+]
 
 
 def history(messages: DataFrame, turns: int = config.HISTORY_TURNS, chars: int = config.MESSAGE_CHARS) -> DataFrame:
@@ -63,9 +66,13 @@ def request_gate(text: Column) -> Column:
 def cache_lookup(requests: DataFrame, cache: DataFrame, ttl_seconds: int = config.CACHE_TTL_SECONDS, least: float = config.CACHE_SIMILARITY) -> DataFrame:
     """request_id, entry_id, similarity, hit of the best live entry of the same action.
 
-    The action is an equi-key; beyond it, requests are compared with at most CACHE_SIZE
-    entries, which the cache's own bound guarantees."""
-    pairs = requests.alias("r").join(cache.alias("c"), (F.col("r.action") == F.col("c.action")) & (F.col("c.saved_at") <= F.col("r.asked_at")) & (F.unix_timestamp("r.asked_at") - F.unix_timestamp("c.saved_at") < ttl_seconds))
+    The action and the stretch of time, as long as an entry lives, are equi-keys: a
+    request meets the entries of its stretch and of the one before."""
+    stretch = lambda c: F.floor(F.unix_timestamp(c) / ttl_seconds)
+    asked = requests.withColumn("stretch", F.explode(F.array(stretch("asked_at"), stretch("asked_at") - 1)))
+    saved = cache.withColumn("stretch", stretch("saved_at"))
+    live_ = (F.col("c.saved_at") <= F.col("r.asked_at")) & (F.unix_timestamp("r.asked_at") - F.unix_timestamp("c.saved_at") < ttl_seconds)
+    pairs = asked.alias("r").join(saved.alias("c"), (F.col("r.action") == F.col("c.action")) & (F.col("r.stretch") == F.col("c.stretch")) & live_)
     scored = pairs.select("r.request_id", "c.entry_id", F.round(cosine(F.col("r.embedding"), F.col("c.embedding")), 6).alias("similarity")).filter("similarity > 0")
     best = scored.groupBy("request_id").agg(F.min(F.struct(-F.col("similarity"), "entry_id")).alias("b"))
     return best.select("request_id", F.col("b.entry_id").alias("entry_id"), (-F.col("b.col1")).alias("similarity"), (-F.col("b.col1") >= least).alias("hit"))

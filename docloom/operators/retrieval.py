@@ -7,16 +7,20 @@ break ties, so that results don't depend on partitioning.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom import config
 
-#: Bytes of query vectors that one block carries to the tasks.
-QUERY_BLOCK_BYTES = 8 << 20
+#: Bytes of query vectors that one block carries to the tasks, and scores that a task holds.
+QUERY_BLOCK_BYTES, SCORES = 8 << 20, 1 << 22
+#: Most terms of questions that are broadcast; more are joined by a shuffle.
+BROADCAST_TERMS = 1 << 19
 
 
 def metadata_filter(level: str | None = None, name: str | None = None, only_active: bool = True) -> Column:
@@ -31,19 +35,32 @@ def metadata_filter(level: str | None = None, name: str | None = None, only_acti
 
 def vector_topk(corpus: DataFrame, queries: DataFrame, k: int = config.VECTOR_TOP_K, digits: int = 6) -> DataFrame:
     """query_id, chunk_id, score, rank of the k nearest of corpus (chunk_id, embedding) to
-    each of queries (query_id, embedding).
+    each of queries (query_id, embedding). Vectors with NaN rank nowhere.
 
-    Queries go to the tasks in blocks of bounded size. A task keeps the k best of each
-    query per Arrow batch, so what is shuffled is k rows per query and batch.
+    Queries go to the tasks in blocks of bounded size, one scan of the corpus for each;
+    the driver holds one block at a time. A task keeps the k best of each query, so what
+    is shuffled is k rows per query and task.
     """
-    listed = [(r["query_id"], r["embedding"]) for r in queries.filter(F.col("embedding").isNotNull() & (F.size("embedding") > 0)).select("query_id", "embedding").toLocalIterator()]
-    width = len(listed[0][1]) if listed else 1
-    step = max(1, QUERY_BLOCK_BYTES // (8 * width))
-    parts = [_scored(corpus, listed[at : at + step], k, digits, queries.schema["query_id"].dataType.simpleString()) for at in range(0, max(1, len(listed)), step)]
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.unionByName(p)
-    return ranked(found, k)
+    from docloom.sources.tables import materialized
+
+    usable = queries.filter(F.col("embedding").isNotNull() & (F.size("embedding") > 0)).select("query_id", "embedding")
+    kind = queries.schema["query_id"].dataType.simpleString()
+    block, found = [], []
+    for r in usable.toLocalIterator():
+        if block and (len(block) + 1) * len(block[0][1]) * 8 > QUERY_BLOCK_BYTES:
+            found.append(materialized(_scored(corpus, block, k, digits, kind)))
+            block = []
+        block.append((r["query_id"], r["embedding"]))
+    last = _scored(corpus, block, k, digits, kind)
+    return ranked(reduce(DataFrame.unionByName, found, last), k)
+
+
+def _best(i: np.ndarray, ids: np.ndarray, s: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best rows of each query number i by score, then id."""
+    order = np.lexsort((ids if ids.dtype.kind in "iu" else np.unique(ids, return_inverse=True)[1], -s, i))
+    i, ids, s = i[order], ids[order], s[order]
+    keep = np.arange(len(i)) - np.searchsorted(i, i) < k
+    return i[keep], ids[keep], s[keep]
 
 
 def _scored(corpus: DataFrame, queries: list, k: int, digits: int, kind: str) -> DataFrame:
@@ -52,8 +69,11 @@ def _scored(corpus: DataFrame, queries: list, k: int, digits: int, kind: str) ->
     length = np.sqrt((q * q).sum(1, keepdims=True))
     q = np.divide(q, length, out=np.zeros_like(q), where=length > 0)
     chunk = corpus.schema["chunk_id"].dataType.simpleString()
+    step = max(1, SCORES // max(1, len(q)))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        n_held, kind_of_ids = 0, None
         for batch in batches:
             n = batch.num_rows
             if not n or not len(q):
@@ -61,11 +81,21 @@ def _scored(corpus: DataFrame, queries: list, k: int, digits: int, kind: str) ->
             x = batch.column("embedding").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(n, -1)
             norms = np.sqrt((x * x).sum(1, keepdims=True))
             x = np.divide(x, norms, out=np.zeros_like(x), where=norms > 0)
-            s = np.round(q @ x.T, digits)
-            names = batch.column("chunk_id")
-            order = np.lexsort((np.broadcast_to(np.argsort(np.argsort(names.to_numpy(zero_copy_only=False))), s.shape), -s), axis=1)[:, :k]
-            rows = np.repeat(np.arange(len(ids)), order.shape[1])
-            yield pa.RecordBatch.from_arrays([pa.array([ids[r] for r in rows]), names.take(pa.array(order.ravel())), pa.array(np.take_along_axis(s, order, 1).ravel())], names=["query_id", "chunk_id", "score"])
+            kind_of_ids, names = batch.column("chunk_id").type, batch.column("chunk_id").to_numpy(zero_copy_only=False)
+            for at in range(0, n, step):  # scores of a bounded number of pairs
+                s = np.round(q @ x[at : at + step].T, digits)
+                s[np.isnan(s)] = -np.inf
+                rest = s.shape[1] - min(k, s.shape[1])
+                least = np.partition(s, rest, axis=1)[:, rest, None]
+                i, j = np.nonzero((s >= least) & (s > -np.inf))
+                held.append(_best(i, names[at + j], s[i, j], k))
+                n_held += len(held[-1][0])
+                if n_held > 4 * k * len(q):
+                    held = [_best(*(np.concatenate(c) for c in zip(*held, strict=True)), k)]
+                    n_held = len(held[0][0])
+        if held:
+            i, names, s = _best(*(np.concatenate(c) for c in zip(*held, strict=True)), k)
+            yield pa.RecordBatch.from_arrays([pa.array([ids[r] for r in i]), pa.array(names, kind_of_ids), pa.array(s)], names=["query_id", "chunk_id", "score"])
 
     usable = corpus.filter(F.col("embedding").isNotNull() & (F.size("embedding") == (q.shape[1] if len(queries) else -1)))
     return usable.select("chunk_id", "embedding").mapInArrow(score, f"query_id {kind}, chunk_id {chunk}, score double")
@@ -81,10 +111,28 @@ def terms(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), "")
 
 
-def postings(docs: DataFrame) -> DataFrame:
-    """chunk_id, term, tf, length of docs (chunk_id, content)."""
+def text_index(docs: DataFrame, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What searches for the terms of wanted need, from one pass over docs (chunk_id,
+    content): their postings (chunk_id, length, term, tf), and one row of corpus sizes
+    (n_docs, mean_length). Other terms are dropped before anything is shuffled."""
+    from docloom.sources.tables import materialized
+
+    terms_ = wanted.select("term").union(wanted.sparkSession.createDataFrame([("",)], "term string")).distinct()  # "" stands for the chunk itself
+    n = terms_.limit(BROADCAST_TERMS + 1).count()
+    index = postings(docs, F.broadcast(terms_) if n <= BROADCAST_TERMS else terms_)
+    index = materialized(index)
+    sizes = index.filter("term = ''").agg(F.count("*").alias("n_docs"), F.avg("length").alias("mean_length"))
+    return index.filter("term <> ''"), sizes
+
+
+def postings(docs: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
+    """chunk_id, length, term, tf of docs (chunk_id, content); of the terms of wanted, a
+    list of each once, if it is given."""
     t = docs.select("chunk_id", terms(F.col("content")).alias("t")).withColumn("length", F.size("t"))
-    return t.select("chunk_id", "length", F.explode("t").alias("term")).groupBy("chunk_id", "length", "term").agg(F.count("*").alias("tf"))
+    each = t.select("chunk_id", "length", F.explode("t" if wanted is None else F.concat("t", F.array(F.lit("")))).alias("term"))
+    if wanted is not None:
+        each = each.join(wanted, "term", "left_semi")
+    return each.groupBy("chunk_id", "length", "term").agg(F.count("*").alias("tf"))
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
@@ -109,8 +157,43 @@ def bm25(index: DataFrame, wanted: DataFrame, sizes: DataFrame, k: int | None =
     return scored if k is None else ranked(scored, k)
 
 
-def corpus_sizes(docs: DataFrame) -> DataFrame:
-    return docs.agg(F.count("*").alias("n_docs"), F.avg(F.size(terms(F.col("content")))).alias("mean_length"))
+def _covers(positions: list[int], names: list[str], n_terms: int) -> float:
+    """Sum over the minimal stretches that hold all terms: a tenth for each, over one more
+    than the words in it that are none of the terms' places."""
+    last: dict[str, int] = {}
+    score, done = 0.0, -1
+    for at, (_, name) in enumerate(zip(positions, names, strict=True)):
+        last[name] = at
+        if len(last) == n_terms and (first := min(last.values())) > done:
+            noise = (positions[at] - positions[first]) - (at - first)
+            score += 0.1 / (1 + noise)
+            done = first
+    return score
+
+
+def cover_density(docs: DataFrame, wanted: DataFrame, k: int | None = config.TEXT_TOP_K, digits: int = 6) -> DataFrame:
+    """query_id, chunk_id, score, rank of the chunks (chunk_id, content) that hold every
+    term of a query, by how close together they stand. Only places of wanted terms are
+    shuffled, and only those of matching chunks are gathered, a chunk's at a time."""
+    from docloom.sources.tables import materialized
+
+    listed = wanted.select("term").distinct()
+    n = listed.limit(BROADCAST_TERMS + 1).count()
+    places = docs.select("chunk_id", F.posexplode(terms(F.col("content"))).alias("pos", "term")).join(F.broadcast(listed) if n <= BROADCAST_TERMS else listed, "term", "left_semi")
+    places = materialized(places)
+    index = places.select("chunk_id", "term").distinct()
+    both = match_all(index, wanted).join(wanted.select("query_id", "term", "n_terms"), "query_id").join(places, ["chunk_id", "term"])
+    at = F.array_sort(F.collect_list(F.struct("pos", "term"))).alias("at")
+    gathered = both.groupBy("query_id", "chunk_id", "n_terms").agg(at)
+    kinds = [f"{c} {gathered.schema[c].dataType.simpleString()}" for c in ("query_id", "chunk_id")]
+
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            found = [round(_covers([x["pos"] for x in a], [x["term"] for x in a], n), digits) for a, n in zip(pdf["at"], pdf["n_terms"], strict=True)]
+            yield pdf[["query_id", "chunk_id"]].assign(score=found)
+
+    scored = gathered.mapInPandas(score, ", ".join(kinds) + ", score double")
+    return scored if k is None else ranked(scored, k)
 
 
 def fuse(lists: DataFrame, k: int = config.RRF_K, digits: int = 9) -> DataFrame:
@@ -172,11 +255,11 @@ def hybrid(chunks: DataFrame, questions: DataFrame, filters: Column | None = Non
     vectors = vectors.withColumnRenamed("query_id", "key").join(keyed.select("key", "query_id", F.col("variant").alias("list_no")), "key").join(several, "query_id")
     weight = F.when(F.col("several") & (F.col("list_no") == 0), config.STANDALONE_BOOST).otherwise(1.0)
     vectors = vectors.select("query_id", "list_no", F.lit("vector").alias("source"), weight.alias("weight"), "chunk_id", "rank", "score")
-    content = rows.select("chunk_id", "content")
     wanted = query_terms(questions.filter("variant = 0").select("query_id", "text"))
-    index = postings(content)
-    all_terms = bm25(index.join(match_all(index, wanted), "chunk_id", "left_semi"), wanted, corpus_sizes(content), None)
-    text = ranked(all_terms.join(match_all(index, wanted), ["query_id", "chunk_id"], "left_semi"), config.TEXT_TOP_K)
+    index, sizes = text_index(rows.select("chunk_id", "content"), wanted)
+    matched = materialized(match_all(index, wanted))
+    all_terms = bm25(index.join(matched.select("chunk_id").distinct(), "chunk_id", "left_semi"), wanted, sizes, None)
+    text = ranked(all_terms.join(matched, ["query_id", "chunk_id"], "left_semi"), config.TEXT_TOP_K)
     text = text.select("query_id", F.lit(1 << 20).alias("list_no"), F.lit("text").alias("source"), F.lit(1.0).alias("weight"), "chunk_id", "rank", "score")
     fused = materialized(fuse(vectors.unionByName(text)))
     parents = fetch(representatives(fused, chunks), chunks)

@@ -1,8 +1,10 @@
 """One query per operator over the driver's tables, and the same in DuckDB SQL.
 
 Corpus views: documents are files and chunks (labels.quality tells active ones),
-embeddings are chunk vectors (label is the level; vec_id under 5 are queries, in queries
-named _all every vec_id divisible by 20; every fifth row is a parent), conversations are history, events are requests, pages are HTML.
+embeddings are chunk vectors (label is the level; the stated queries are those with a
+vec_id divisible by 20; every fifth row is a parent), benchmark texts are questions,
+conversations are history, events are requests, pages are HTML. Names with _all or
+_whole are kept for callers that know them; they are the same queries.
 """
 
 from __future__ import annotations
@@ -15,7 +17,8 @@ from pyspark.sql import functions as F
 from docloom import config
 from docloom.functions import text as T
 from docloom.functions import vectors as V
-from docloom.operators import catalog, chunking, dialogue, headers, ingest, retrieval
+from docloom.operators import answers, catalog, chunking, dialogue, headers, ingest, retrieval
+from docloom.plans import providers
 from docloom.sources.tables import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -42,10 +45,6 @@ def _corpus(s: SparkSession, d: str) -> DataFrame:
 
 
 def _asked(s: SparkSession, d: str) -> DataFrame:
-    return read_table(s, d, "embeddings").filter("vec_id < 5").select(F.col("vec_id").alias("query_id"), "embedding")
-
-
-def _asked_all(s: SparkSession, d: str) -> DataFrame:
     return read_table(s, d, "embeddings").filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
 
 
@@ -81,40 +80,29 @@ _LOGS = "logs AS (SELECT 'src' || (doc_id % 40) AS file_name, CASE WHEN min(toxi
 _COS = "round(list_cosine_similarity(q.embedding::DOUBLE[], c.embedding::DOUBLE[]), 6)"
 
 
-@query(f"""WITH s AS (SELECT q.vec_id AS query_id, c.vec_id AS chunk_id, {_COS} AS score FROM embeddings q, embeddings c WHERE q.vec_id < 5),
+@query(f"""WITH s AS (SELECT q.vec_id AS query_id, c.vec_id AS chunk_id, {_COS} AS score FROM embeddings q, embeddings c WHERE q.vec_id % 20 = 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM s) SELECT query_id, chunk_id, score, rank::INT AS rank FROM r WHERE rank <= 7""")
 def vector_topk(s: SparkSession, d: str) -> DataFrame:
     return retrieval.vector_topk(_corpus(s, d), _asked(s, d))
 
 
-@query(f"""WITH s AS (SELECT q.vec_id AS query_id, c.vec_id AS chunk_id, {_COS} AS score FROM embeddings q, embeddings c WHERE q.vec_id < 5 AND (nullif(c.label, 3) IS NULL OR nullif(c.label, 3) = 2)),
+@query(f"""WITH s AS (SELECT q.vec_id AS query_id, c.vec_id AS chunk_id, {_COS} AS score FROM embeddings q, embeddings c WHERE q.vec_id % 20 = 0 AND (nullif(c.label, 3) IS NULL OR nullif(c.label, 3) = 2)),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM s) SELECT query_id, chunk_id, score, rank::INT AS rank FROM r WHERE rank <= 7""")
 def vector_topk_filtered(s: SparkSession, d: str) -> DataFrame:
     return retrieval.vector_topk(_corpus(s, d).filter(retrieval.metadata_filter(level="2")), _asked(s, d))
 
 
-@query(f"""WITH s AS (SELECT q.vec_id AS query_id, c.vec_id AS chunk_id, {_COS} AS score FROM embeddings q, embeddings c WHERE q.vec_id % 20 = 0),
-r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM s) SELECT query_id, chunk_id, score, rank::INT AS rank FROM r WHERE rank <= 7""")
-def vector_topk_all(s: SparkSession, d: str) -> DataFrame:
-    return retrieval.vector_topk(_corpus(s, d), _asked_all(s, d))
-
-
-@query(f"""WITH s AS (SELECT q.vec_id AS query_id, c.vec_id AS chunk_id, {_COS} AS score FROM embeddings q, embeddings c WHERE q.vec_id % 20 = 0 AND (nullif(c.label, 3) IS NULL OR nullif(c.label, 3) = 2)),
-r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM s) SELECT query_id, chunk_id, score, rank::INT AS rank FROM r WHERE rank <= 7""")
-def vector_topk_filtered_all(s: SparkSession, d: str) -> DataFrame:
-    return retrieval.vector_topk(_corpus(s, d).filter(retrieval.metadata_filter(level="2")), _asked_all(s, d))
-
-
 _TERMS = r"list_filter(string_split_regex(lower({0}), '[^\p{{L}}\p{{N}}]+'), lambda t: t <> '')"
 _POSTINGS = f"""docs AS (SELECT doc_id AS chunk_id, {_TERMS.format("text")} AS t FROM documents),
 p AS (SELECT chunk_id, len(t) AS length, term, count(*) AS tf FROM (SELECT chunk_id, t, unnest(t) AS term FROM docs) GROUP BY ALL),
-wanted AS (SELECT query_id, len(list_distinct(t)) AS n_terms, unnest(list_distinct(t)) AS term FROM (SELECT item_id AS query_id, {_TERMS.format("regexp_extract(text, '^(\\S+\\s+\\S+)', 1)")} AS t FROM benchmark))"""
+wanted AS (SELECT query_id, len(list_distinct(t)) AS n_terms, unnest(list_distinct(t)) AS term FROM (SELECT item_id AS query_id, {_TERMS.format("text")} AS t FROM benchmark))"""
 
 
 def _text_index(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     docs = read_table(s, d, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"))
-    asked = read_table(s, d, "benchmark").select(F.col("item_id").alias("query_id"), F.regexp_extract("text", r"^(\S+\s+\S+)", 1).alias("text"))
-    return retrieval.postings(docs), retrieval.query_terms(asked), retrieval.corpus_sizes(docs)
+    wanted = retrieval.query_terms(read_table(s, d, "benchmark").select(F.col("item_id").alias("query_id"), "text"))
+    index, sizes = retrieval.text_index(docs, wanted)
+    return index, wanted, sizes
 
 
 @query(f"WITH {_POSTINGS} SELECT query_id, chunk_id FROM (SELECT query_id, chunk_id, count(*) AS n, max(n_terms) AS m FROM p JOIN wanted USING (term) GROUP BY ALL) WHERE n = m")
@@ -130,65 +118,7 @@ def bm25_topk(s: SparkSession, d: str) -> DataFrame:
     return retrieval.bm25(*_text_index(s, d))
 
 
-_POSTINGS_ALL = f"""docs AS (SELECT doc_id AS chunk_id, {_TERMS.format("text")} AS t FROM documents),
-p AS (SELECT chunk_id, len(t) AS length, term, count(*) AS tf FROM (SELECT chunk_id, t, unnest(t) AS term FROM docs) GROUP BY ALL),
-wanted AS (SELECT query_id, len(list_distinct(t)) AS n_terms, unnest(list_distinct(t)) AS term FROM (SELECT item_id AS query_id, {_TERMS.format("text")} AS t FROM benchmark))"""
-
-
-def _text_index_all(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    docs = read_table(s, d, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"))
-    asked = read_table(s, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    return retrieval.postings(docs), retrieval.query_terms(asked), retrieval.corpus_sizes(docs)
-
-
-@query(f"WITH {_POSTINGS_ALL} SELECT query_id, chunk_id FROM (SELECT query_id, chunk_id, count(*) AS n, max(n_terms) AS m FROM p JOIN wanted USING (term) GROUP BY ALL) WHERE n = m")
-def fulltext_match_all_whole(s: SparkSession, d: str) -> DataFrame:
-    index, wanted, _ = _text_index_all(s, d)
-    return retrieval.match_all(index, wanted)
-
-
-@query(f"""WITH {_POSTINGS_ALL}, df AS (SELECT term, count(*) AS df FROM p GROUP BY 1), sz AS (SELECT count(*) AS n, avg(len(t)) AS mean FROM docs),
-s AS (SELECT query_id, chunk_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean))), 6) AS score FROM p JOIN wanted USING (term) JOIN df USING (term), sz GROUP BY 1, 2),
-r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM s) SELECT query_id, chunk_id, score, rank::INT AS rank FROM r WHERE rank <= 5""")
-def bm25_topk_whole(s: SparkSession, d: str) -> DataFrame:
-    return retrieval.bm25(*_text_index_all(s, d))
-
-
 def _lists(s: SparkSession, d: str) -> DataFrame:
-    """Two vector lists (a query and its neighbour) and one by label, for each query."""
-    corpus = _corpus(s, d)
-    both = read_table(s, d, "embeddings").filter("vec_id < 10").select(F.col("vec_id").alias("query_id"), "embedding")
-    top = retrieval.vector_topk(corpus, both)
-    vec = top.select((F.col("query_id") % 5).alias("query_id"), F.floor(F.col("query_id") / 5).cast("int").alias("list_no"), F.lit("vector").alias("source"), F.when(F.col("query_id") < 5, config.STANDALONE_BOOST).otherwise(1.0).alias("weight"), "chunk_id", "rank", "score")
-    by_label = read_table(s, d, "embeddings").filter("vec_id % 7 = 0").select((F.col("label") % 5).cast("long").alias("query_id"), F.col("vec_id").alias("chunk_id"))
-    w = Window.partitionBy("query_id").orderBy("chunk_id")
-    text = by_label.withColumn("rank", F.row_number().over(w)).filter("rank <= 5").select("query_id", F.lit(9).alias("list_no"), F.lit("text").alias("source"), F.lit(1.0).alias("weight"), "chunk_id", "rank", F.lit(0.5).alias("score"))
-    return vec.unionByName(text)
-
-
-_FUSED = f"""v AS (SELECT q.vec_id AS q, c.vec_id AS chunk_id, {_COS} AS score FROM embeddings q, embeddings c WHERE q.vec_id < 10),
-vr AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, chunk_id) AS rank FROM v),
-t AS (SELECT label % 5 AS query_id, vec_id AS chunk_id, row_number() OVER (PARTITION BY label % 5 ORDER BY vec_id) AS rank FROM embeddings WHERE vec_id % 7 = 0),
-l AS (SELECT q % 5 AS query_id, q // 5 AS list_no, 'vector' AS source, CASE WHEN q < 5 THEN 1.2 ELSE 1.0 END AS weight, chunk_id, rank, score FROM vr WHERE rank <= 7
- UNION ALL SELECT query_id, 9, 'text', 1.0, chunk_id, rank, 0.5 FROM t WHERE rank <= 5),
-f AS (SELECT query_id, chunk_id, round(sum(weight::DOUBLE / (60 + rank)), 9) AS rrf, min(list_no * 1000 + rank) AS first,
- arg_min(source, (CASE source WHEN 'vector' THEN 0 ELSE 1 END) * 1000000 + list_no * 1000 + rank) AS source, arg_min(score, (CASE source WHEN 'vector' THEN 0 ELSE 1 END) * 1000000 + list_no * 1000 + rank) AS score FROM l GROUP BY 1, 2),
-fused AS (SELECT query_id, chunk_id, rrf, source, score, row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, first, chunk_id) AS rank FROM f)"""
-
-
-@query(f"WITH {_FUSED} SELECT query_id, chunk_id, rrf, source, score::DOUBLE AS score, rank::INT AS rank FROM fused")
-def rrf_fusion(s: SparkSession, d: str) -> DataFrame:
-    return retrieval.fuse(_lists(s, d))
-
-
-@query(f"""WITH {_FUSED}, o AS (SELECT query_id, chunk_id - chunk_id % 5 AS parent_id, min(rank) AS best FROM fused GROUP BY 1, 2)
-SELECT query_id, parent_id, position::INT AS position FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY best) AS position FROM o) WHERE position <= 4""")
-def parent_rollup(s: SparkSession, d: str) -> DataFrame:
-    chunks = read_table(s, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.when(F.col("vec_id") % 5 == 0, "parent").otherwise("child").alias("chunk_level"), (F.col("vec_id") - F.col("vec_id") % 5).alias("parent_id"))
-    return retrieval.representatives(retrieval.fuse(_lists(s, d)), chunks)
-
-
-def _lists_all(s: SparkSession, d: str) -> DataFrame:
     """Two vector lists (a query and the row after it) and one of the query's label, for each query."""
     e = read_table(s, d, "embeddings")
     both = e.filter("vec_id % 20 < 2").select(F.col("vec_id").alias("query_id"), "embedding")
@@ -200,7 +130,7 @@ def _lists_all(s: SparkSession, d: str) -> DataFrame:
     return vec.unionByName(text.select("query_id", F.lit(9).alias("list_no"), F.lit("text").alias("source"), F.lit(1.0).alias("weight"), "chunk_id", "rank", F.lit(0.5).alias("score")))
 
 
-_FUSED_ALL = f"""v AS (SELECT q.vec_id AS q, c.vec_id AS chunk_id, {_COS} AS score FROM embeddings q, embeddings c WHERE q.vec_id % 20 IN (0, 1)),
+_FUSED = f"""v AS (SELECT q.vec_id AS q, c.vec_id AS chunk_id, {_COS} AS score FROM embeddings q, embeddings c WHERE q.vec_id % 20 IN (0, 1)),
 vr AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, chunk_id) AS rank FROM v),
 t AS (SELECT q.vec_id AS query_id, c.vec_id AS chunk_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY c.vec_id) AS rank FROM embeddings q JOIN embeddings c ON q.label = c.label WHERE q.vec_id % 20 = 0),
 l AS (SELECT q - q % 20 AS query_id, q % 20 AS list_no, 'vector' AS source, CASE WHEN q % 20 = 0 THEN 1.2 ELSE 1.0 END AS weight, chunk_id, rank, score FROM vr WHERE rank <= 7
@@ -210,16 +140,16 @@ f AS (SELECT query_id, chunk_id, round(sum(weight::DOUBLE / (60 + rank)), 9) AS
 fused AS (SELECT query_id, chunk_id, rrf, source, score, row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, first, chunk_id) AS rank FROM f)"""
 
 
-@query(f"WITH {_FUSED_ALL} SELECT query_id, chunk_id, rrf, source, score::DOUBLE AS score, rank::INT AS rank FROM fused")
-def rrf_fusion_all(s: SparkSession, d: str) -> DataFrame:
-    return retrieval.fuse(_lists_all(s, d))
+@query(f"WITH {_FUSED} SELECT query_id, chunk_id, rrf, source, score::DOUBLE AS score, rank::INT AS rank FROM fused")
+def rrf_fusion(s: SparkSession, d: str) -> DataFrame:
+    return retrieval.fuse(_lists(s, d))
 
 
-@query(f"""WITH {_FUSED_ALL}, o AS (SELECT query_id, chunk_id - chunk_id % 5 AS parent_id, min(rank) AS best FROM fused GROUP BY 1, 2)
+@query(f"""WITH {_FUSED}, o AS (SELECT query_id, chunk_id - chunk_id % 5 AS parent_id, min(rank) AS best FROM fused GROUP BY 1, 2)
 SELECT query_id, parent_id, position::INT AS position FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY best) AS position FROM o) WHERE position <= 4""")
-def parent_rollup_all(s: SparkSession, d: str) -> DataFrame:
+def parent_rollup(s: SparkSession, d: str) -> DataFrame:
     chunks = read_table(s, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.when(F.col("vec_id") % 5 == 0, "parent").otherwise("child").alias("chunk_level"), (F.col("vec_id") - F.col("vec_id") % 5).alias("parent_id"))
-    return retrieval.representatives(retrieval.fuse(_lists_all(s, d)), chunks)
+    return retrieval.representatives(retrieval.fuse(_lists(s, d)), chunks)
 
 
 def _per_source(s: SparkSession, d: str) -> DataFrame:
@@ -243,17 +173,9 @@ def context_text(s: SparkSession, d: str) -> DataFrame:
     return retrieval.context(_per_source(s, d))
 
 
-@query(f"""WITH {_CHUNKS}, p AS (SELECT label::BIGINT AS query_id, (vec_id * 3) AS wanted, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS position FROM embeddings)
-SELECT query_id, position::INT AS position, wanted AS parent_id, sha256(content) AS content_hash FROM p JOIN chunks ON wanted = chunk_id WHERE is_active AND position <= 40""")
-def late_fetch(s: SparkSession, d: str) -> DataFrame:
-    w = Window.partitionBy("query_id").orderBy("vec_id")
-    p = read_table(s, d, "embeddings").select(F.col("label").cast("long").alias("query_id"), "vec_id").withColumn("position", F.row_number().over(w)).filter("position <= 40")
-    return retrieval.fetch(p.select("query_id", "position", (F.col("vec_id") * 3).alias("parent_id")), _chunks(s, d)).select("query_id", "position", "parent_id", F.sha2("content", 256).alias("content_hash"))
-
-
 @query(f"""WITH {_CHUNKS}, p AS (SELECT label::BIGINT AS query_id, (vec_id * 3) AS wanted, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS position FROM embeddings)
 SELECT query_id, position::INT AS position, wanted AS parent_id, sha256(content) AS content_hash FROM p JOIN chunks ON wanted = chunk_id WHERE is_active""")
-def late_fetch_all(s: SparkSession, d: str) -> DataFrame:
+def late_fetch(s: SparkSession, d: str) -> DataFrame:
     w = Window.partitionBy("query_id").orderBy("vec_id")
     p = read_table(s, d, "embeddings").select(F.col("label").cast("long").alias("query_id"), "vec_id").withColumn("position", F.row_number().over(w))
     return retrieval.fetch(p.select("query_id", "position", (F.col("vec_id") * 3).alias("parent_id")), _chunks(s, d)).select("query_id", "position", "parent_id", F.sha2("content", 256).alias("content_hash"))
@@ -444,17 +366,36 @@ def header_format(s: SparkSession, d: str) -> DataFrame:
     return read_table(s, d, "documents").select("doc_id", T.header_format(_mixed()).alias("format"), F.length(T.strip_frontmatter(_mixed())).cast("long").alias("body_chars"))
 
 
-_LEGACY = "'Ngày hiệu lực: 0' || (1 + doc_id % 9) || '/02/20' || (20 + doc_id % 9) || chr(10) || 'Văn bản số: ' || doc_id || '/QĐ' || chr(10) || (CASE doc_id % 3 WHEN 0 THEN 'trình độ tiến sĩ' WHEN 1 THEN 'THẠC SĨ' ELSE 'khác' END) || ' năm 20' || (20 + doc_id % 9) || chr(10) || '-start-' || chr(10)"
+_LEGACY = "'Ký 31/12/2019 tại trường' || chr(10) || 'Ngày hiệu lực: 0' || (1 + doc_id % 9) || '/02/20' || (20 + doc_id % 9) || chr(10) || 'Văn bản số: ' || doc_id || '/QĐ' || chr(10) || (CASE doc_id % 3 WHEN 0 THEN 'trình độ tiến sĩ' WHEN 1 THEN 'THẠC SĨ' ELSE 'khác' END) || ' năm 20' || (20 + doc_id % 9) || chr(10) || '-start-' || chr(10)"
 
 
 @query(rf"""WITH x AS (SELECT doc_id, {_LEGACY} AS head, text FROM documents)
-SELECT doc_id, epoch_us(strptime(regexp_extract(head, '(\d{{1,2}}/\d{{1,2}}/\d{{4}})', 1), '%d/%m/%Y'))::BIGINT AS valid_from, CASE doc_id % 3 WHEN 0 THEN 'tien_si' WHEN 1 THEN 'thac_si' END AS program_level, regexp_extract(head, 'năm (\d{{4}})', 1) AS academic_year, regexp_extract(head, 'Văn bản số: ([^\n]+)', 1) AS doc_number, length(regexp_replace(text, '^\s+|\s+$', '', 'g'))::BIGINT AS chars FROM x""")
+SELECT doc_id, epoch_us(strptime(regexp_extract(head, 'Ngày hiệu lực:\s*(\d{{2}}/\d{{2}}/\d{{4}})', 1), '%d/%m/%Y'))::BIGINT AS valid_from, array_to_string(list_filter(list_transform(string_split(split_part(head, '-start-', 1), chr(10)), lambda l: trim(l)), lambda l: l <> '' AND NOT starts_with(l, 'Ngày hiệu lực:') AND NOT starts_with(l, 'Văn bản số:')), chr(10)) AS header_context, CASE doc_id % 3 WHEN 0 THEN 'tien_si' WHEN 1 THEN 'thac_si' END AS program_level, regexp_extract(head, 'năm (\d{{4}})', 1) AS academic_year, regexp_extract(head, 'Văn bản số: ([^\n]+)', 1) AS doc_number, length(regexp_replace(text, '^\s+|\s+$', '', 'g'))::BIGINT AS chars FROM x""")
 def header_legacy(s: SparkSession, d: str) -> DataFrame:
     k = F.col("doc_id")
     level = F.when(k % 3 == 0, "trình độ tiến sĩ").when(k % 3 == 1, "THẠC SĨ").otherwise("khác")
-    head = F.concat(F.lit("Ngày hiệu lực: 0"), 1 + k % 9, F.lit("/02/20"), 20 + k % 9, F.lit("\nVăn bản số: "), k, F.lit("/QĐ\n"), level, F.lit(" năm 20"), 20 + k % 9, F.lit("\n-start-\n"))
+    head = F.concat(F.lit("Ký 31/12/2019 tại trường\nNgày hiệu lực: 0"), 1 + k % 9, F.lit("/02/20"), 20 + k % 9, F.lit("\nVăn bản số: "), k, F.lit("/QĐ\n"), level, F.lit(" năm 20"), 20 + k % 9, F.lit("\n-start-\n"))
     h = headers.legacy_header(F.concat(head, F.col("text")))
-    return read_table(s, d, "documents").select("doc_id", F.unix_micros(h["valid_from"]).alias("valid_from"), h["program_level"].alias("program_level"), h["academic_year"].alias("academic_year"), h["doc_number"].alias("doc_number"), F.length(h["content"]).cast("long").alias("chars"))
+    return read_table(s, d, "documents").select("doc_id", F.unix_micros(h["valid_from"]).alias("valid_from"), h["header_context"].alias("header_context"), h["program_level"].alias("program_level"), h["academic_year"].alias("academic_year"), h["doc_number"].alias("doc_number"), F.length(h["content"]).cast("long").alias("chars"))
+
+
+_FORM = "CASE doc_id % 4 WHEN 0 THEN '---' || chr(10) || 'title: a....b' || chr(10) || '---' || chr(10) ELSE '' END || replace(replace(replace(text, '. ', ':.....' || chr(10) || ' ..  .' || chr(10)), ', ', ' ……x'), ' a', chr(10) || chr(10) || chr(10) || chr(10) || chr(10) || 'a   ')"
+_SHORT = "line"
+for _p, _r in ((r"\.{{3,}}", "___"), ("…+", "___"), (r":\s*___", ": ___"), (r"___\s*(\S)", r"___ \1"), ("  +", " "), (r"\s+$", "")):
+    _SHORT = f"regexp_replace({_SHORT}, '{_p.replace('{{', '{').replace('}}', '}')}', '{_r}', 'g')"
+
+
+@query(f"""WITH x AS (SELECT doc_id, string_split({_FORM}, chr(10)) AS l FROM documents), u AS (SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) AS i FROM x),
+m AS (SELECT *, trim(line) = '---' AS mark, sum(CASE WHEN trim(line) = '---' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS n FROM u),
+k AS (SELECT doc_id, i, CASE WHEN mark OR n = 1 THEN line ELSE {_SHORT} END AS line FROM m WHERE mark OR n = 1 OR NOT regexp_matches(trim(line), '^[.… ]+$')),
+b AS (SELECT *, trim(line) = '' AS blank, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS j FROM k),
+g AS (SELECT *, row_number() OVER (PARTITION BY doc_id, blank, j - r ORDER BY j) AS nth FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, blank ORDER BY j) AS r FROM b))
+SELECT doc_id, string_agg(line, chr(10) ORDER BY j) AS text FROM g WHERE NOT blank OR nth <= 2 GROUP BY 1""")
+def form_placeholders(s: SparkSession, d: str) -> DataFrame:
+    k, t, r = F.col("doc_id"), F.col("text"), F.replace
+    form = r(r(r(t, F.lit(". "), F.lit(":.....\n ..  .\n")), F.lit(", "), F.lit(" ……x")), F.lit(" a"), F.lit("\n\n\n\n\na   "))
+    form = F.concat(F.when(k % 4 == 0, "---\ntitle: a....b\n---\n").otherwise(""), form)
+    return read_table(s, d, "documents").select("doc_id", headers.compress_placeholders(form).alias("text"))
 
 
 # -- chunking --------------------------------------------------------------------------
@@ -502,6 +443,17 @@ def parent_chunks(s: SparkSession, d: str) -> DataFrame:
     return chunking.parent_chunks(chunking.sections(h))
 
 
+@query()
+def ingest_chunks(s: SparkSession, d: str) -> DataFrame:
+    docs = _markdown(s, d).join(read_table(s, d, "documents").select("doc_id", "source", "lang"), "doc_id")
+    return chunking.hierarchy(docs, providers.with_embeddings)
+
+
+@query()
+def ingest_chunks_fallback(s: SparkSession, d: str) -> DataFrame:
+    return chunking.hierarchy(_markdown(s, d), None)
+
+
 @query()
 def fallback_chunks(s: SparkSession, d: str) -> DataFrame:
     return chunking.chunk_texts(read_table(s, d, "documents"))
@@ -528,12 +480,12 @@ def html_line_pack(s: SparkSession, d: str) -> DataFrame:
     return chunking.chunk_texts(pages, chunking.pack_lines)
 
 
-@query("""WITH t AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN '| a | b |' || chr(10) || '|---|:-:|' || chr(10) || '| ' || left(text, 20) || ' |' WHEN doc_id % 3 = 1 THEN '| a |' || chr(10) || text ELSE text END AS text FROM documents),
+@query("""WITH t AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN '| a | b |' || chr(10) || '|---|:-:|' || chr(10) || '| ' || text || ' |' WHEN doc_id % 3 = 1 THEN '| a |' || chr(10) || text ELSE text END AS text FROM documents),
 l AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS l FROM t)
 SELECT doc_id, len(list_filter(l, lambda x: starts_with(x, '|'))) >= 2 AND len(list_filter(l, lambda x: regexp_matches(x, '^\\|[\\s\\-:|]+\\|'))) > 0 AS is_table FROM l""".replace("\\\\", "\\"))
 def table_detect(s: SparkSession, d: str) -> DataFrame:
     k, t = F.col("doc_id"), F.col("text")
-    made = F.when(k % 3 == 0, F.concat(F.lit("| a | b |\n|---|:-:|\n| "), F.left(t, F.lit(20)), F.lit(" |"))).when(k % 3 == 1, F.concat(F.lit("| a |\n"), t)).otherwise(t)
+    made = F.when(k % 3 == 0, F.concat(F.lit("| a | b |\n|---|:-:|\n| "), t, F.lit(" |"))).when(k % 3 == 1, F.concat(F.lit("| a |\n"), t)).otherwise(t)
     return read_table(s, d, "documents").select("doc_id", T.is_table(made).alias("is_table"))
 
 
@@ -599,11 +551,12 @@ def history_prompt(s: SparkSession, d: str) -> DataFrame:
 
 def _cache_sides(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     e = read_table(s, d, "embeddings").withColumn("at", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("vec_id") * 600))
-    ask = e.filter("vec_id % 3 = 0").select(F.col("vec_id").alias("request_id"), F.col("label").alias("action"), F.col("at").alias("asked_at"), "embedding")
-    return ask, e.filter("vec_id % 3 = 1").select(F.col("vec_id").alias("entry_id"), F.col("label").alias("action"), F.col("at").alias("saved_at"), "embedding")
+    ask = e.select(F.col("vec_id").alias("request_id"), F.col("label").alias("action"), F.col("at").alias("asked_at"), "embedding")
+    saved = F.col("at") + F.expr("interval 1 second")  # an answer is saved after its own request
+    return ask, e.select(F.col("vec_id").alias("entry_id"), F.col("label").alias("action"), saved.alias("saved_at"), "embedding")
 
 
-@query("""WITH p AS (SELECT r.vec_id AS request_id, c.vec_id AS entry_id, round(list_cosine_similarity(r.embedding::DOUBLE[], c.embedding::DOUBLE[]), 6) AS similarity FROM embeddings r JOIN embeddings c ON r.label = c.label WHERE r.vec_id % 3 = 0 AND c.vec_id % 3 = 1 AND c.vec_id <= r.vec_id AND (r.vec_id - c.vec_id) * 600 < 86400),
+@query("""WITH p AS (SELECT r.vec_id AS request_id, c.vec_id AS entry_id, round(list_cosine_similarity(r.embedding::DOUBLE[], c.embedding::DOUBLE[]), 6) AS similarity FROM embeddings r JOIN embeddings c ON r.label = c.label WHERE c.vec_id < r.vec_id AND (r.vec_id - c.vec_id) * 600 - 1 < 86400),
 b AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY similarity DESC, entry_id) AS n FROM p WHERE similarity > 0) SELECT request_id, entry_id, similarity, similarity >= 0.8 AS hit FROM b WHERE n = 1""")
 def cache_lookup(s: SparkSession, d: str) -> DataFrame:
     return dialogue.cache_lookup(*_cache_sides(s, d))
@@ -641,3 +594,137 @@ def json_extract(s: SparkSession, d: str) -> DataFrame:
 @query("SELECT vec_id, round(sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x))), 6) AS norm FROM embeddings")
 def embedding_norms(s: SparkSession, d: str) -> DataFrame:
     return read_table(s, d, "embeddings").select("vec_id", F.round(V.norm(F.col("embedding")), 6).alias("norm"))
+
+
+# -- queries and answers of models -----------------------------------------------------
+
+_SITES = ["ufm.edu.vn", "pdt.ufm.edu.vn", "tuyensinh.ufm.edu.vn"]
+_ASK = "CASE (conv_id + turn) % 4 WHEN 0 THEN text || ' học phí và KÝ TÚC XÁ' WHEN 1 THEN text || ' hồ sơ 2025' ELSE text END"
+_NAMED = ", ".join(f"CASE WHEN contains(lower(q), '{w}') THEN '{d}' END" for w, d in answers.DOMAINS)
+
+
+def _ask() -> F.Column:
+    k, t = (F.col("conv_id") + F.col("turn")) % 4, F.col("text")
+    return F.when(k == 0, F.concat(t, F.lit(" học phí và KÝ TÚC XÁ"))).when(k == 1, F.concat(t, F.lit(" hồ sơ 2025"))).otherwise(t)
+
+
+@query(rf"""WITH a AS (SELECT conv_id, turn, {_ASK} AS q FROM conversations), f AS (SELECT *, list_filter([{_NAMED}, 'ufm.edu.vn', 'pdt.ufm.edu.vn', 'tuyensinh.ufm.edu.vn'], lambda x: x IS NOT NULL) AS d FROM a),
+u AS (SELECT *, list_filter(d, lambda x, i: list_position(d, x) = i)[:3] AS sites, CASE WHEN regexp_matches(q, '20[2-3][0-9]') THEN q ELSE q || ' năm 2025 2026' END AS anchored FROM f)
+SELECT conv_id, turn, anchored, array_to_string(sites, ',') AS sites, anchored || ' ' || array_to_string(list_transform(sites, lambda x: 'site:' || x), ' OR ') AS search,
+ regexp_replace(replace(upper(replace(left(q, 50), 'ß', 'SS')), ' ', '_'), '[^\p{{L}}\p{{N}}_]', '', 'g') AS slug, left(q, 200) AS preview FROM u""")
+def search_strings(s: SparkSession, d: str) -> DataFrame:
+    q = read_table(s, d, "conversations").select("conv_id", "turn", _ask().alias("q"))
+    q = q.withColumn("anchored", answers.with_year(F.col("q"), 2026)).withColumn("sites", answers.domains(F.col("q"), _SITES))
+    search = answers.search_string(F.col("anchored"), F.col("sites"))
+    return q.select("conv_id", "turn", "anchored", F.array_join("sites", ",").alias("sites"), search.alias("search"), answers.log_slug(F.col("q")).alias("slug"), answers.preview(F.col("q")).alias("preview"))
+
+
+_LISTED = "'1. ' || replace(text, '. ', chr(10) || '2) ') || chr(10) || ' - x' || chr(10) || '• ' || text"
+
+
+@query(rf"""WITH r AS (SELECT doc_id, {_LISTED} AS raw FROM documents), v AS (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(raw, '^\s+|\s+$', '', 'g'), chr(10)),
+ lambda l: regexp_replace(regexp_replace(regexp_replace(regexp_replace(l, '^\s+|\s+$', '', 'g'), '^\s*[0-9]+[.)\]]\s*', ''), '^\s*[-•]\s*', ''), '^\s+|\s+$', '', 'g')), lambda l: length(l) > 5) AS v FROM r)
+SELECT doc_id, len(v)::BIGINT AS n, sha256(array_to_string(v, chr(10))) AS variants FROM v""")
+def variant_lists(s: SparkSession, d: str) -> DataFrame:
+    t = F.col("text")
+    raw = F.concat(F.lit("1. "), F.replace(t, F.lit(". "), F.lit("\n2) ")), F.lit("\n - x\n• "), t)
+    v = read_table(s, d, "documents").select("doc_id", answers.variants(raw).alias("v"))
+    return v.select("doc_id", F.size("v").cast("long").alias("n"), F.sha2(F.array_join("v", "\n"), 256).alias("variants"))
+
+
+@query("""SELECT event_id, event_id % 4 <> 0 AS passed, CASE event_id % 4 WHEN 0 THEN 'why' || event_id WHEN 1 THEN 'ok' ELSE '' END AS critique,
+ CASE WHEN event_id % 4 < 2 THEN event_id::VARCHAR END AS event, CASE WHEN event_id % 4 < 2 AND event_id <> 0 THEN 1 ELSE 0 END::BIGINT AS n_fields FROM events""")
+def model_answers(s: SparkSession, d: str) -> DataFrame:
+    k = F.col("event_id")
+    raw = (
+        F.when(k % 4 == 0, F.concat(F.lit("So: ```json\n{\"passed\": false, \"critique\": \" why"), k, F.lit(" \", \"id\": "), k, F.lit("}\n```")))
+        .when(k % 4 == 1, F.concat(F.lit('{"passed": true, "critique": "ok", "id": '), k, F.lit("} and more")))
+        .when(k % 4 == 2, F.lit("passed: true, no object"))
+        .otherwise(F.lit("{broken"))
+    )
+    fields = F.map_filter(answers.form_fields(F.regexp_extract(raw, r"(\{[^}]*\})", 1)), lambda n, v: n == "id")
+    v = answers.verdict(raw)
+    return read_table(s, d, "events").select("event_id", v["passed"].alias("passed"), v["critique"].alias("critique"), F.element_at(answers.answer_object(raw), "id").alias("event"), F.size(fields).cast("long").alias("n_fields"))
+
+
+@query(r"""SELECT doc_id, concat_ws(chr(10) || chr(10), CASE WHEN doc_id % 3 > 0 THEN '[DỮ LIỆU NỘI BỘ]' || chr(10) || text END, CASE WHEN doc_id % 2 = 0 THEN '[DỮ LIỆU TỪ WEB]' || chr(10) || source END,
+ CASE WHEN doc_id % 2 = 0 THEN '[NGUỒN TRÍCH DẪN]' || chr(10) || '- [a](http://a)' || chr(10) || '- [b](http://b)' END) AS context,
+ doc_id % 3 > 0 AND length(regexp_replace(text, '^\s+|\s+$', '', 'g')) >= 50 AND doc_id % 5 = 0 AS enough, CASE WHEN doc_id % 7 = 0 THEN left(text, 1200) || '...' WHEN length(trim(source || text)) >= 1200 THEN left(trim(source || text), 1197) || '...' ELSE source || regexp_replace(text, '\s+$', '') END AS short FROM documents""")
+def merged_contexts(s: SparkSession, d: str) -> DataFrame:
+    k, t = F.col("doc_id"), F.col("text")
+    links = F.array(*[F.struct(F.lit(x).alias("text"), F.lit(f"http://{x}").alias("url")) for x in "ab"])
+    inner = F.when(k % 3 > 0, t).otherwise("")
+    said = F.when(k % 5 == 0, " yes, it does").otherwise("No")
+    short = answers.shortened(t, F.when(k % 7 == 0, "  ").otherwise(F.concat("source", t)))
+    return read_table(s, d, "documents").select("doc_id", answers.merged_context(inner, F.when(k % 2 == 0, F.col("source")), links).alias("context"), answers.is_enough(inner, said).alias("enough"), short.alias("short"))
+
+
+@query(f"""WITH s AS (SELECT q.vec_id - q.vec_id % 20 AS query_id, c.vec_id AS chunk_id, max({_COS}) AS score FROM embeddings q, embeddings c WHERE q.vec_id % 20 IN (0, 1) GROUP BY 1, 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM s) SELECT query_id, chunk_id, score, rank::INT AS rank FROM r WHERE rank <= 7""")
+def variant_max(s: SparkSession, d: str) -> DataFrame:
+    both = read_table(s, d, "embeddings").filter("vec_id % 20 < 2").select(F.col("vec_id").alias("query_id"), "embedding")
+    top = retrieval.vector_topk(_corpus(s, d), both)  # a chunk among the best over all variants is among the best of one
+    return answers.best_over_variants(top.withColumn("query_id", F.col("query_id") - F.col("query_id") % 20))
+
+
+@query("""WITH n AS (SELECT sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x))) AS n FROM embeddings WHERE embedding IS NOT NULL), b AS (SELECT least(floor(n * 10), 20)::INT AS bin, count(*) AS c FROM n GROUP BY 1)
+SELECT count(*) AS n, round(avg(n), 6) AS avg, round(min(n), 6) AS min, round(max(n), 6) AS max, round(stddev_pop(n), 4) AS stddev, (SELECT string_agg(bin || ':' || c, ',' ORDER BY bin) FROM b) AS distribution FROM n""")
+def embedding_shape(s: SparkSession, d: str) -> DataFrame:
+    return answers.vector_shape(read_table(s, d, "embeddings"))
+
+
+@query(f"WITH {_CHUNKS} SELECT chunk_id, content, created_at FROM chunks WHERE source = (SELECT min(source) FROM documents) AND is_active")
+def document_detail(s: SparkSession, d: str) -> DataFrame:
+    chunks = _chunks(s, d)
+    first = chunks.agg(F.min("source")).first()[0]
+    return answers.document_detail(chunks, first).select("chunk_id", "content", "created_at")
+
+
+@query(f"WITH {_LOGS} SELECT file_name, status, log_id FROM logs WHERE file_name NOT IN ('src1', 'src3')")
+def log_removal(s: SparkSession, d: str) -> DataFrame:
+    return answers.without_logs(_logs(s, d), s.createDataFrame([("src1",), ("src3",)], "file_name string"))
+
+
+@query("""WITH t AS (SELECT event_id AS task_id, CASE event_id % 3 WHEN 0 THEN 'completed' WHEN 1 THEN 'running' ELSE 'pending' END AS status FROM events)
+SELECT task_id, CASE WHEN task_id % 2 = 0 AND status <> 'completed' THEN 'cancelled' ELSE status END AS status FROM t""")
+def task_cancel(s: SparkSession, d: str) -> DataFrame:
+    k = F.col("task_id")
+    t = read_table(s, d, "events").select(F.col("event_id").alias("task_id")).withColumn("status", F.when(k % 3 == 0, "completed").when(k % 3 == 1, "running").otherwise("pending"))
+    return answers.cancelled(t, t.filter("task_id % 2 = 0").select("task_id"))
+
+
+@query("SELECT count(*) AS size, count(*) FILTER (epoch(TIMESTAMP '2024-01-15 12:00:00') - floor(epoch(ts)) < 86400) AS alive, 200 AS max_size, 0.8::DOUBLE AS threshold, 86400 AS ttl_seconds FROM events")
+def cache_statistics(s: SparkSession, d: str) -> DataFrame:
+    e = read_table(s, d, "events").select(F.col("ts").cast("timestamp").alias("saved_at"))
+    return answers.cache_statistics(e, F.lit("2024-01-15 12:00:00").cast("timestamp"))
+
+
+_LOOSE = f"CASE (conv_id + turn) % 3 WHEN 0 THEN {_PICK} WHEN 1 THEN lower(replace({_PICK}, '_', '-')) ELSE 'no such ' || {_PICK} END"
+
+
+@query(f"WITH i AS (SELECT conv_id, turn, {_LOOSE} AS i FROM conversations), n AS (SELECT *, replace(replace(upper(i), ' ', '_'), '-', '_') AS n FROM i) SELECT conv_id, turn, n IN ({', '.join(repr(x) for x in sorted(config.INTENT_ACTIONS))}) AS valid, CASE WHEN n IN ({', '.join(repr(x) for x in sorted(config.INTENT_ACTIONS))}) THEN n ELSE 'KHONG_XAC_DINH' END AS intent FROM n")
+def intent_validate(s: SparkSession, d: str) -> DataFrame:
+    at, k = (F.col("conv_id") + F.col("turn")) % len(_LABELS), (F.col("conv_id") + F.col("turn")) % 3
+    name = F.element_at(F.array(*map(F.lit, _LABELS)), (at + 1).cast("int"))
+    loose = F.when(k == 0, name).when(k == 1, F.lower(F.translate(name, "_", "-"))).otherwise(F.concat(F.lit("no such "), name))
+    v = answers.valid_intent(loose)
+    return read_table(s, d, "conversations").select("conv_id", "turn", v["valid"].alias("valid"), v["intent"].alias("intent"))
+
+
+@query(rf"""WITH w AS (SELECT item_id AS query_id, list_distinct({_TERMS.format("text")}) AS t FROM benchmark), d AS (SELECT doc_id AS chunk_id, {_TERMS.format("text")} AS t FROM documents)
+SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY chunk_id)::INT AS rank FROM w, d WHERE len(w.t) > 0 AND list_has_all(d.t, w.t)""".replace("row_number() OVER (PARTITION BY query_id ORDER BY chunk_id)::INT", "count(*) OVER (PARTITION BY query_id)::INT").replace("AS rank", "AS n_matches"))
+def cover_density(s: SparkSession, d: str) -> DataFrame:
+    docs = read_table(s, d, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"))
+    wanted = retrieval.query_terms(read_table(s, d, "benchmark").select(F.col("item_id").alias("query_id"), "text"))
+    w = Window.partitionBy("query_id")
+    return retrieval.cover_density(docs, wanted, k=None).select("query_id", "chunk_id", F.count("*").over(w).cast("int").alias("n_matches"))
+
+
+@query()
+def cover_density_topk(s: SparkSession, d: str) -> DataFrame:
+    docs = read_table(s, d, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"))
+    return retrieval.cover_density(docs, retrieval.query_terms(read_table(s, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")))
+
+
+for _name, _same in {"vector_topk_all": "vector_topk", "vector_topk_filtered_all": "vector_topk_filtered", "rrf_fusion_all": "rrf_fusion", "parent_rollup_all": "parent_rollup", "bm25_topk_whole": "bm25_topk", "fulltext_match_all_whole": "fulltext_match_all", "late_fetch_all": "late_fetch"}.items():
+    QUERIES[_name], SQL[_name] = QUERIES[_same], SQL[_same]

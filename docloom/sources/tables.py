@@ -12,16 +12,22 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def _shared(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names. Where nothing is set a temporary one is
+    made, on a local master only: executors elsewhere wouldn't see it."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    sc = spark.sparkContext
+    if not named and not sc.getCheckpointDir():
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="docloom-"))
+    return (named or sc.getCheckpointDir()).rstrip("/")
+
+
 def materialized(df: DataFrame) -> DataFrame:
-    """df as written to the folder that spark.checkpoint.dir names (a temporary one only
-    where nothing is set) and read back: it is computed once and survives lost executors."""
-    spark = df.sparkSession
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        sc = spark.sparkContext
-        if not sc.getCheckpointDir():
-            sc.setCheckpointDir(tempfile.mkdtemp(prefix="docloom-"))
-        shared = sc.getCheckpointDir()
-    path = f"{shared.rstrip('/')}/docloom/{uuid.uuid4().hex}"
+    """df as written to the shared folder and read back: it is computed once and survives
+    lost executors."""
+    path = f"{_shared(df.sparkSession)}/docloom/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from docloom import config
 from docloom.functions import text as T
-from docloom.operators import chunking, dialogue, headers, ingest, retrieval
+from docloom.operators import answers, chunking, dialogue, headers, ingest, retrieval
 from docloom.plans import providers
 from docloom.streaming import stateful
 
@@ -97,6 +97,119 @@ def test_yaml_header():
     assert headers.parse_yaml_header("---\na: &x 1\n---\nb")["errors"] and headers.parse_yaml_header("---\ndoc_type: zz\n---\nb")["errors"]
 
 
+def test_cover_density():
+    assert retrieval._covers([3, 4, 9, 10], ["a", "b", "a", "b"], 2) == pytest.approx(0.1 + 0.1 / 5 + 0.1)  # 3-4, 4-9 and 9-10
+    assert retrieval._covers([0, 1, 2, 8], ["a", "a", "a", "b"], 2) == pytest.approx(0.1 / 6)  # the last a counts
+    assert retrieval._covers([5], ["a"], 1) == pytest.approx(0.1) and retrieval._covers([1, 2], ["a", "a"], 2) == 0
+
+
+def test_answers(spark):
+    def columns(raw, **made):
+        return spark.createDataFrame([(raw,)], "t string").select(*[c.alias(n) for n, c in made.items()]).first()
+
+    t = F.col("t")
+    r = columns("1. Học phí thế nào?\n 2) ngắn\n• Điều kiện xét tuyển\n- x\n3] 2026 có gì", v=answers.variants(t), q=answers.search_queries(t))
+    assert r.v == ["Học phí thế nào?", "Điều kiện xét tuyển", "2026 có gì"] and r.q == ["Học phí thế nào?", "2) ngắn"]
+    assert columns('- "1. a"\n\n** b **\nc', q=answers.search_queries(t)).q == ["a", "b"]
+    r = columns("x ```json\n{'a': 'b', 'n': 1}\n``` y", o=answers.answer_object(t), v=answers.verdict(t))
+    assert r.o == {"a": "b", "n": "1"} and tuple(r.v) == (True, "")
+    assert tuple(columns('{"passed": false, "critique": " no "}', v=answers.verdict(t)).v) == (False, "no") and tuple(columns('{"critique": "c"}', v=answers.verdict(t)).v) == (False, "c")
+    assert columns('```json\n{"ten": "An", "lop": null, "khoa": "None", "so": 0}\n```', f=answers.form_fields(t)).f == {"ten": "An"} and columns("none", f=answers.form_fields(t)).f == {}
+    pair = lambda *kv: F.create_map(*map(F.lit, kv))
+    assert columns("", m=answers.merged_extra(pair("a", "1", "b", "2"), pair("b", "3")), n=answers.merged_extra(F.lit(None).cast("map<string,string>"), pair("b", "3"))) == ({"a": "1", "b": "3"}, {"b": "3"})
+    r = columns("CHƯƠNG TRÌNH ĐÀO TẠO TIẾN SĨ NGÀNH QUẢN LÝ KINH TẾ (ứng dụng)", n=answers.program_name(t), a=answers.abbreviations(F.lit("Tài chính – Ngân hàng")))
+    assert r == ("Quản Lý Kinh Tế", "TC-NH, TCNH, tc-nh, tcnh, Tài chính Ngân hàng")
+    assert columns("Chương trình đào tạo Marketing", n=answers.program_name(t)).n == "Marketing"
+    r = columns("x", a=answers.safe_by_scores(F.lit(0.9), F.lit("SAFE")), b=answers.safe_by_scores(F.lit(None).cast("double"), F.lit(None).cast("string")), c=answers.safe_by_scores(F.lit(0.1), F.lit(" unsafe: s1")), d=answers.allowed_origin(F.lit(""), F.lit("https://a.ufm.edu.vn/x"), ["ufm.edu.vn"]), e=answers.allowed_origin(F.lit("https://evil.com"), t, ["ufm.edu.vn"]), f=answers.allowed_origin(F.lit(None), F.lit(None), ["x"]), g=answers.bypasses_model(F.lit("fast_scan")), h=answers.fallback_answer(F.lit(""), t, "m"))
+    assert tuple(r) == (False, True, False, True, False, True, True, "x")
+
+
+def test_merging_blocks():
+    long = "Câu này dài. " * 20
+    assert chunking.merge_blocks([long, "b.", "c."], [True, False, True]) == [(f"{long} b. b. c.", False)]  # a small chunk joins, overlap and all
+    two = chunking.merge_blocks([long, long], [True, True])
+    assert two == [(long.strip(), False), (f"{long} {long}".strip(), False)]
+    assert chunking.merge_blocks(["x" * 3000], [True]) == [("x" * 2400, True)]
+
+
+@pytest.mark.parametrize("by_meaning", [True, False])
+def test_parents_and_children(spark, by_meaning):
+    """Against the same steps taken one document at a time."""
+    import numpy as np
+
+    body = lambda words, n: " ".join(f"{words} câu số {i} nói về việc này rất dài dòng." for i in range(n))
+    texts = {1: f"# A\n{body('học phí', 30)}\n## B\n{body('ký túc xá', 12)}\n\n{body('thư viện sách', 25)}\n# C\nngắn", 2: "một dòng", 3: "", 4: None, 5: f"# T\n{body('mẫu đơn', 400)}"}
+    df = spark.createDataFrame([(k, t, "s") for k, t in texts.items()], "doc_id long, text string, source string")
+    got = chunking.hierarchy(df, providers.with_embeddings if by_meaning else None).collect()
+    parents = {r.chunk_id: r for r in got if r.chunk_level == "parent"}
+    secs = chunking.sections(chunking.headings(chunking.fences(chunking.lines(df.filter("text <> ''")))))
+    want = {(r.doc_id, r.chunk_index): r.content for r in chunking.parent_chunks(secs).collect()}
+    assert {(r.doc_id, r.chunk_index): r.content for r in parents.values()} == want and {k for k, _ in want} == {1, 2, 5}
+    children = sorted((r for r in got if r.chunk_level == "child"), key=lambda r: (r.parent_id, r.chunk_index))
+    for key, p in parents.items():
+        prefix = chunking.context_prefix(p.section_path, str(p.doc_id))
+        text = p.content.removeprefix(prefix).strip()
+        if by_meaning:
+            blocks = chunking.base_blocks(text)
+            v = providers.HashingEmbedder().embed(blocks).astype(float)
+            starts = [i == 0 or round(float(v[i] @ v[i - 1] / np.sqrt(v[i] @ v[i]) / np.sqrt(v[i - 1] @ v[i - 1])), 6) < chunking.SIMILARITY for i in range(len(blocks))]
+            cut = chunking.merge_blocks(blocks, starts)
+        else:
+            cut = [(c, False) for c in chunking.fallback(text)]
+        mine = [r for r in children if r.parent_id == key]
+        assert [(r.content, r.truncated) for r in mine] == [(prefix + c, lost) for c, lost in cut]
+        assert p.children_ids == [r.chunk_id for r in mine] and all((r.doc_id, r.section_path, r.source, r.total) == (p.doc_id, p.section_path, "s", len(mine)) for r in mine)
+    assert len({r.chunk_id for r in got}) == len(got)
+
+
+def test_yaml_header_forms():
+    parse = headers.parse_yaml_header
+    assert parse("no header") is None and parse("---\ntitle: T\n---") is None
+    assert parse("---\n\n---\nB") == {"content": "B", "errors": [], "warnings": ["no -start- marker"], "keywords": [], "doc_type": None, "doc_id": None, "title": None, "valid_from": None, "program_level": None, "academic_year": None, "doc_number": None, "parent_doc_id": None, "source_url": None}
+    h = parse("---\neffective_date: 2026-01-05T10:30:00\nkeywords: [a, '', 7]\nurl: http://x.org/a\n---\n between \n-start-\nB")
+    assert (str(h["valid_from"]), h["keywords"], h["source_url"], h["header_context"], h["content"]) == ("2026-01-05 10:30:00", ["a", "7"], "http://x.org/a", "between", "B")
+    assert parse("---\nreference_url: https://x.org/../y\n---\n-start-B")["warnings"] == ["bad source_url"]
+    bad = parse("---\ndoc_id: A-1\neffective_date: soon\n---\n-start-\nB")
+    assert bad["errors"] == ["bad effective_date"] and bad["doc_id"] == "A-1" and bad["content"] == "B"
+    assert parse("---\n- a\n---\nB")["errors"] == ["not a mapping"] and parse("---\neffective_date: 2026\n---\n-start-B")["errors"] == []
+
+
+def test_headers_reads_both_forms(spark):
+    legacy = "Ký 01/01/2020\nNgày hiệu lực: 15/01/2026\nVăn bản số: 186 /TB\n# THÔNG BÁO trình độ thạc sĩ năm 2026\n-start-\nB"
+    rows = [("a", "---\ntitle: T\n---\n-start-\nY"), ("b", legacy), ("c", "plain"), ("d", None)]
+    got = {r.source: r for r in headers.headers(spark.createDataFrame(rows, "source string, text string")).collect()}
+    assert {k: (r.format, r.content) for k, r in got.items()} == {"a": ("yaml", "Y"), "b": ("legacy", "B"), "c": ("none", "plain"), "d": ("none", None)}
+    b = got["b"]
+    assert (str(b.valid_from)[:10], b.program_level, b.academic_year, b.doc_number, b.header_context) == ("2026-01-15", "thac_si", "2026", "186 /TB", "Ký 01/01/2020\n# THÔNG BÁO trình độ thạc sĩ năm 2026")
+
+
+def test_placeholders(spark):
+    cases = {
+        "---\ntitle: a....b\n---\nTôi tên là:....tại...x\n ..\n": "---\ntitle: a....b\n---\nTôi tên là: ___ tại___ x\n",
+        "a\n\n\n\n\nb   c  \n": "a\n\n\nb c\n", "Ngày ..... năm 20......": "Ngày ___ năm 20___", "……\nx…y": "x___ y", "---\na...b\n": "---\na...b\n", "": "",
+    }
+    df = spark.createDataFrame([(t,) for t in cases], "text string")
+    assert [r.x for r in df.select(headers.compress_placeholders(F.col("text")).alias("x")).collect()] == list(cases.values())
+
+
+def test_metadata(spark):
+    """Against the patterns as Python reads them, and hand-made cases."""
+    import re
+
+    def plain(q):
+        q = q.lower()
+        for name in dialogue.SCHOOL_NAMES:
+            q = q.replace(name, " ")
+        first = lambda rows: next((n for n, ps in rows if any(re.search(p, q, re.I) for p in ps)), None)
+        return first(config.LEVELS), first(config.PROGRAMS)
+
+    asked = ["ĐH UFM học phí", "đh tài chính - marketing ở đâu", "học phí thạc sĩ marketing", "ngành Kế toán đại học", "NCS ngành quản trị kinh doanh", "trường đại học nào", "ts 2026", "học ts", "kinh tế lượng", "Kinh Tế", "sau đại học", "luật", ""]
+    asked += [n + " " + p for n in dialogue.SCHOOL_NAMES for p, _ in config.PROGRAMS]
+    df = spark.createDataFrame([(q,) for q in asked], "q string").select(dialogue.metadata(F.col("q")).alias("m"))
+    got = [tuple(r.m) for r in df.collect()]
+    assert got == [plain(q) for q in asked] and got[:3] == [(None, None), (None, None), ("thac_si", "Marketing")]
+
+
 def test_yaml_headers_frame(spark):
     r = headers.yaml_headers(spark.createDataFrame([("f", "---\ntitle: T\n---\n-start-\nB"), ("g", None)], "source string, text string")).orderBy("source").collect()
     assert (r[0].title, r[0].content, r[1].content) == ("T", "B", "")

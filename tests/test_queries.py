@@ -65,7 +65,7 @@ def test_questions_are_whole_texts(spark):
     held = {r.doc_id: words(r.text) for r in spark.read.parquet(f"{FOLDER}/documents.parquet").collect()}
     want = {(q, c) for q, a in asked.items() for c, t in held.items() if a <= t}
     assert {tuple(r) for r in plans.QUERIES["fulltext_match_all_whole"](spark, FOLDER).select("query_id", "chunk_id").collect()} == want
-    _, wanted, _ = plans._text_index_all(spark, FOLDER)
+    _, wanted, _ = plans._text_index(spark, FOLDER)
     got = {}
     for r in wanted.collect():
         got.setdefault(r.query_id, set()).add(r.term)
