@@ -37,6 +37,8 @@ from docloom.llm.common import components, with_row_key, written
 BLOCK = 2048
 #: Vectors for which a cell is laid out, about.
 CELL = 5000
+#: Pairs looked at in one step once they are listed.
+PAIRS = 1 << 17
 #: Bits of each coordinate of the rotated vector as a query.
 BITS = 4
 #: Tables, and cells that a vector visits in each, by the number of blocks of coordinates.
@@ -97,23 +99,25 @@ def encode(unit: np.ndarray) -> dict[str, np.ndarray]:
 
 
 def estimate(q: dict[str, np.ndarray], x: dict[str, np.ndarray], d: int) -> np.ndarray:
-    """Estimated inner products of the query forms of q with the codes of x."""
-    words = x["code"].shape[1]
-    ones = np.bitwise_count(x["code"]).sum(axis=1, dtype=np.int64)
-    hits = np.zeros((len(q["low"]), len(ones)), np.int64)
-    for b in range(BITS):
-        for w in range(words):
-            hits += np.bitwise_count(q["planes"][:, b * words + w, None] & x["code"][None, :, w]).astype(np.int64) << b
-    positive = q["low"][:, None] * ones[None, :] + q["step"][:, None] * hits
-    return (2 * positive - q["total"][:, None]) / np.sqrt(d) / x["f"][None, :]
+    """Estimated inner products of the query forms of q with the codes of x, row by row,
+    or of all with all where their arrays are laid out to meet so (_all)."""
+    words = x["code"].shape[-1]
+    ones = sum(np.bitwise_count(x["code"][..., w]).astype(np.uint16) for w in range(words))
+    hits = sum((np.bitwise_count(q["planes"][..., b * words + w] & x["code"][..., w]).astype(np.uint16) << np.uint16(b)) for b in range(BITS) for w in range(words))
+    positive = q["low"] * ones + q["step"] * hits
+    return (2 * positive - q["total"]) / (np.float32(np.sqrt(d)) * x["f"])
 
 
 def upper(q: dict[str, np.ndarray], x: dict[str, np.ndarray], d: int, width: float) -> np.ndarray:
     """Upper confidence bounds of the inner products: of the code, and of the query's steps."""
     f = x["f"]
-    code = np.sqrt(np.maximum(1 - f * f, 0)) / f / np.sqrt(max(d - 1, 1))
-    steps = q["step"][:, None] / np.sqrt(12) / f[None, :]
-    return estimate(q, x, d) + width * np.sqrt(code[None, :] ** 2 + steps**2) + 1e-9
+    code = np.maximum(1 - f * f, 0) / (f * f) / max(d - 1, 1)
+    steps = q["step"] / f
+    return estimate(q, x, d) + width * np.sqrt(code + steps * steps / 12) + 1e-5
+
+
+def _all(coded: dict[str, np.ndarray], axis: int) -> dict[str, np.ndarray]:
+    return {c: np.expand_dims(v, axis) for c, v in coded.items()}
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -123,7 +127,7 @@ def _unit(x: np.ndarray) -> np.ndarray:
 
 
 def _codes(pdf: pd.DataFrame) -> dict[str, np.ndarray]:
-    out = {c: pdf[c].to_numpy() for c in ("f", "low", "step", "total")}
+    out = {c: pdf[c].to_numpy(np.float32) for c in ("f", "low", "step", "total")}
     return out | {c: np.frombuffer(b"".join(pdf[c]), np.uint64).reshape(len(pdf), -1) for c in ("code", "planes")}
 
 
@@ -131,10 +135,12 @@ def _open(a: pd.DataFrame, b: pd.DataFrame, same: bool, d: int, threshold: float
     """Pairs of rows of a and b that meet here and whose bounds leave them open."""
     ca, cb = _codes(a), _codes(b)
     home_a, home_b = a["home"].to_numpy(bool), b["home"].to_numpy(bool)
-    meets = (home_a[:, None] | home_b[None, :]) & (upper(ca, cb, d, width) >= threshold) & (upper(cb, ca, d, width).T >= threshold)
+    i, j = np.nonzero((home_a[:, None] | home_b[None, :]) & (upper(_all(ca, 1), _all(cb, 0), d, width) >= threshold))
     if same:
-        meets &= np.tri(len(a), k=-1, dtype=bool).T
-    return np.nonzero(meets)
+        i, j = i[i < j], j[i < j]
+    keep = [upper({c: v[j[at : at + PAIRS]] for c, v in cb.items()}, {c: v[i[at : at + PAIRS]] for c, v in ca.items()}, d, width) >= threshold for at in range(0, len(i), PAIRS)]
+    ok = np.concatenate([*keep, np.zeros(0, bool)])
+    return i[ok], j[ok]
 
 
 def _sides(pdf: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame, bool]:
@@ -147,7 +153,7 @@ def _compare(a: pd.DataFrame, b: pd.DataFrame, same: bool, d: int, dtype: np.dty
     """Links between the rows of a and of b (or within a) that are counted here."""
     i, j = _open(a, b, same, d, threshold, width)
     ua, ub = (_unit(np.frombuffer(b"".join(x["value"]), dtype).reshape(-1, d)) for x in (a, b))
-    keep = [np.einsum("nd,nd->n", ua[i[at : at + (1 << 17)]], ub[j[at : at + (1 << 17)]]) >= threshold for at in range(0, len(i), 1 << 17)]  # in bounded pieces
+    keep = [np.einsum("nd,nd->n", ua[i[at : at + (PAIRS)]], ub[j[at : at + (PAIRS)]]) >= threshold for at in range(0, len(i), PAIRS)]  # in bounded pieces
     if keep:
         ok = np.concatenate(keep)
         i, j = i[ok], j[ok]
@@ -156,11 +162,11 @@ def _compare(a: pd.DataFrame, b: pd.DataFrame, same: bool, d: int, dtype: np.dty
     ca, cb = (np.stack(x["cells"].to_list()).reshape(len(x), int(a["tables"].iat[0]), -1) for x in (a, b))
     here = np.ones(len(i), bool)
     for t in range(table + 1):
-        for at in range(0, len(i), 1 << 17):
-            x, y = ca[i[at : at + (1 << 17)], t], cb[j[at : at + (1 << 17)], t]
+        for at in range(0, len(i), PAIRS):
+            x, y = ca[i[at : at + (PAIRS)], t], cb[j[at : at + (PAIRS)], t]
             in_b = (x == y[:, :1]).any(axis=1)  # x comes to the home of y
             in_a = (y == x[:, :1]).any(axis=1)
-            part = slice(at, at + (1 << 17))
+            part = slice(at, at + (PAIRS))
             if t < table:
                 here[part] &= ~(in_a | in_b)
             else:

@@ -67,9 +67,10 @@ def test_estimates_are_unbiased_and_bounds_hold():
     rng = np.random.default_rng(1)
     for d in (24, 64, 100):
         x, y = pairs_of_cosine(rng, d, 600)
-        q, c = embeddings.encode(x), embeddings.encode(y)
+        q = embeddings.encode(x)
+        q, c = embeddings._all(q, 1), embeddings._all(embeddings.encode(y), 0)
         both, true = embeddings.estimate(q, c, d), x @ y.T
         assert abs((both - true).mean()) < 0.005 and abs(np.diag(both).mean() - 0.9) < 0.015
         assert (embeddings.upper(q, c, d, 4.0) >= true).mean() > 0.9998 and (np.diag(embeddings.upper(q, c, d, 4.0)) >= 0.9).all()
         r = y @ embeddings._rotation(d, 0)
-        assert np.allclose(c["f"], (r * np.where(r < 0, -1, 1)).sum(axis=1) / np.sqrt(d)) and len(c["code"][0]) == -(-d // 64)
+        assert np.allclose(c["f"][0], (r * np.where(r < 0, -1, 1)).sum(axis=1) / np.sqrt(d)) and c["code"].shape[-1] == -(-d // 64)
