@@ -10,8 +10,8 @@
    that a much edited copy is seen to link with nothing before it meets a whole group.
 4. In each bucket every representative meets the bucket's leader, the one of fewest
    shingles of its own, which stands nearest to what the others were made from. Of the
-   leaders so met it keeps the one whose sketch is nearest, and that pair is confirmed
-   on the full sets. Connected components follow.
+   leaders so met it keeps the one of highest estimated similarity, and that pair is
+   confirmed on the full sets. Connected components follow.
 5. Where buckets still span several components, what they connect is one group. Groups
    are split into blocks that meet pair by pair; a task compares its rows across
    components, sketches first and then full sets, and returns edges of a spanning
@@ -20,6 +20,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,11 +39,23 @@ BLOCK_ROWS, BLOCK_SHINGLES = 192, 2_000_000
 
 class Params:
     """similarity is a ratio (num, den). bands x rows samples: a pair of 0.85 shares no
-    band with probability 4e-7. most_bits: differing sketch bits at which a candidate
-    is let go; by a rough estimate a pair of 0.85 exceeds it about once in a million."""
+    band with probability 4e-7, one of 0.8 with 3e-5. A candidate is let go where its
+    estimated similarity is under `least`: five standard errors of the samples, and the
+    sketch's own spread, below the ratio."""
 
-    def __init__(self, shingle: int = 5, num: int = 85, den: int = 100, bands: int = 20, rows: int = 4, most_bits: int = 58) -> None:
-        self.shingle, self.num, self.den, self.bands, self.rows, self.most_bits = shingle, num, den, bands, rows, most_bits
+    def __init__(self, shingle: int = 5, num: int = 85, den: int = 100, bands: int = 20, rows: int = 4, errors: float = 5.0) -> None:
+        self.shingle, self.num, self.den, self.bands, self.rows = shingle, num, den, bands, rows
+        self.samples, size = bands * rows, 64 * SKETCH_WORDS
+        j = num / den
+        differ = min(self.samples, self.samples * (1 - j) + errors * math.sqrt(self.samples * j * (1 - j)))
+        odd = 1 - math.exp(-4 * differ / size)  # share of the bits that differ, of a half
+        self.most_bits = min(size // 2 - 1, math.ceil(size / 2 * odd + errors / 2 * math.sqrt(size / 4 * odd)))
+        self.least = self.estimate(self.most_bits, math.log)
+
+    def estimate(self, bits, log):  # noqa: ANN001, ANN201  numbers, arrays or columns alike
+        """Similarity from the sketch bits that differ: each differing sample toggles two."""
+        size = 64 * SKETCH_WORDS
+        return 1 + log(1 - 2 * bits / size) * (size / (4 * self.samples))
 
 
 def shingle_sets(column: pa.Array, k: int) -> Iterator[tuple[int, list[np.ndarray]]]:
@@ -113,13 +126,19 @@ def _bits(a: str, b: str) -> F.Column:
     return total
 
 
+def _similarity(a: str, b: str, p: Params) -> F.Column:
+    """Estimated similarity of two rows; sketches that differ in half of their bits say none."""
+    bits = F.least(_bits(a, b), F.lit(32 * SKETCH_WORDS - 1))
+    return p.estimate(bits, F.log)
+
+
 def _near(a: str, b: str, p: Params) -> F.Column:
     """Sizes, shingles of their own and sketches allow the similarity. What one set has
     alone is in the union and not in the overlap."""
     x, y = (F.col(f"{c}.n_shingles") - F.col(f"{c}.own") for c in (a, b))
     overlap = F.least(x, y)
     union = F.col(f"{a}.n_shingles") + F.col(f"{b}.n_shingles") - overlap
-    return (overlap * p.den >= union * p.num) & (_bits(a, b) <= p.most_bits)
+    return (overlap * p.den >= union * p.num) & (_similarity(a, b, p) >= p.least - 1e-9)
 
 
 def _sets(texts: DataFrame, wanted: DataFrame, p: Params) -> DataFrame:
@@ -161,7 +180,8 @@ def _block(a: pd.DataFrame, b: pd.DataFrame, same: bool, p: Params) -> pd.DataFr
     bits = sum(np.bitwise_count(a[f"s{w}"].to_numpy()[:, None].view(_U) ^ b[f"s{w}"].to_numpy()[None, :].view(_U)).astype(np.int16) for w in range(SKETCH_WORDS))
     na, nb = (x["n_shingles"].to_numpy() for x in (a, b))
     overlap = np.minimum((na - a["own"].to_numpy())[:, None], (nb - b["own"].to_numpy())[None, :])
-    may = (bits <= p.most_bits) & (overlap * p.den >= (na[:, None] + nb[None, :] - overlap) * p.num) & (a["component"].to_numpy()[:, None] != b["component"].to_numpy()[None, :])
+    similarity = p.estimate(np.minimum(bits, 32 * SKETCH_WORDS - 1), np.log)
+    may = (similarity >= p.least - 1e-9) & (overlap * p.den >= (na[:, None] + nb[None, :] - overlap) * p.num) & (a["component"].to_numpy()[:, None] != b["component"].to_numpy()[None, :])
     if same:
         may &= np.tri(len(a), k=-1, dtype=bool).T
     sa, sb = a["shingles"].tolist(), b["shingles"].tolist()
@@ -222,7 +242,7 @@ def _placed(docs: DataFrame, p: Params) -> DataFrame:
     leads = buckets.groupBy("band").agg(F.min(F.struct("own", "rep")).alias("lead"), F.max("rep").alias("last"), F.min("rep").alias("first")).filter("first < last").select("band", F.col("lead.rep").alias("lead"))
     met = buckets.join(leads, "band").filter("rep <> lead").select("rep", "lead").distinct()
     met = met.join(sketches.withColumnRenamed("rep", "lead"), "lead").alias("x").join(sketches.alias("y"), "rep").filter(_near("x", "y", p))
-    star = met.select("rep", "lead", _bits("x", "y").alias("bits")).groupBy("rep").agg(F.min(F.struct("bits", "lead")).alias("best")).select(F.col("best.lead").alias("a"), F.col("rep").alias("b"))
+    star = met.select("rep", "lead", (-_similarity("x", "y", p)).alias("away")).groupBy("rep").agg(F.min(F.struct("away", "lead")).alias("best")).select(F.col("best.lead").alias("a"), F.col("rep").alias("b"))
     star = written(star, "star-pairs")
     edges = written(_confirm(star, full, p), "star-links")
     first = components(edges)
@@ -251,12 +271,15 @@ def near_duplicates(docs: DataFrame, p: Params | None = None) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, p: Params | None = None) -> DataFrame:
-    """The rows of docs, with all their columns, of which one stays of each component:
-    the first row of the smallest doc_id. Rows with a null doc_id stay."""
+    """The rows of docs, with all their columns, of which one stays of each component: of
+    the smallest doc_id, and there the first. Rows are documents of their own, whether
+    they share a doc_id or not: equal ones are one component, unlike ones both stay. Rows
+    without words stay, and those with a null doc_id. An empty table gives no rows."""
     row = free_name(docs, "_row")
     keyed = with_row_key(docs, row)
-    placed = _placed(keyed.select(F.col(row).alias("_row"), F.col("doc_id").cast("long").alias("doc_id"), "text"), p or Params())
-    placed = written(placed.filter("doc_id is not null").select("_row", "doc_id", "component_id"), "near-components")
-    first = placed.filter("doc_id = component_id").groupBy("component_id").agg(F.min("_row").alias("_first"))
-    gone = placed.join(first, "component_id").filter("_row <> _first").select(F.col("_row").alias(row))
+    of = _placed(keyed.filter("doc_id is not null").select(F.col(row).alias("doc_id"), "text"), p or Params())
+    placed = of.filter("n_shingles > 0").select(F.col("doc_id").alias(row), "component_id")
+    named = written(keyed.select(row, "doc_id").join(placed, row).select(F.col(row).alias("r"), "doc_id", "component_id"), "near-components")
+    first = named.groupBy("component_id").agg(F.min(F.struct("doc_id", "r")).alias("w"), F.count("*").alias("n")).filter("n > 1").select("component_id", F.col("w.r").alias("first"))
+    gone = named.join(first, "component_id").filter("r <> first").select(F.col("r").alias(row))
     return keyed.join(gone, row, "left_anti").select(*docs.columns)
