@@ -195,12 +195,29 @@ def test_secrets(spark, rows, empty):
 
 
 def test_battery_tells_random_from_language(spark):
+    """Detection by encoding and length at the stated rate, among ten times as many words."""
     rng = random.Random(2)
-    b64 = ["".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", k=rng.choice([40, 48, 64]))) for _ in range(40)]
-    words = ["".join(rng.choices(["the", "ing", "tion", "er", "ent", "he", "and"], k=9)) for _ in range(400)]
-    rows = [(i, f"see {t} here") for i, t in enumerate(b64 + words)]
+    upper, lower, digits = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    alphabets = {"base64": upper + lower + digits + "+/", "letters and digits": upper + lower + digits, "lower": lower + digits, "base32": upper + "234567", "HEX": digits + "ABCDEF"}
+    cells = [(name, n, "".join(rng.choices(chars, k=n))) for name, chars in alphabets.items() for n in (24, 32, 40, 64) for _ in range(25)]
+    pieces = ["the", "ing", "tion", "er", "ent", "he", "and", "ung", "sch", "que", "los", "ment", "Re", "-", "_", "2024", "v2"]
+    words = ["".join(rng.choices(pieces, k=rng.randrange(8, 24))) for _ in range(6000)]
+    words += ["0" * 30, "01" * 16, "1234567890" * 3, "20240101" * 4, "A" * 40, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "a/b/c/d/e/f/g/h/i/j/k/l/m"]
+    rows = [(i, f"see {t} here") for i, t in enumerate([t for *_, t in cells] + words)]
     got = {r.doc_id for r in secrets.digest(secrets.scan(spark.createDataFrame(rows, "doc_id long, text string"))).collect() if "random" in r.spans}
-    assert len(got & set(range(40))) >= 36 and len(got - set(range(40))) <= 2
+    found = Counter(cells[i][:2] for i in got if i < len(cells))
+    assert all(found[name, n] >= (18 if n == 24 else 21) for name in alphabets for n in (24, 32, 40, 64)), found
+    assert len([i for i in got if i >= len(cells)]) <= 0.01 * len(got) + 1
+
+
+def test_random_spans_leave_ordinary_text_alone(spark):
+    from pathlib import Path
+
+    folder = "/root/testdata/sf0.01"
+    if not Path(folder).exists():
+        pytest.skip("no test tables")
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    assert secrets.digest(secrets.scan(docs)).filter("spans like '%random%'").count() <= 10
 
 
 def repeats_brute(rows, window):
