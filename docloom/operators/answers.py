@@ -115,25 +115,24 @@ def abbreviations(name: Column) -> Column:
 # -- answers ---------------------------------------------------------------------------
 
 
-def _parsed(object_: Column, schema: str) -> Column:
-    """A JSON object, read again with double quotes for single ones if it can't be read."""
-    read = lambda c: F.from_json(c, schema)
-    fine = F.get_json_object(object_, "$").isNotNull()
-    fixed = F.replace(object_, F.lit("'"), F.lit('"'))
-    return F.when(fine, read(object_)).when(F.get_json_object(fixed, "$").isNotNull(), read(fixed))
+def _object(text: Column) -> Column:
+    """A JSON object as a map; null if it can't be read as it stands."""
+    return F.from_json(text, "map<string,string>", {"allowSingleQuotes": "false"})
 
 
 def answer_object(raw: Column) -> Column:
-    """Map of the first flat JSON object of an answer, code fences aside; null if none reads."""
+    """Map of the first flat JSON object of an answer, code fences aside, with double quotes
+    for single ones if it can't be read else; null if it can't be read at all."""
     bare = F.replace(F.regexp_replace(raw, r"```(?:json)?\s*", ""), F.lit("```"), F.lit(""))
-    return _parsed(F.nullif(F.regexp_extract(bare, r"(\{[^{}]*\})", 1), F.lit("")), "map<string,string>")
+    found = F.nullif(F.regexp_extract(bare, r"(\{[^{}]*\})", 1), F.lit(""))
+    return F.coalesce(_object(found), _object(F.replace(found, F.lit("'"), F.lit('"'))))
 
 
 def verdict(raw: Column) -> Column:
     """Struct (passed, critique) of a checking model's answer. An object decides, where it
     reads as one; whatever else is said passes, so that no loop goes on for ever."""
     object_ = F.nullif(F.regexp_extract(raw, r"(\{[^}]+\})", 1), F.lit(""))
-    fields = F.when(F.get_json_object(object_, "$").isNotNull(), F.from_json(object_, "map<string,string>"))
+    fields = _object(object_)
     passed = F.coalesce(~F.lower(F.coalesce(fields["passed"], F.lit("false"))).isin("false", "0", "", "null"), F.lit(False))
     return F.struct(F.when(fields.isNull(), True).otherwise(passed).alias("passed"), F.when(fields.isNull(), "").otherwise(stripped(F.coalesce(fields["critique"], F.lit("")))).alias("critique"))
 
@@ -143,7 +142,7 @@ def form_fields(raw: Column) -> Column:
     fenced = F.coalesce(F.nullif(F.regexp_extract(raw, r"(?s)```(?:json)?(.*?)(?:```|\z)", 1), F.lit("")), raw)
     bare = stripped(fenced)
     object_ = F.when(bare.startswith("{"), bare).otherwise(F.nullif(F.regexp_extract(bare, r"(\{[^{}]*\})", 1), F.lit("")))
-    fields = F.when(F.get_json_object(object_, "$").isNotNull(), F.from_json(object_, "map<string,string>"))
+    fields = _object(object_)
     nothing = lambda v: v.isNull() | F.lower(v).isin("", "null", "none", "false", "0", "[]", "{}")
     return F.coalesce(F.map_filter(fields, lambda k, v: ~nothing(v)), F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>")))
 

@@ -110,7 +110,7 @@ def test_answers(spark):
     t = F.col("t")
     r = columns("1. Học phí thế nào?\n 2) ngắn\n• Điều kiện xét tuyển\n- x\n3] 2026 có gì", v=answers.variants(t), q=answers.search_queries(t))
     assert r.v == ["Học phí thế nào?", "Điều kiện xét tuyển", "2026 có gì"] and r.q == ["Học phí thế nào?", "2) ngắn"]
-    assert columns('- "1. a"\n\n** b **\nc', q=answers.search_queries(t)).q == ["a", "b"]
+    assert columns('-"1. a"\n\n** b **\nc', q=answers.search_queries(t)).q == ["a", "b"]
     r = columns("x ```json\n{'a': 'b', 'n': 1}\n``` y", o=answers.answer_object(t), v=answers.verdict(t))
     assert r.o == {"a": "b", "n": "1"} and tuple(r.v) == (True, "")
     assert tuple(columns('{"passed": false, "critique": " no "}', v=answers.verdict(t)).v) == (False, "no") and tuple(columns('{"critique": "c"}', v=answers.verdict(t)).v) == (False, "c")
