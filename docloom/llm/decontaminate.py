@@ -18,7 +18,8 @@ from docloom.llm.common import free_name, with_row_key
 
 #: Fixed values of the contract: what separates words, and what makes them.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: What stands between words in a text whose capitals are still there.
+BETWEEN = r"\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: Most bytes of windows that are broadcast.
@@ -97,13 +98,17 @@ def _flagged(keyed: DataFrame, benchmark: DataFrame, n: int, share: int) -> Data
 def decontaminate(docs: DataFrame, benchmark: DataFrame, remove: str = "documents", n: int = 13, share: int = 20) -> DataFrame:
     """docs without what is contaminated: remove="documents" drops contaminated
     documents, remove="spans" takes the hit words (and what separates them from the word
-    before) out of every text that has any. All columns and all other rows stay."""
+    before) out of every text that has any. All columns and all other rows stay.
+
+    Rows are judged one by one: repeated rows fare alike, rows that share a doc_id don't
+    count together, a null or wordless text is never contaminated. Hits that overlap are
+    taken out once. An empty benchmark takes nothing, an empty table gives no rows."""
     row, mark = free_name(docs, "_row"), free_name(docs, "_hits")
     keyed = with_row_key(docs, row)
     flags = _flagged(keyed.select(F.col(row).alias("_row"), "doc_id", "text"), benchmark, n, share)
     if remove == "documents":
         return keyed.join(flags.filter("contaminated").select(F.col("_row").alias(row)), row, "left_anti").select(*docs.columns)
     marked = keyed.join(flags.filter("n_hit > 0").select(F.col("_row").alias(row), F.col("hits").alias(mark)), row, "left")
-    units = F.expr(f"filter(regexp_extract_all(text, r'[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]*{WORD}', 0), (u, i) -> not exists({mark}, h -> i >= h.from and i < h.to))")
-    tail = F.regexp_extract("text", SEPARATORS + r"\z", 0)
+    units = F.expr(f"filter(regexp_extract_all(text, r'[{BETWEEN}]*[^{BETWEEN}]+', 0), (u, i) -> not exists({mark}, h -> i >= h.from and i < h.to))")
+    tail = F.regexp_extract("text", rf"[{BETWEEN}]+\z", 0)
     return marked.withColumn("text", F.when(F.col(mark).isNull(), F.col("text")).otherwise(F.concat(F.array_join(units, ""), tail))).select(*docs.columns)

@@ -225,7 +225,10 @@ def quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataF
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
     """The rows of docs whose score reaches the threshold, with all their columns. The
-    score rides beside the text in one pass, so nothing is joined or shuffled."""
+    score rides beside the text in one pass, so nothing is joined or shuffled.
+
+    A null text scores as an empty one; repeated rows fare alike; without usable labels
+    all rows stay, and an empty table gives no rows. A score at the threshold stays."""
     model = train(docs, labels)
     if model is None:
         return docs

@@ -23,7 +23,8 @@ from pyspark.sql import DataFrame
 
 MARK = "▁"
 #: Words kept by a worker; the table is emptied when it is full.
-CACHE_WORDS = 800_000
+#: Words longer than this are counted each time.
+CACHE_WORDS, CACHE_CHARS = 800_000, 64
 
 
 def count_symbols(word: str, ranks: dict[str, float], known: set[str]) -> int:
@@ -75,7 +76,9 @@ class Counter(dict):
     def __missing__(self, word: str) -> int:
         if len(self) >= CACHE_WORDS:
             self.clear()
-        self[word] = n = count_symbols(word, self.ranks, self.known)
+        n = count_symbols(word, self.ranks, self.known)
+        if len(word) <= CACHE_CHARS:  # else a text without blanks would be held whole
+            self[word] = n
         return n
 
     _runs = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n")

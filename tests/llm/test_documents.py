@@ -173,6 +173,29 @@ def test_decontamination_beyond_the_broadcast_bound(spark, docs, rows, monkeypat
     assert as_counter(decontaminate.contamination(docs, b).drop("hits")) == contamination_brute(rows, bench)
 
 
+def test_hit_spans_are_removed(spark, empty):
+    words = [f"w{i}" for i in range(40)]
+    bench = spark.createDataFrame([(1, " ".join(words[:20])), (2, " ".join(words[7:30])), (3, "tiny item")], "item_id long, text string")
+    texts = {1: "A, " + " ".join(words) + " z", 2: "x " + ", ".join(words[:13]) + ".", 3: "a Tiny; ITEM b tiny", 4: None, 5: "", 6: " ".join(words[:12]), 7: "a tiny item tiny item"}
+    want = {1: "A w30 w31 w32 w33 w34 w35 w36 w37 w38 w39 z", 2: "x.", 3: "a b tiny", 4: None, 5: "", 6: texts[6], 7: "a"}
+    df = spark.createDataFrame([(i, t, "c") for i, t in [*texts.items(), (3, texts[3])]], "doc_id long, text string, hits string")
+    got = decontaminate.decontaminate(df, bench, remove="spans").collect()
+    assert len(got) == 8 and all(r.text == want[r.doc_id] and r.hits == "c" for r in got)
+    assert decontaminate.decontaminate(df, bench.limit(0), remove="spans").count() == 8 and decontaminate.decontaminate(empty, bench, remove="spans").count() == 0
+
+
+def test_empty_tables_pass_the_filters(empty):
+    labels = empty.selectExpr("doc_id", "n as quality")
+    assert quality.keep_good(empty, labels).count() == 0 and near_dup.keep_one(empty).count() == 0
+    assert substrings.remove_repeats(empty, spans=True).columns == ["doc_id", "n_words", "n_removed", "kept_sha256", "removed"]
+
+
+def test_removed_ranges_cover_the_removed_words(docs):
+    for r in substrings.remove_repeats(docs, 8, 3, spans=True).collect():
+        ranges = [tuple(map(int, x.split(":"))) for x in r.removed.split(",") if x]
+        assert sum(b - a for a, b in ranges) == r.n_removed and all(a < b <= r.n_words for a, b in ranges)
+
+
 ASSIGN = re.compile(r"((?i:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.A)
 
 
