@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -72,9 +73,9 @@ def _looked_up(left: DataFrame, key: str, right: DataFrame) -> DataFrame:
     """left with right's columns (its key column is `key` too, each value once), where
     right has the key. Rows of a hot key meet in many tasks, each with a copy of right's."""
     hot = F.broadcast(left.groupBy(key).count().filter(F.col("count") > HOT_ROWS).orderBy(F.desc("count")).limit(HOT_KEYS).select(key, F.lit(True).alias("_hot")))
-    dealt = left.join(hot, key, "left").withColumn("_salt", F.when(F.col("_hot"), F.floor(F.rand(1) * SALTS)).otherwise(0).cast("int")).drop("_hot")
-    copies = right.join(hot, key, "left").withColumn("_salt", F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))))).drop("_hot")
-    return dealt.join(copies, [key, "_salt"]).drop("_salt")
+    dealt = left.join(hot, key, "left").withColumn("_salt", F.when(F.col("_hot"), 1 + F.floor(F.rand(1) * SALTS)).otherwise(0).cast("int")).drop("_hot")
+    copies = right.join(hot, key).withColumn("_salt", F.explode(F.sequence(F.lit(1), F.lit(SALTS)))).drop("_hot")
+    return dealt.join(right.withColumn("_salt", F.lit(0)).unionByName(copies), [key, "_salt"]).drop("_salt")
 
 
 def links(messages: DataFrame) -> DataFrame:
@@ -96,26 +97,27 @@ def branches(replies: DataFrame, top: int | None = 1) -> DataFrame:
     `top` root-to-leaf paths of each tree, or of all, of replies (node, up, score; node
     each once). A branch's score is the sum of its messages'; of equal ones the smaller
     leaf is first. Messages on a cycle, and beneath one, have no root and so no path."""
-    state = written(replies.select("node", "up", F.when(F.col("up").isNull(), F.col("node")).alias("root"), F.lit(1).cast("long").alias("depth"), "score"), "replies")
-    n = state.count()
-    levels = []
-    while len(levels) <= n.bit_length() and not (active := state.filter("up is not null")).isEmpty():
-        levels.append(state)
-        above = state.select(F.col("node").alias("up"), F.col("up").alias("next"), F.col("root").alias("top"), F.col("depth").alias("more"), F.col("score").alias("extra"))
+    start = replies.select("node", "up", F.when(F.col("up").isNull(), F.col("node")).alias("root"), F.lit(1).cast("long").alias("depth"), "score")
+    rounds = [written(start, "replies")]  # what each round has moved: a node is done in the round that finds it no more above
+    n = rounds[0].count()
+    while len(rounds) <= n.bit_length() + 1 and not (active := rounds[-1].filter("up is not null")).isEmpty():
+        known = reduce(DataFrame.unionByName, [r.filter("up is null") for r in rounds[:-1]], rounds[-1])
+        above = known.select(F.col("node").alias("up"), F.col("up").alias("next"), F.col("root").alias("top"), F.col("depth").alias("more"), F.col("score").alias("extra"))
         moved = _looked_up(active.drop("root"), "up", above).select("node", F.col("next").alias("up"), F.col("top").alias("root"), (F.col("depth") + F.col("more")).alias("depth"), (F.col("score") + F.col("extra")).alias("score"))
-        state = written(moved.unionByName(state.filter("up is null")), "paths")
-    leaves = state.filter("up is null and root is not null").join(replies.filter("up is not null").select(F.col("up").alias("node")).distinct(), "node", "left_anti")
+        rounds.append(written(moved, "paths"))
+    state = reduce(DataFrame.unionByName, [r.filter("up is null") for r in rounds])
+    leaves = state.join(rounds[0].filter("up is not null").select(F.col("up").alias("node")).distinct(), "node", "left_anti")
     best = Window.partitionBy("root").orderBy(F.desc(F.round("score", 9)), "node")
     chosen = leaves.withColumn("rank", F.row_number().over(best))
     chosen = chosen if top is None else chosen.filter(F.col("rank") <= top)
     path = written(chosen.select(F.col("node").alias("branch"), "rank", (F.col("depth") - 1).alias("position"), "node"), "chosen")
-    for k in reversed(range(len(levels))):
-        up = levels[k].filter("up is not null").select("node", "up")
+    for k in reversed(range(len(rounds) - 1)):
+        up = rounds[k].filter("up is not null").select("node", "up")
         higher = _looked_up(path, "node", up).select("branch", "rank", (F.col("position") - (1 << k)).alias("position"), F.col("up").alias("node"))
         longer = written(path.unionByName(higher), "chosen")
         forget(path)
         path = longer
-    forget(*levels, state)
+    forget(*rounds)
     return path
 
 
