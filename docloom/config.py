@@ -15,6 +15,16 @@ MAX_INPUT_CHARS, SUMMARIZE_CHARS, MIN_QUERY_CHARS = 3000, 2000, 5
 HISTORY_TURNS, API_HISTORY, MESSAGE_CHARS = 2, 15, 400
 CACHE_SIMILARITY, CACHE_SIZE, CACHE_TTL_SECONDS = 0.80, 200, 24 * 3600
 RATE_LIMIT, RATE_WINDOW_SECONDS, SESSION_TTL_SECONDS = 10, 60, 300
+SUMMARY_TRIGGER, SUMMARY_CHARS = 300, 120
+USER_NAME, OTHER_NAME = "Người dùng", "Bot"
+SESSIONS, TASKS, LOOPS = 1000, 100, 1
+
+# -- fixed values: sites of a web search, in order -------------------------------------
+SITES = [
+    "ufm.edu.vn", "tuyensinh.ufm.edu.vn", "nhaphoc.ufm.edu.vn", "uis.ufm.edu.vn", "pdt.ufm.edu.vn", "phongcongtacsinhvien.ufm.edu.vn", "thuvien.ufm.edu.vn",
+    "daotaosdh.ufm.edu.vn", "isfm.ufm.edu.vn", "ice.ufm.edu.vn", "ufm-elearning.edu.vn", "jfm.ufm.edu.vn", "jfm.edu.vn", "kytucxa.ufm.edu.vn",
+]
+PRESS_SITES = ["thanhnien.vn", "vnexpress.net", "tuoitre.vn", "dantri.com.vn", "giaoducthoidai.vn"]
 
 # -- fixed values: patterns ------------------------------------------------------------
 BANNED = [r"ch[íi]nh\s*tr[ịi]", r"t[ôo]n\s*gi[áa]o", r"b[ạa]o\s*l[ựu]c", r"gi[ếe]t", r"h[a@4]ck", r"c[ờo]\s*b[ạa]c", r"ma\s*t[úu]y"]

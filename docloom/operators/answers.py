@@ -55,6 +55,27 @@ def search_string(terms: Column, sites: Column) -> Column:
     return F.concat_ws(" ", terms, F.array_join(F.transform(sites, lambda d: F.concat(F.lit("site:"), d)), " OR "))
 
 
+def web_search(action: Column, query: Column, own: Column, press: Column, year: int, sites: list[str] = config.SITES, press_sites: list[str] = config.PRESS_SITES) -> Column:
+    """Struct (terms, sites, search) of what an action looks up. A search of the school's
+    sites asks for the first MAX_QUERIES of the model's queries `own` (array) joined by |,
+    or the query itself without any, on the sites that the query names; any other asks the
+    press for the model's query `press`, or the query itself, on the first five sites."""
+    school = action == "PROCEED_RAG_UFM_SEARCH"
+    asked = F.coalesce(F.nullif(F.array_join(F.slice(own, 1, MAX_QUERIES), " | "), F.lit("")), query)
+    terms = with_year(F.when(school, asked).otherwise(F.coalesce(F.nullif(press, F.lit("")), query)), year)
+    where = F.when(school, domains(query, sites)).otherwise(F.array(*map(F.lit, press_sites[:5])))
+    return F.struct(terms.alias("terms"), where.alias("sites"), search_string(terms, where).alias("search"))
+
+
+def press_query(raw: Column) -> Column:
+    """The query in a model's answer: quotes around it go, double ones first, then a number;
+    null if nothing is left."""
+    s = raw
+    for around in (r"(?U)^\s+|\s+\z", r"^\x22+|\x22+\z", r"^'+|'+\z", r"(?U)^\s+|\s+\z", r"^\d+\.\s*"):
+        s = F.regexp_replace(s, around, "")
+    return F.nullif(s, F.lit(""))
+
+
 def variants(raw: Column) -> Column:
     """Questions of a numbered or bulleted list, without marks; short ones drop out."""
     bare = F.transform(F.split(stripped(raw), "\n"), lambda s: F.regexp_replace(stripped(s), r"^\s*\d+[.)\]]\s*", ""))
@@ -225,11 +246,17 @@ def without_logs(logs: DataFrame, names: DataFrame) -> DataFrame:
     return logs.join(names.select("file_name").distinct(), "file_name", "left_anti")
 
 
+#: Fixed value: what a cancelled task says.
+CANCELLED = "Bị hủy bởi Admin"
+
+
 def cancelled(tasks: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Tasks (task_id, status) after wanted ones (task_id) that aren't over were cancelled."""
+    """tasks (task_id, status, message) after the wanted ones (task_id) were cancelled:
+    they have failed, whatever they were before. Wanted tasks that aren't there change
+    nothing."""
     stop = wanted.select("task_id").distinct().withColumn("_stop", F.lit(True))
-    over = F.col("status").isin("completed", "failed", "cancelled")
-    return tasks.join(stop, "task_id", "left").withColumn("status", F.when(F.col("_stop") & ~over, "cancelled").otherwise(F.col("status"))).drop("_stop")
+    marked = tasks.join(stop, "task_id", "left")
+    return marked.withColumn("status", F.when(F.col("_stop"), "failed").otherwise(F.col("status"))).withColumn("message", F.when(F.col("_stop"), CANCELLED).otherwise(F.col("message"))).drop("_stop")
 
 
 def cache_statistics(cache: DataFrame, now: Column, ttl_seconds: int = config.CACHE_TTL_SECONDS, most: int = config.CACHE_SIZE) -> DataFrame:

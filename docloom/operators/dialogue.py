@@ -25,9 +25,22 @@ def history(messages: DataFrame, turns: int = config.HISTORY_TURNS, chars: int =
     return last.withColumn("text", T.truncated(F.col("text"), chars))
 
 
-def transcript(messages: DataFrame, turns: int = config.HISTORY_TURNS) -> DataFrame:
-    parts = F.transform(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))), lambda m: F.concat_ws(": ", m["role"], m["text"]))
-    return history(messages, turns).groupBy("conv_id").agg(F.array_join(parts, "\n").alias("history"))
+def transcript(messages: DataFrame, turns: int = config.HISTORY_TURNS, summarize: bool = True) -> DataFrame:
+    """conv_id, history: the last messages of each conversation, by speaker. A message of
+    over SUMMARY_TRIGGER characters is replaced by its summary, cut to SUMMARY_CHARS, where
+    messages has a column summary that isn't null, else by its beginning; without
+    summarize, long ones are cut to MESSAGE_CHARS. A null role or text counts as empty."""
+    w = Window.partitionBy("conv_id").orderBy(F.desc("turn"))
+    last = messages.withColumn("back", F.row_number().over(w)).filter(F.col("back") <= 2 * turns)
+    text = F.coalesce("text", F.lit(""))
+    said = T.truncated(text, config.MESSAGE_CHARS)
+    if summarize:
+        cut = F.concat(F.left(text, F.lit(config.SUMMARY_CHARS)), F.lit("..."))
+        short = F.coalesce(F.left("summary", F.lit(config.SUMMARY_CHARS)), cut) if "summary" in messages.columns else cut
+        said = F.when(F.length(text) > config.SUMMARY_TRIGGER, short).otherwise(said)
+    name = F.when(F.col("role") == "user", config.USER_NAME).otherwise(config.OTHER_NAME)
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("turn", F.concat(name, F.lit(": "), said).alias("line")))), lambda m: m["line"])
+    return last.groupBy("conv_id").agg(F.array_join(parts, "\n").alias("history"))
 
 
 def metadata(query: Column) -> Column:

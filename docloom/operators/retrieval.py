@@ -7,20 +7,21 @@ break ties, so that results don't depend on partitioning.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
+from typing import TYPE_CHECKING
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom import config
 
-#: Bytes of query vectors that one block carries to the tasks, and scores that a task holds.
-QUERY_BLOCK_BYTES, SCORES = 8 << 20, 1 << 22
-#: Most terms of questions that are broadcast; more are joined by a shuffle.
-BROADCAST_TERMS = 1 << 19
+if TYPE_CHECKING:
+    from docloom.operators.text_index import Index
+
+#: Most bytes of query vectors that go to the tasks as they are, scores that a task holds
+#: at once, and rows of either side of a tile.
+QUERY_BLOCK_BYTES, SCORES, TILE_ROWS = 8 << 20, 1 << 22, 1 << 15
 
 
 def metadata_filter(level: str | None = None, name: str | None = None, only_active: bool = True) -> Column:
@@ -35,24 +36,35 @@ def metadata_filter(level: str | None = None, name: str | None = None, only_acti
 
 def vector_topk(corpus: DataFrame, queries: DataFrame, k: int = config.VECTOR_TOP_K, digits: int = 6) -> DataFrame:
     """query_id, chunk_id, score, rank of the k nearest of corpus (chunk_id, embedding) to
-    each of queries (query_id, embedding). Vectors with NaN rank nowhere.
+    each of queries (query_id, embedding). Vectors with NaN rank nowhere, nor do vectors
+    of another length than the queries'.
 
-    Queries go to the tasks in blocks of bounded size, one scan of the corpus for each;
-    the driver holds one block at a time. A task keeps the k best of each query, so what
-    is shuffled is k rows per query and task.
+    Exact. Queries of up to QUERY_BLOCK_BYTES go to the tasks as they are, with one scan
+    of the corpus and no shuffle of it; more of them meet the corpus in tiles of bounded
+    size. Either way a task keeps the k best of each query, which is all that is shuffled
+    then. docloom.operators.vector_index reads a part of the corpus only.
     """
-    from docloom.sources.tables import materialized
-
     usable = queries.filter(F.col("embedding").isNotNull() & (F.size("embedding") > 0)).select("query_id", "embedding")
+    n, dims = usable.agg(F.count("*"), F.coalesce(F.max(F.size("embedding")), F.lit(0))).first()
+    fits = lambda df: df.filter(F.size("embedding") == dims)
+    if n * dims * 8 > QUERY_BLOCK_BYTES:
+        one = lambda df: fits(df).withColumn("cell", F.lit(0))
+        return ranked(tiled(one(corpus.select("chunk_id", "embedding")), one(usable), k, digits), k)
     kind = queries.schema["query_id"].dataType.simpleString()
-    block, found = [], []
-    for r in usable.toLocalIterator():
-        if block and (len(block) + 1) * len(block[0][1]) * 8 > QUERY_BLOCK_BYTES:
-            found.append(materialized(_scored(corpus, block, k, digits, kind)))
-            block = []
-        block.append((r["query_id"], r["embedding"]))
-    last = _scored(corpus, block, k, digits, kind)
-    return ranked(reduce(DataFrame.unionByName, found, last), k)
+    block = [(r["query_id"], r["embedding"]) for r in fits(usable).collect()]
+    return ranked(_scored(fits(corpus), block, k, digits, kind), k)
+
+
+def unit(v: np.ndarray) -> np.ndarray:
+    """Rows of length 1; rows of zeros stay."""
+    n = np.sqrt((v * v).sum(1, keepdims=True))
+    return np.divide(v, n, out=np.zeros_like(v), where=n > 0)
+
+
+def matrix(column: pa.Array | pa.ChunkedArray, rows: int) -> np.ndarray:
+    """Vectors of equal length as a matrix."""
+    flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(rows, -1)
 
 
 def _best(i: np.ndarray, ids: np.ndarray, s: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -63,139 +75,82 @@ def _best(i: np.ndarray, ids: np.ndarray, s: np.ndarray, k: int) -> tuple[np.nda
     return i[keep], ids[keep], s[keep]
 
 
+class _Held:
+    """The k best of each of some queries, over batches of vectors."""
+
+    def __init__(self, q: np.ndarray, k: int, digits: int) -> None:
+        self.q, self.k, self.digits = unit(q), k, digits
+        self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.n = 0
+
+    def add(self, names: np.ndarray, vectors: np.ndarray) -> None:
+        x, step = unit(vectors), max(1, SCORES // max(1, len(self.q)))
+        for at in range(0, len(x), step):  # scores of a bounded number of pairs
+            s = np.round(self.q @ x[at : at + step].T, self.digits)
+            s[np.isnan(s)] = -np.inf
+            rest = s.shape[1] - min(self.k, s.shape[1])
+            least = np.partition(s, rest, axis=1)[:, rest, None]
+            i, j = np.nonzero((s >= least) & (s > -np.inf))
+            self.parts.append(_best(i, names[at + j], s[i, j], self.k))
+            self.n += len(self.parts[-1][0])
+            if self.n > 4 * self.k * len(self.q):
+                self.parts = [self.best()]
+                self.n = len(self.parts[0][0])
+
+    def best(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return _best(*(np.concatenate(c) for c in zip(*self.parts, strict=True)), self.k)
+
+
 def _scored(corpus: DataFrame, queries: list, k: int, digits: int, kind: str) -> DataFrame:
     ids = [i for i, _ in queries]
     q = np.array([v for _, v in queries], np.float64).reshape(len(queries), -1)
-    length = np.sqrt((q * q).sum(1, keepdims=True))
-    q = np.divide(q, length, out=np.zeros_like(q), where=length > 0)
     chunk = corpus.schema["chunk_id"].dataType.simpleString()
-    step = max(1, SCORES // max(1, len(q)))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        n_held, kind_of_ids = 0, None
+        held, type_ = _Held(q, k, digits), None
         for batch in batches:
-            n = batch.num_rows
-            if not n or not len(q):
-                continue
-            x = batch.column("embedding").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(n, -1)
-            norms = np.sqrt((x * x).sum(1, keepdims=True))
-            x = np.divide(x, norms, out=np.zeros_like(x), where=norms > 0)
-            kind_of_ids, names = batch.column("chunk_id").type, batch.column("chunk_id").to_numpy(zero_copy_only=False)
-            for at in range(0, n, step):  # scores of a bounded number of pairs
-                s = np.round(q @ x[at : at + step].T, digits)
-                s[np.isnan(s)] = -np.inf
-                rest = s.shape[1] - min(k, s.shape[1])
-                least = np.partition(s, rest, axis=1)[:, rest, None]
-                i, j = np.nonzero((s >= least) & (s > -np.inf))
-                held.append(_best(i, names[at + j], s[i, j], k))
-                n_held += len(held[-1][0])
-                if n_held > 4 * k * len(q):
-                    held = [_best(*(np.concatenate(c) for c in zip(*held, strict=True)), k)]
-                    n_held = len(held[0][0])
-        if held:
-            i, names, s = _best(*(np.concatenate(c) for c in zip(*held, strict=True)), k)
-            yield pa.RecordBatch.from_arrays([pa.array([ids[r] for r in i]), pa.array(names, kind_of_ids), pa.array(s)], names=["query_id", "chunk_id", "score"])
-
-    usable = corpus.filter(F.col("embedding").isNotNull() & (F.size("embedding") == (q.shape[1] if len(queries) else -1)))
+            if batch.num_rows and len(q):
+                type_ = batch.column("chunk_id").type
+                held.add(batch.column("chunk_id").to_numpy(zero_copy_only=False), matrix(batch.column("embedding"), batch.num_rows))
+        if held.parts:
+            i, names, s = held.best()
+            yield pa.RecordBatch.from_arrays([pa.array([ids[r] for r in i]), pa.array(names, type_), pa.array(s)], names=["query_id", "chunk_id", "score"])
+
+    usable = corpus.filter(F.col("embedding").isNotNull())
     return usable.select("chunk_id", "embedding").mapInArrow(score, f"query_id {kind}, chunk_id {chunk}, score double")
 
 
+def tiled(corpus: DataFrame, queries: DataFrame, k: int, digits: int = 6, rows: int = TILE_ROWS) -> DataFrame:
+    """query_id, chunk_id, score: the k best per query and tile, of corpus (cell, chunk_id,
+    embedding) and queries (cell, query_id, embedding), each query against its cell's
+    vectors; all vectors have one length. Cells are few (they are broadcast with their
+    sizes); a cell's vectors and queries are dealt into blocks of about `rows` rows each,
+    and every two blocks of a cell meet in a task of their own, however large the cell."""
+    blocks = lambda n: F.ceil(F.col(n) / rows).cast("long")
+    sizes = corpus.groupBy("cell").agg(F.count("*").alias("n")).join(queries.groupBy("cell").agg(F.count("*").alias("m")), "cell")
+    sizes = F.broadcast(sizes.select("cell", blocks("n").alias("ni"), blocks("m").alias("nj")))
+    other = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    left = corpus.join(sizes, "cell").withColumn("i", F.pmod(F.xxhash64("chunk_id"), "ni")).withColumn("j", other("nj")).select("cell", "i", "j", "chunk_id", "embedding")
+    right = queries.join(sizes, "cell").withColumn("j", F.pmod(F.xxhash64("query_id"), "nj")).withColumn("i", other("ni")).select("cell", "i", "j", "query_id", "embedding")
+
+    def score(vectors: pa.Table, asked: pa.Table) -> pa.Table:
+        fields = [("query_id", asked.schema.field("query_id").type), ("chunk_id", vectors.schema.field("chunk_id").type), ("score", pa.float64())]
+        if not len(vectors) or not len(asked):
+            return pa.schema(fields).empty_table()
+        held = _Held(matrix(asked["embedding"], len(asked)), k, digits)
+        held.add(vectors["chunk_id"].to_numpy(), matrix(vectors["embedding"], len(vectors)))
+        i, names, s = held.best()
+        return pa.Table.from_arrays([asked["query_id"].take(pa.array(i)), pa.array(names, fields[1][1]), pa.array(s)], schema=pa.schema(fields))
+
+    kinds = f"query_id {queries.schema['query_id'].dataType.simpleString()}, chunk_id {corpus.schema['chunk_id'].dataType.simpleString()}, score double"
+    return left.groupBy("cell", "i", "j").cogroup(right.groupBy("cell", "i", "j")).applyInArrow(score, kinds)
+
+
 def ranked(scored: DataFrame, k: int) -> DataFrame:
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
     return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def terms(text: Column) -> Column:
-    """Lower-case runs of letters and digits, without stemming."""
-    return F.array_remove(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), "")
-
-
-def text_index(docs: DataFrame, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """What searches for the terms of wanted need, from one pass over docs (chunk_id,
-    content): their postings (chunk_id, length, term, tf), and one row of corpus sizes
-    (n_docs, mean_length). Other terms are dropped before anything is shuffled."""
-    from docloom.sources.tables import materialized
-
-    terms_ = wanted.select("term").union(wanted.sparkSession.createDataFrame([("",)], "term string")).distinct()  # "" stands for the chunk itself
-    n = terms_.limit(BROADCAST_TERMS + 1).count()
-    index = postings(docs, F.broadcast(terms_) if n <= BROADCAST_TERMS else terms_)
-    index = materialized(index)
-    sizes = index.filter("term = ''").agg(F.count("*").alias("n_docs"), F.avg("length").alias("mean_length"))
-    return index.filter("term <> ''"), sizes
-
-
-def postings(docs: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
-    """chunk_id, length, term, tf of docs (chunk_id, content); of the terms of wanted, a
-    list of each once, if it is given."""
-    t = docs.select("chunk_id", terms(F.col("content")).alias("t")).withColumn("length", F.size("t"))
-    each = t.select("chunk_id", "length", F.explode("t" if wanted is None else F.concat("t", F.array(F.lit("")))).alias("term"))
-    if wanted is not None:
-        each = each.join(wanted, "term", "left_semi")
-    return each.groupBy("chunk_id", "length", "term").agg(F.count("*").alias("tf"))
-
-
-def query_terms(queries: DataFrame) -> DataFrame:
-    """query_id, term (each once), n_terms of queries (query_id, text)."""
-    t = queries.select("query_id", F.array_distinct(terms(F.col("text"))).alias("t"))
-    return t.select("query_id", F.size("t").alias("n_terms"), F.explode("t").alias("term"))
-
-
-def match_all(index: DataFrame, wanted: DataFrame) -> DataFrame:
-    """query_id, chunk_id of the chunks that hold every term of a query."""
-    hits = index.join(wanted, "term").groupBy("query_id", "chunk_id").agg(F.count("*").alias("n"), F.max("n_terms").alias("n_terms"))
-    return hits.filter("n = n_terms").select("query_id", "chunk_id")
-
-
-def bm25(index: DataFrame, wanted: DataFrame, sizes: DataFrame, k: int | None = config.TEXT_TOP_K, k1: float = 1.2, b: float = 0.75, digits: int = 6) -> DataFrame:
-    """query_id, chunk_id, score, rank. sizes: one row (n_docs, mean_length)."""
-    df = index.join(wanted.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
-    hits = index.join(wanted, "term").join(df, "term").join(F.broadcast(sizes))  # sizes is one row
-    idf = F.log1p((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean_length")))
-    scored = hits.groupBy("query_id", "chunk_id").agg(F.round(F.sum(part), digits).alias("score"))
-    return scored if k is None else ranked(scored, k)
-
-
-def _covers(positions: list[int], names: list[str], n_terms: int) -> float:
-    """Sum over the minimal stretches that hold all terms: a tenth for each, over one more
-    than the words in it that are none of the terms' places."""
-    last: dict[str, int] = {}
-    score, done = 0.0, -1
-    for at, (_, name) in enumerate(zip(positions, names, strict=True)):
-        last[name] = at
-        if len(last) == n_terms and (first := min(last.values())) > done:
-            noise = (positions[at] - positions[first]) - (at - first)
-            score += 0.1 / (1 + noise)
-            done = first
-    return score
-
-
-def cover_density(docs: DataFrame, wanted: DataFrame, k: int | None = config.TEXT_TOP_K, digits: int = 6) -> DataFrame:
-    """query_id, chunk_id, score, rank of the chunks (chunk_id, content) that hold every
-    term of a query, by how close together they stand. Only places of wanted terms are
-    shuffled, and only those of matching chunks are gathered, a chunk's at a time."""
-    from docloom.sources.tables import materialized
-
-    listed = wanted.select("term").distinct()
-    n = listed.limit(BROADCAST_TERMS + 1).count()
-    places = docs.select("chunk_id", F.posexplode(terms(F.col("content"))).alias("pos", "term")).join(F.broadcast(listed) if n <= BROADCAST_TERMS else listed, "term", "left_semi")
-    places = materialized(places)
-    index = places.select("chunk_id", "term").distinct()
-    both = match_all(index, wanted).join(wanted.select("query_id", "term", "n_terms"), "query_id").join(places, ["chunk_id", "term"])
-    at = F.array_sort(F.collect_list(F.struct("pos", "term"))).alias("at")
-    gathered = both.groupBy("query_id", "chunk_id", "n_terms").agg(at)
-    kinds = [f"{c} {gathered.schema[c].dataType.simpleString()}" for c in ("query_id", "chunk_id")]
-
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            found = [round(_covers([x["pos"] for x in a], [x["term"] for x in a], n), digits) for a, n in zip(pdf["at"], pdf["n_terms"], strict=True)]
-            yield pdf[["query_id", "chunk_id"]].assign(score=found)
-
-    scored = gathered.mapInPandas(score, ", ".join(kinds) + ", score double")
-    return scored if k is None else ranked(scored, k)
-
-
 def fuse(lists: DataFrame, k: int = config.RRF_K, digits: int = 9) -> DataFrame:
     """Weighted reciprocal-rank fusion of rows (query_id, list_no, source, weight,
     chunk_id, rank, score): rrf sums over lists; a chunk's own row is its first, a vector
@@ -242,26 +197,36 @@ def context(docs: DataFrame, separator: str = "\n\n---\n\n") -> DataFrame:
     return budget(docs).groupBy("query_id").agg(F.array_join(parts, separator).alias("context"))
 
 
-def hybrid(chunks: DataFrame, questions: DataFrame, filters: Column | None = None) -> DataFrame:
+def hybrid(chunks: DataFrame, questions: DataFrame, filters: Column | None = None, text: Index | None = None) -> DataFrame:
     """The whole retrieval for questions (query_id, variant, text, embedding): variant 0
-    is the question itself and boosted if there are others. Returns query_id, context,
-    n_chunks, top_cosine. Questions without an embedding are searched by text alone."""
-    from docloom.sources.tables import materialized
-
-    rows = chunks.filter(filters if filters is not None else metadata_filter())
+    is the question itself and boosted if there are others. Text candidates are ranked by
+    how close together the question's terms stand. Returns query_id, context, n_chunks,
+    top_cosine, and the candidates of either kind (n_vector, n_text). Questions without an
+    embedding are searched by text alone. text is the index of all chunks' content; without
+    one it is built for these questions' terms."""
+    from docloom.operators import text_index
+    from docloom.sources.tables import materialized, scratch
+
+    keep = filters if filters is not None else metadata_filter()
+    rows = chunks.filter(keep)
     several = questions.groupBy("query_id").agg((F.count("embedding") > 1).alias("several"))
     keyed = questions.withColumn("key", F.concat_ws("#", "query_id", "variant"))
     vectors = vector_topk(rows.select("chunk_id", "embedding"), keyed.select(F.col("key").alias("query_id"), "embedding"))
     vectors = vectors.withColumnRenamed("query_id", "key").join(keyed.select("key", "query_id", F.col("variant").alias("list_no")), "key").join(several, "query_id")
     weight = F.when(F.col("several") & (F.col("list_no") == 0), config.STANDALONE_BOOST).otherwise(1.0)
     vectors = vectors.select("query_id", "list_no", F.lit("vector").alias("source"), weight.alias("weight"), "chunk_id", "rank", "score")
-    wanted = query_terms(questions.filter("variant = 0").select("query_id", "text"))
-    index, sizes = text_index(rows.select("chunk_id", "content"), wanted)
-    matched = materialized(match_all(index, wanted))
-    all_terms = bm25(index.join(matched.select("chunk_id").distinct(), "chunk_id", "left_semi"), wanted, sizes, None)
-    text = ranked(all_terms.join(matched, ["query_id", "chunk_id"], "left_semi"), config.TEXT_TOP_K)
-    text = text.select("query_id", F.lit(1 << 20).alias("list_no"), F.lit("text").alias("source"), F.lit(1.0).alias("weight"), "chunk_id", "rank", "score")
-    fused = materialized(fuse(vectors.unionByName(text)))
+    wanted = text_index.query_terms(questions.filter("variant = 0").select("query_id", "text"))
+    if text is None:
+        text, allowed = text_index.build(rows.select("chunk_id", "content"), scratch(chunks.sparkSession, "text-index"), wanted), None
+    else:
+        allowed = rows.select("chunk_id")
+    said = text_index.cover_density(text, wanted, allowed=allowed)
+    said = said.select("query_id", F.lit(1 << 20).alias("list_no"), F.lit("text").alias("source"), F.lit(1.0).alias("weight"), "chunk_id", "rank", "score")
+    found = materialized(vectors.unionByName(said))
+    counts = found.groupBy("query_id").agg(F.count_if(F.col("source") == "vector").alias("n_vector"), F.count_if(F.col("source") == "text").alias("n_text"))
+    fused = materialized(fuse(found))
     parents = fetch(representatives(fused, chunks), chunks)
     stats = fused.groupBy("query_id").agg(F.count("*").alias("n_chunks"), F.max(F.when(F.col("source") == "vector", F.col("score"))).alias("top_cosine"))
-    return questions.select("query_id").distinct().join(stats, "query_id", "left").join(context(parents), "query_id", "left").select("query_id", F.coalesce("context", F.lit("")).alias("context"), F.coalesce("n_chunks", F.lit(0).cast("long")).alias("n_chunks"), "top_cosine")
+    every = questions.select("query_id").distinct().join(stats, "query_id", "left").join(counts, "query_id", "left").join(context(parents), "query_id", "left")
+    none = F.lit(0).cast("long")
+    return every.select("query_id", F.coalesce("context", F.lit("")).alias("context"), F.coalesce("n_chunks", none).alias("n_chunks"), "top_cosine", F.coalesce("n_vector", none).alias("n_vector"), F.coalesce("n_text", none).alias("n_text"))

@@ -3,8 +3,7 @@
 Corpus views: documents are files and chunks (labels.quality tells active ones),
 embeddings are chunk vectors (label is the level; the stated queries are those with a
 vec_id divisible by 20; every fifth row is a parent), benchmark texts are questions,
-conversations are history, events are requests, pages are HTML. Names with _all or
-_whole are kept for callers that know them; they are the same queries.
+conversations are history, events are requests, pages are HTML.
 """
 
 from __future__ import annotations
@@ -17,9 +16,9 @@ from pyspark.sql import functions as F
 from docloom import config
 from docloom.functions import text as T
 from docloom.functions import vectors as V
-from docloom.operators import answers, catalog, chunking, dialogue, headers, ingest, retrieval
+from docloom.operators import answers, catalog, chunking, dialogue, headers, ingest, retrieval, text_index, vector_index
 from docloom.plans import providers
-from docloom.sources.tables import read_table
+from docloom.sources.tables import read_table, scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -92,30 +91,48 @@ def vector_topk_filtered(s: SparkSession, d: str) -> DataFrame:
     return retrieval.vector_topk(_corpus(s, d).filter(retrieval.metadata_filter(level="2")), _asked(s, d))
 
 
+@query()
+def vector_index_topk(s: SparkSession, d: str) -> DataFrame:
+    """As vector_topk, from the cells nearest to each query: 0.95 of the same rows or more."""
+    return vector_index.search(vector_index.build(_corpus(s, d), scratch(s, "vector-index")), _asked(s, d))
+
+
+@query(SQL["vector_topk"])
+def vector_index_exact(s: SparkSession, d: str) -> DataFrame:
+    """As vector_topk, from the cells that can hold a neighbour."""
+    return vector_index.search(vector_index.build(_corpus(s, d), scratch(s, "vector-index")), _asked(s, d), exact=True)
+
+
+@query(SQL["vector_topk_filtered"])
+def vector_index_filtered(s: SparkSession, d: str) -> DataFrame:
+    """As vector_topk_filtered, from an index of all rows that is filtered when it is read."""
+    index = vector_index.build(_corpus(s, d), scratch(s, "vector-index"))
+    return vector_index.search(index, _asked(s, d), filters=retrieval.metadata_filter(level="2"), exact=True)
+
+
 _TERMS = r"list_filter(string_split_regex(lower({0}), '[^\p{{L}}\p{{N}}]+'), lambda t: t <> '')"
 _POSTINGS = f"""docs AS (SELECT doc_id AS chunk_id, {_TERMS.format("text")} AS t FROM documents),
 p AS (SELECT chunk_id, len(t) AS length, term, count(*) AS tf FROM (SELECT chunk_id, t, unnest(t) AS term FROM docs) GROUP BY ALL),
 wanted AS (SELECT query_id, len(list_distinct(t)) AS n_terms, unnest(list_distinct(t)) AS term FROM (SELECT item_id AS query_id, {_TERMS.format("text")} AS t FROM benchmark))"""
 
 
-def _text_index(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _text_index(s: SparkSession, d: str) -> tuple[text_index.Index, DataFrame]:
+    """The index of all documents for the terms of the benchmark's texts, and these terms."""
     docs = read_table(s, d, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"))
-    wanted = retrieval.query_terms(read_table(s, d, "benchmark").select(F.col("item_id").alias("query_id"), "text"))
-    index, sizes = retrieval.text_index(docs, wanted)
-    return index, wanted, sizes
+    wanted = text_index.query_terms(read_table(s, d, "benchmark").select(F.col("item_id").alias("query_id"), "text"))
+    return text_index.build(docs, scratch(s, "text-index"), wanted), wanted
 
 
 @query(f"WITH {_POSTINGS} SELECT query_id, chunk_id FROM (SELECT query_id, chunk_id, count(*) AS n, max(n_terms) AS m FROM p JOIN wanted USING (term) GROUP BY ALL) WHERE n = m")
 def fulltext_match_all(s: SparkSession, d: str) -> DataFrame:
-    index, wanted, _ = _text_index(s, d)
-    return retrieval.match_all(index, wanted)
+    return text_index.match_all(*_text_index(s, d))
 
 
 @query(f"""WITH {_POSTINGS}, df AS (SELECT term, count(*) AS df FROM p GROUP BY 1), sz AS (SELECT count(*) AS n, avg(len(t)) AS mean FROM docs),
 s AS (SELECT query_id, chunk_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean))), 6) AS score FROM p JOIN wanted USING (term) JOIN df USING (term), sz GROUP BY 1, 2),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM s) SELECT query_id, chunk_id, score, rank::INT AS rank FROM r WHERE rank <= 5""")
 def bm25_topk(s: SparkSession, d: str) -> DataFrame:
-    return retrieval.bm25(*_text_index(s, d))
+    return text_index.bm25(*_text_index(s, d))
 
 
 def _lists(s: SparkSession, d: str) -> DataFrame:
@@ -181,15 +198,6 @@ def late_fetch(s: SparkSession, d: str) -> DataFrame:
     return retrieval.fetch(p.select("query_id", "position", (F.col("vec_id") * 3).alias("parent_id")), _chunks(s, d)).select("query_id", "position", "parent_id", F.sha2("content", 256).alias("content_hash"))
 
 
-@query()
-def hybrid_retrieval(s: SparkSession, d: str) -> DataFrame:
-    e = read_table(s, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
-    chunks = _chunks(s, d).join(e.withColumnRenamed("doc_id", "chunk_id"), "chunk_id", "left")
-    asked = read_table(s, d, "benchmark").select(F.col("item_id").alias("query_id"), "text").join(e.select(F.col("doc_id").alias("query_id"), "embedding"), "query_id", "left")
-    both = asked.withColumn("variant", F.lit(0)).unionByName(asked.withColumn("variant", F.lit(1)))
-    return retrieval.hybrid(chunks, both)
-
-
 # -- ingestion and catalogue -----------------------------------------------------------
 
 
@@ -544,9 +552,12 @@ def history_window(s: SparkSession, d: str) -> DataFrame:
     return dialogue.history(read_table(s, d, "conversations")).select("conv_id", "turn", "role", "text")
 
 
-@query("SELECT conv_id, string_agg(role || ': ' || CASE WHEN length(text) > 400 THEN left(text, 400) || '...' ELSE text END, chr(10) ORDER BY turn) AS history FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back FROM conversations) WHERE back <= 4 GROUP BY 1")
+@query("""WITH l AS (SELECT conv_id, turn, CASE WHEN role = 'user' THEN 'Người dùng' ELSE 'Bot' END AS name, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back FROM conversations)
+SELECT conv_id, string_agg(name || ': ' || CASE WHEN length(text) <= 300 THEN text WHEN turn % 3 = 0 THEN left(translate(left(text, 200), 'aeiou', 'AEIOU'), 120) ELSE left(text, 120) || '...' END, chr(10) ORDER BY turn) AS history FROM l WHERE back <= 4 GROUP BY 1""")
 def history_prompt(s: SparkSession, d: str) -> DataFrame:
-    return dialogue.transcript(read_table(s, d, "conversations"))
+    """Every third turn has a summary: its first 200 characters, vowels in capitals."""
+    m = read_table(s, d, "conversations").withColumn("summary", F.when(F.col("turn") % 3 == 0, F.translate(F.left("text", F.lit(200)), "aeiou", "AEIOU")))
+    return dialogue.transcript(m)
 
 
 def _cache_sides(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -598,7 +609,7 @@ def embedding_norms(s: SparkSession, d: str) -> DataFrame:
 
 # -- queries and answers of models -----------------------------------------------------
 
-_SITES = ["ufm.edu.vn", "pdt.ufm.edu.vn", "tuyensinh.ufm.edu.vn"]
+_DEFAULTS = ", ".join(f"'{x}'" for x in config.SITES)
 _ASK = "CASE (conv_id + turn) % 4 WHEN 0 THEN text || ' học phí và KÝ TÚC XÁ' WHEN 1 THEN text || ' hồ sơ 2025' ELSE text END"
 _NAMED = ", ".join(f"CASE WHEN contains(lower(q), '{w}') THEN '{d}' END" for w, d in answers.DOMAINS)
 
@@ -608,17 +619,35 @@ def _ask() -> F.Column:
     return F.when(k == 0, F.concat(t, F.lit(" học phí và KÝ TÚC XÁ"))).when(k == 1, F.concat(t, F.lit(" hồ sơ 2025"))).otherwise(t)
 
 
-@query(rf"""WITH a AS (SELECT conv_id, turn, {_ASK} AS q FROM conversations), f AS (SELECT *, list_filter([{_NAMED}, 'ufm.edu.vn', 'pdt.ufm.edu.vn', 'tuyensinh.ufm.edu.vn'], lambda x: x IS NOT NULL) AS d FROM a),
+@query(rf"""WITH a AS (SELECT conv_id, turn, {_ASK} AS q FROM conversations), f AS (SELECT *, list_filter([{_NAMED}, 'ufm.edu.vn', {_DEFAULTS}], lambda x: x IS NOT NULL) AS d FROM a),
 u AS (SELECT *, list_filter(d, lambda x, i: list_position(d, x) = i)[:3] AS sites, CASE WHEN regexp_matches(q, '20[2-3][0-9]') THEN q ELSE q || ' năm 2025 2026' END AS anchored FROM f)
 SELECT conv_id, turn, anchored, array_to_string(sites, ',') AS sites, anchored || ' ' || array_to_string(list_transform(sites, lambda x: 'site:' || x), ' OR ') AS search,
  regexp_replace(replace(upper(replace(left(q, 50), 'ß', 'SS')), ' ', '_'), '[^\p{{L}}\p{{N}}_]', '', 'g') AS slug, left(q, 200) AS preview FROM u""")
 def search_strings(s: SparkSession, d: str) -> DataFrame:
     q = read_table(s, d, "conversations").select("conv_id", "turn", _ask().alias("q"))
-    q = q.withColumn("anchored", answers.with_year(F.col("q"), 2026)).withColumn("sites", answers.domains(F.col("q"), _SITES))
+    q = q.withColumn("anchored", answers.with_year(F.col("q"), 2026)).withColumn("sites", answers.domains(F.col("q"), config.SITES))
     search = answers.search_string(F.col("anchored"), F.col("sites"))
     return q.select("conv_id", "turn", "anchored", F.array_join("sites", ",").alias("sites"), search.alias("search"), answers.log_slug(F.col("q")).alias("slug"), answers.preview(F.col("q")).alias("preview"))
 
 
+_PRESS = ", ".join(f"'{x}'" for x in config.PRESS_SITES)
+
+
+@query(rf"""WITH a AS (SELECT conv_id, turn, {_ASK} AS q, turn % 2 = 0 AS school, CASE (conv_id + turn) % 3 WHEN 0 THEN ['a ' || turn, 'b 2031', 'c'] WHEN 1 THEN ['một'] ELSE [] END AS own, CASE conv_id % 3 WHEN 0 THEN 'báo ' || conv_id ELSE NULL END AS press FROM conversations),
+f AS (SELECT *, list_filter([{_NAMED}, 'ufm.edu.vn', {_DEFAULTS}], lambda x: x IS NOT NULL) AS d FROM a),
+t AS (SELECT *, CASE WHEN school THEN list_filter(d, lambda x, i: list_position(d, x) = i)[:3] ELSE [{_PRESS}] END AS sites, CASE WHEN school THEN CASE WHEN len(own) > 0 THEN array_to_string(own[:2], ' | ') ELSE q END ELSE coalesce(press, q) END AS asked FROM f),
+y AS (SELECT *, CASE WHEN regexp_matches(asked, '20[2-3][0-9]') THEN asked ELSE asked || ' năm 2025 2026' END AS terms FROM t)
+SELECT conv_id, turn, terms, array_to_string(sites, ',') AS sites, terms || ' ' || array_to_string(list_transform(sites, lambda x: 'site:' || x), ' OR ') AS search FROM y""")
+def web_searches(s: SparkSession, d: str) -> DataFrame:
+    q = read_table(s, d, "conversations").select("conv_id", "turn", _ask().alias("q"))
+    three = (F.col("conv_id") + F.col("turn")) % 3
+    raw = F.when(three == 0, F.concat(F.lit("1. a "), "turn", F.lit('\n-"b 2031"\n\n*c'))).when(three == 1, "một\n").otherwise("")
+    press = answers.press_query(F.when(F.col("conv_id") % 3 == 0, F.concat(F.lit(' "1. báo '), "conv_id", F.lit('" '))).otherwise(" '' "))
+    act = F.when(F.col("turn") % 2 == 0, "PROCEED_RAG_UFM_SEARCH").otherwise("PROCEED_RAG_PR_SEARCH")
+    w = answers.web_search(act, F.col("q"), answers.search_queries(raw), press, 2026)
+    return q.select("conv_id", "turn", w["terms"].alias("terms"), F.array_join(w["sites"], ",").alias("sites"), w["search"].alias("search"))
+
+
 _LISTED = "'1. ' || replace(text, '. ', chr(10) || '2) ') || chr(10) || ' - x' || chr(10) || '• ' || text"
 
 
@@ -686,11 +715,11 @@ def log_removal(s: SparkSession, d: str) -> DataFrame:
 
 
 @query("""WITH t AS (SELECT event_id AS task_id, CASE event_id % 3 WHEN 0 THEN 'completed' WHEN 1 THEN 'running' ELSE 'pending' END AS status FROM events)
-SELECT task_id, CASE WHEN task_id % 2 = 0 AND status <> 'completed' THEN 'cancelled' ELSE status END AS status FROM t""")
+SELECT task_id, CASE WHEN task_id % 2 = 0 THEN 'failed' ELSE status END AS status, CASE WHEN task_id % 2 = 0 THEN 'Bị hủy bởi Admin' END AS message FROM t""")
 def task_cancel(s: SparkSession, d: str) -> DataFrame:
     k = F.col("task_id")
     t = read_table(s, d, "events").select(F.col("event_id").alias("task_id")).withColumn("status", F.when(k % 3 == 0, "completed").when(k % 3 == 1, "running").otherwise("pending"))
-    return answers.cancelled(t, t.filter("task_id % 2 = 0").select("task_id"))
+    return answers.cancelled(t.withColumn("message", F.lit(None).cast("string")), t.filter("task_id % 2 = 0").select("task_id"))
 
 
 @query("SELECT count(*) AS size, count(*) FILTER (epoch(TIMESTAMP '2024-01-15 12:00:00') - floor(epoch(ts)) < 86400) AS alive, 200 AS max_size, 0.8::DOUBLE AS threshold, 86400 AS ttl_seconds FROM events")
@@ -711,20 +740,47 @@ def intent_validate(s: SparkSession, d: str) -> DataFrame:
     return read_table(s, d, "conversations").select("conv_id", "turn", v["valid"].alias("valid"), v["intent"].alias("intent"))
 
 
-@query(rf"""WITH w AS (SELECT item_id AS query_id, list_distinct({_TERMS.format("text")}) AS t FROM benchmark), d AS (SELECT doc_id AS chunk_id, {_TERMS.format("text")} AS t FROM documents)
-SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY chunk_id)::INT AS rank FROM w, d WHERE len(w.t) > 0 AND list_has_all(d.t, w.t)""".replace("row_number() OVER (PARTITION BY query_id ORDER BY chunk_id)::INT", "count(*) OVER (PARTITION BY query_id)::INT").replace("AS rank", "AS n_matches"))
-def cover_density(s: SparkSession, d: str) -> DataFrame:
-    docs = read_table(s, d, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"))
-    wanted = retrieval.query_terms(read_table(s, d, "benchmark").select(F.col("item_id").alias("query_id"), "text"))
-    w = Window.partitionBy("query_id")
-    return retrieval.cover_density(docs, wanted, k=None).select("query_id", "chunk_id", F.count("*").over(w).cast("int").alias("n_matches"))
+_COVERS = rf"""w AS (SELECT item_id AS query_id, list_distinct({_TERMS.format("text")}) AS t FROM benchmark), d AS (SELECT doc_id AS chunk_id, {_TERMS.format("text")} AS t FROM {{docs}}),
+m AS (SELECT query_id, chunk_id, w.t AS q, d.t AS t FROM w, d WHERE len(w.t) > 0 AND list_has_all(d.t, w.t)),
+o AS (SELECT query_id, chunk_id, len(q) AS n, term, pos, row_number() OVER (PARTITION BY query_id, chunk_id ORDER BY pos) AS i FROM (SELECT query_id, chunk_id, q, unnest(t) AS term, generate_subscripts(t, 1) AS pos FROM m) WHERE list_contains(q, term)),
+lt AS (SELECT a.query_id, a.chunk_id, a.n, a.i, a.pos, b.term, max(b.i) AS last, max(b.pos) AS place FROM o a JOIN o b ON a.query_id = b.query_id AND a.chunk_id = b.chunk_id AND b.i <= a.i GROUP BY ALL),
+en AS (SELECT query_id, chunk_id, i, pos, min(last) AS first, min(place) AS begin FROM lt GROUP BY query_id, chunk_id, n, i, pos HAVING count(*) = n),
+mc AS (SELECT *, coalesce(lag(first) OVER (PARTITION BY query_id, chunk_id ORDER BY i), 0) AS done FROM en),
+cd AS (SELECT query_id, chunk_id, round(sum(0.1::DOUBLE / (1 + (pos - begin) - (i - first))), 6) AS score FROM mc WHERE first > done GROUP BY 1, 2)"""
 
 
-@query()
-def cover_density_topk(s: SparkSession, d: str) -> DataFrame:
-    docs = read_table(s, d, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"))
-    return retrieval.cover_density(docs, retrieval.query_terms(read_table(s, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")))
+@query(f"WITH {_COVERS.replace('{docs}', 'documents')} SELECT query_id, chunk_id, score FROM cd")
+def cover_density(s: SparkSession, d: str) -> DataFrame:
+    return text_index.cover_density(*_text_index(s, d), k=None)
 
 
-for _name, _same in {"vector_topk_all": "vector_topk", "vector_topk_filtered_all": "vector_topk_filtered", "rrf_fusion_all": "rrf_fusion", "parent_rollup_all": "parent_rollup", "bm25_topk_whole": "bm25_topk", "fulltext_match_all_whole": "fulltext_match_all", "late_fetch_all": "late_fetch"}.items():
-    QUERIES[_name], SQL[_name] = QUERIES[_same], SQL[_same]
+@query(f"WITH {_COVERS.replace('{docs}', 'documents')}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM cd) SELECT query_id, chunk_id, score, rank::INT AS rank FROM r WHERE rank <= 5")
+def cover_density_topk(s: SparkSession, d: str) -> DataFrame:
+    return text_index.cover_density(*_text_index(s, d))
+
+
+_HYBRID = f"""WITH {_CHUNKS}, live AS (SELECT chunk_id AS doc_id, content AS text FROM chunks WHERE is_active), {_COVERS.replace('{docs}', 'live')},
+tr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM cd),
+v AS (SELECT q.vec_id AS query_id, c.vec_id AS chunk_id, {_COS} AS score FROM embeddings q JOIN benchmark ON item_id = q.vec_id, embeddings c JOIN chunks k ON k.chunk_id = c.vec_id WHERE k.is_active),
+vr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM v),
+l AS (SELECT query_id, list_no, 0 AS kind, CASE WHEN list_no = 0 THEN 1.2 ELSE 1.0 END AS weight, chunk_id, rank, score FROM vr, (SELECT unnest([0, 1]) AS list_no) WHERE rank <= 7 UNION ALL SELECT query_id, 1048576, 1, 1.0, chunk_id, rank, score FROM tr WHERE rank <= 5),
+f AS (SELECT query_id, chunk_id, round(sum(weight::DOUBLE / (60 + rank)), 9) AS rrf, min((list_no, rank)) AS first, min(kind) AS kind, max(score) FILTER (kind = 0) AS cosine FROM l GROUP BY 1, 2),
+fr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, first, chunk_id) AS rank FROM f),
+p AS (SELECT query_id, CASE WHEN chunk_level = 'child' AND parent_id IS NOT NULL THEN parent_id ELSE chunk_id END AS parent_id, min(rank) AS best FROM fr JOIN chunks USING (chunk_id) GROUP BY 1, 2),
+pp AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY best) AS position FROM p),
+pc AS (SELECT query_id, position, content FROM pp JOIN chunks ON chunk_id = pp.parent_id WHERE position <= 4 AND is_active),
+b AS (SELECT *, coalesce(sum(length(content)) OVER (PARTITION BY query_id ORDER BY position ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM pc),
+e AS (SELECT *, CASE WHEN length(content) <= 5000 - before THEN content WHEN 5000 - before > 100 THEN left(content, (5000 - before)::BIGINT) || '...' END AS emitted FROM b),
+x AS (SELECT query_id, string_agg(emitted, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY position) AS context FROM e WHERE emitted IS NOT NULL GROUP BY 1),
+n AS (SELECT query_id, count(*) FILTER (kind = 0) AS n_vector, count(*) FILTER (kind = 1) AS n_text FROM l GROUP BY 1),
+g AS (SELECT query_id, count(*) AS n_chunks, max(cosine)::DOUBLE AS top_cosine FROM f GROUP BY 1)
+SELECT item_id AS query_id, coalesce(context, '') AS context, coalesce(n_chunks, 0) AS n_chunks, top_cosine, coalesce(n_vector, 0) AS n_vector, coalesce(n_text, 0) AS n_text FROM benchmark LEFT JOIN g ON g.query_id = item_id LEFT JOIN n ON n.query_id = item_id LEFT JOIN x ON x.query_id = item_id"""
+
+
+@query(_HYBRID)
+def hybrid_retrieval(s: SparkSession, d: str) -> DataFrame:
+    e = read_table(s, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
+    chunks = _chunks(s, d).join(e.withColumnRenamed("doc_id", "chunk_id"), "chunk_id", "left")
+    asked = read_table(s, d, "benchmark").select(F.col("item_id").alias("query_id"), "text").join(e.select(F.col("doc_id").alias("query_id"), "embedding"), "query_id", "left")
+    both = asked.withColumn("variant", F.lit(0)).unionByName(asked.withColumn("variant", F.lit(1)))
+    return retrieval.hybrid(chunks, both)

@@ -24,10 +24,14 @@ def _shared(spark: SparkSession) -> str:
     return (named or sc.getCheckpointDir()).rstrip("/")
 
 
+def scratch(spark: SparkSession, name: str = "table") -> str:
+    """A path of its own in the shared folder, for what one query writes."""
+    return f"{_shared(spark)}/docloom/{name}-{uuid.uuid4().hex}"
+
+
 def materialized(df: DataFrame) -> DataFrame:
     """df as written to the shared folder and read back: it is computed once and survives
     lost executors."""
-    path = f"{_shared(df.sparkSession)}/docloom/{uuid.uuid4().hex}"
+    path = scratch(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-

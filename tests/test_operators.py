@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from docloom import config
 from docloom.functions import text as T
-from docloom.operators import answers, chunking, dialogue, headers, ingest, retrieval
+from docloom.operators import answers, chunking, dialogue, headers, ingest, retrieval, text_index
 from docloom.plans import providers
 from docloom.streaming import stateful
 
@@ -98,9 +98,9 @@ def test_yaml_header():
 
 
 def test_cover_density():
-    assert retrieval._covers([3, 4, 9, 10], ["a", "b", "a", "b"], 2) == pytest.approx(0.1 + 0.1 / 5 + 0.1)  # 3-4, 4-9 and 9-10
-    assert retrieval._covers([0, 1, 2, 8], ["a", "a", "a", "b"], 2) == pytest.approx(0.1 / 6)  # the last a counts
-    assert retrieval._covers([5], ["a"], 1) == pytest.approx(0.1) and retrieval._covers([1, 2], ["a", "a"], 2) == 0
+    assert text_index._covers([3, 4, 9, 10], ["a", "b", "a", "b"], 2) == pytest.approx(0.1 + 0.1 / 5 + 0.1)  # 3-4, 4-9 and 9-10
+    assert text_index._covers([0, 1, 2, 8], ["a", "a", "a", "b"], 2) == pytest.approx(0.1 / 6)  # the last a counts
+    assert text_index._covers([5], ["a"], 1) == pytest.approx(0.1) and text_index._covers([1, 2], ["a", "a"], 2) == 0
 
 
 def test_answers(spark):

@@ -51,7 +51,7 @@ def test_entry(spark):
     assert plans.QUERIES.keys() <= entry.queries().keys()
 
 
-@pytest.mark.parametrize("name", ["vector_topk_all", "vector_topk_filtered_all", "rrf_fusion_all", "parent_rollup_all"])
+@pytest.mark.parametrize("name", ["vector_topk", "vector_topk_filtered", "rrf_fusion", "parent_rollup"])
 def test_every_twentieth_row_is_searched(spark, name):
     ids = {r.vec_id for r in spark.read.parquet(f"{FOLDER}/embeddings.parquet").collect() if r.vec_id % 20 == 0}
     assert len(ids) > 5 and {r.query_id for r in plans.QUERIES[name](spark, FOLDER).collect()} == ids
@@ -64,13 +64,13 @@ def test_questions_are_whole_texts(spark):
     asked = {r.item_id: words(r.text) for r in spark.read.parquet(f"{FOLDER}/benchmark.parquet").collect()}
     held = {r.doc_id: words(r.text) for r in spark.read.parquet(f"{FOLDER}/documents.parquet").collect()}
     want = {(q, c) for q, a in asked.items() for c, t in held.items() if a <= t}
-    assert {tuple(r) for r in plans.QUERIES["fulltext_match_all_whole"](spark, FOLDER).select("query_id", "chunk_id").collect()} == want
-    _, wanted, _ = plans._text_index(spark, FOLDER)
+    assert {tuple(r) for r in plans.QUERIES["fulltext_match_all"](spark, FOLDER).select("query_id", "chunk_id").collect()} == want
+    _, wanted = plans._text_index(spark, FOLDER)
     got = {}
     for r in wanted.collect():
         got.setdefault(r.query_id, set()).add(r.term)
     assert got == asked and max(map(len, asked.values())) > 2
-    assert {r.query_id for r in plans.QUERIES["bm25_topk_whole"](spark, FOLDER).collect()} == asked.keys()
+    assert {r.query_id for r in plans.QUERIES["bm25_topk"](spark, FOLDER).collect()} == asked.keys()
 
 
 def test_hybrid_asks_whole_texts_and_both_variants(spark, monkeypatch):
@@ -85,5 +85,5 @@ def test_every_position_is_fetched(spark):
     folder = "/root/testdata/sf0.1"  # smaller tables have no label with more than 40 active rows
     active = {r.chunk_id for r in plans._chunks(spark, folder).filter("is_active").select("chunk_id").collect()}
     want = sorted(3 * r.vec_id for r in spark.read.parquet(f"{folder}/embeddings.parquet").select("vec_id").collect() if 3 * r.vec_id in active)
-    got = plans.QUERIES["late_fetch_all"](spark, folder).select("position", "parent_id").collect()
+    got = plans.QUERIES["late_fetch"](spark, folder).select("position", "parent_id").collect()
     assert sorted(r.parent_id for r in got) == want and max(r.position for r in got) > 40
