@@ -124,7 +124,12 @@ def program_name(heading: Column) -> Column:
     Capitals become a title."""
     after = F.regexp_replace(F.regexp_extract(heading, r"(?iuU)NGÀNH\s+([^(]+)", 1), r"(?U)^[\s*]+|[\s*]+\z", "")
     rest = stripped(F.regexp_replace(heading, r"(?iuU)(CHƯƠNG TRÌNH|ĐÀO TẠO|TIẾN SĨ|THẠC SĨ|GIỚI THIỆU)\s*", ""))
-    title = lambda s: F.initcap(F.lower(s))
+
+    def title(s: Column) -> Column:
+        """A capital wherever no letter stands before."""
+        chars = F.split(s, "")
+        return F.array_join(F.transform(chars, lambda c, i: F.when((i > 0) & F.coalesce(F.get(chars, i - 1), F.lit("")).rlike(r"\p{L}"), F.lower(c)).otherwise(F.upper(c))), "")
+
     return F.when(after != "", F.when(after == F.upper(after), title(after)).otherwise(after)).when(rest != "", title(rest)).otherwise(heading)
 
 

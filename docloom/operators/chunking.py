@@ -1,8 +1,9 @@
 """Cutting documents into parent and child chunks.
 
 What a window can say about lines (headings, fences, the section tree) is said with
-windows. Greedy packing is a sequence within one document; it runs in Arrow-batched
-functions over whole documents, one text in memory at a time.
+windows. Greedy packing is a fold over the array of a text's sentences or lines. Parents
+alone, whose short sections wait for the next emitted one, are cut in an Arrow-batched
+function over one document's sections at a time.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from collections.abc import Callable, Iterable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from docloom.config import ChunkLimits
 from docloom.functions import text as T
@@ -238,89 +240,103 @@ def parent_chunks(secs: DataFrame) -> DataFrame:
                 rows += [{"doc_id": doc, "chunk_index": i, "total": len(found)} | c for i, c in enumerate(found, 1)]
             yield pd.DataFrame(rows, columns=["doc_id", "chunk_index", "total", "section_path", "section_name", "part", "parts", "content"])
 
-    return docs.mapInPandas(cut, "doc_id long, chunk_index int, total int, section_path string, section_name string, part int, parts int, content string")
+    kind = secs.schema["doc_id"].dataType.simpleString()
+    return docs.mapInPandas(cut, f"doc_id {kind}, chunk_index int, total int, section_path string, section_name string, part int, parts int, content string")
 
 
 # -- children --------------------------------------------------------------------------
 
 
-def fallback(text: str, most: int = LIMITS.fallback, carry: int = LIMITS.overlap_sentences) -> list[str]:
+def packs(items: Column, most: int, gap: int = 0, carry: int = 0) -> Column:
+    """packed() of an array of strings, as an array of groups."""
+    strings, groups = F.array().cast("array<string>"), F.array().cast("array<array<string>>")
+    chars = lambda a: F.aggregate(a, F.lit(0), lambda s, x: s + F.length(x) + gap)
+    kept = (lambda a: F.slice(a, F.greatest(F.size(a) - carry + 1, F.lit(1)), F.lit(carry))) if carry else lambda a: strings
+    state = lambda done, run, size: F.struct(done.alias("done"), run.alias("run"), size.alias("size"))
+
+    def add(s: Column, x: Column) -> Column:
+        n = F.length(x) + gap
+        return F.when((F.size(s["run"]) > 0) & (s["size"] + n > most), state(F.concat(s["done"], F.array(s["run"])), F.concat(kept(s["run"]), F.array(x)), chars(kept(s["run"])) + n)).otherwise(state(s["done"], F.concat(s["run"], F.array(x)), s["size"] + n))
+
+    return F.aggregate(items, state(groups, strings, F.lit(0)), add, lambda s: F.when(F.size(s["run"]) > 0, F.concat(s["done"], F.array(s["run"]))).otherwise(s["done"]))
+
+
+def _joined(groups: Column, by: str) -> Column:
+    return F.transform(groups, lambda g: F.array_join(g, by))
+
+
+def fallback(text: Column, most: int = LIMITS.fallback, carry: int = LIMITS.overlap_sentences) -> Column:
     """Sentences packed up to `most` characters; a chunk opens with the last `carry`
     sentences of the one before."""
-    clean = re.sub(r"\n{3,}", "\n\n", re.sub(r"[ \t]+", " ", text)).strip()
-    return [" ".join(g) for g in packed(sentences(clean), most, carry=carry)]
+    return _joined(packs(T.sentences(T.clean_whitespace(text)), most, carry=carry), " ")
 
 
-def base_blocks(text: str, limits: ChunkLimits = LIMITS) -> list[str]:
+def base_blocks(text: Column, limits: ChunkLimits = LIMITS) -> Column:
     """Blocks of about limits.block characters; a table is one, a long sentence is cut."""
-    if not text.strip():
-        return []
-    if is_table(text):
-        return [text.strip()]
-    found, run = [], []
+    bare = F.regexp_replace(text, r"^\s+|\s+\z", "")
+    found = T.sentences(text)
+    strings = F.array().cast("array<string>")
+    pieces = lambda s: F.filter(F.transform(F.sequence(F.lit(0), F.floor((F.length(s) - 1) / limits.block).cast("int")), lambda i: F.regexp_replace(F.substring(s, i * limits.block + 1, F.lit(limits.block)), r"^\s+|\s+\z", "")), lambda p: p != "")
+    state = lambda done, run: F.struct(done.alias("done"), run.alias("run"))
+    # the joined run is as long as its sentences and a blank between each two; the limit is on the sentences
+    size = lambda s: F.length(s["run"]["text"]) - s["run"]["n"] + 1
+
+    def add(s: Column, x: Column) -> Column:
+        run = lambda text, n: F.struct(text.alias("text"), n.alias("n"))
+        done = F.concat(s["done"], F.when(s["run"]["n"] > 0, F.array(s["run"]["text"])).otherwise(strings))
+        return (
+            F.when(F.length(x) > limits.hard_block, state(F.concat(done, pieces(x)), run(F.lit(""), F.lit(0))))
+            .when((s["run"]["n"] > 0) & (size(s) + F.length(x) > limits.block), state(done, run(x, F.lit(1))))
+            .otherwise(state(s["done"], run(F.when(s["run"]["n"] > 0, F.concat(s["run"]["text"], F.lit(" "), x)).otherwise(x), s["run"]["n"] + 1)))
+        )
+
+    start = state(strings, F.struct(F.lit("").alias("text"), F.lit(0).alias("n")))
+    folded = F.aggregate(F.when(F.size(found) > 0, found).otherwise(F.array(text)), start, add, lambda s: F.concat(s["done"], F.when(s["run"]["n"] > 0, F.array(s["run"]["text"])).otherwise(strings)))
+    return F.when(bare == "", strings).when(T.is_table(text), F.array(bare)).otherwise(folded)
+
+
+def merged_blocks(blocks: Column, limits: ChunkLimits = LIMITS, overlap: int = 1, least_tokens: int = 70, most_tokens: int = 800) -> Column:
+    """Array of (content, truncated): the chunks of blocks (array of content, chunk_no; in
+    order, numbers from 1 without gaps). Each opens with the last `overlap` blocks of the
+    one before (one at least), is cut at limits.child, and a small one joins its
+    predecessor if both stay within most_tokens."""
+    groups = F.transform(F.sequence(F.lit(1), F.array_max(F.transform(blocks, lambda b: b["chunk_no"])).cast("int")), lambda n: F.transform(F.filter(blocks, lambda b: b["chunk_no"] == n), lambda b: b["content"]))
+    o, strings = max(1, overlap), F.array().cast("array<string>")
+    before = lambda i: F.when(i > 0, F.element_at(groups, i)).otherwise(strings)
+    last = lambda g: F.slice(g, F.greatest(F.size(g) - o + 1, F.lit(1)), F.lit(o))
+    whole = F.transform(groups, lambda g, i: F.trim(F.array_join(F.concat(last(before(i)), g), " ")))
+    cut = F.transform(whole, lambda t: F.struct(F.left(t, F.lit(limits.child)).alias("content"), (F.length(t) > limits.child).alias("truncated")))
+
+    def add(out: Column, x: Column) -> Column:
+        at = F.element_at(out, -1)
+        tokens = T.token_estimate(x["content"])
+        small = (F.size(out) > 0) & (tokens < least_tokens) & (T.token_estimate(at["content"]) + tokens <= most_tokens)
+        both = F.struct(F.concat(at["content"], F.lit(" "), x["content"]).alias("content"), (at["truncated"] | x["truncated"]).alias("truncated"))
+        return F.when(small, F.concat(F.slice(out, F.lit(1), F.size(out) - 1), F.array(both))).otherwise(F.concat(out, F.array(x)))
+
+    return F.aggregate(cut, F.array().cast("array<struct<content:string,truncated:boolean>>"), add)
+
+
+def paragraphs(text: Column, least: int = 50) -> Column:
+    """Paragraphs by empty lines; one shorter than `least` absorbs the next."""
+    found = F.filter(F.split(text, r"\n(?:[^\S\n]*\n)+"), lambda p: ~p.rlike(r"\A\s*\z"))
 
-    def close() -> None:
-        found.extend(" ".join(g) for g in packed(run, limits.block))
-        run.clear()
+    def add(out: Column, p: Column) -> Column:
+        last = F.element_at(out, -1)
+        return F.when((F.size(out) > 0) & (F.length(last) < least), F.concat(F.slice(out, F.lit(1), F.size(out) - 1), F.array(F.concat(last, F.lit("\n\n"), p)))).otherwise(F.concat(out, F.array(p)))
 
-    for s in sentences(text) or [text]:
-        if len(s) > limits.hard_block:
-            close()
-            found.extend(p for at in range(0, len(s), limits.block) if (p := s[at : at + limits.block].strip()))
-        else:
-            run.append(s)
-    close()
-    return found
-
-
-def mixed_tokens(text: str) -> int:
-    """The estimate of docloom.functions.text.token_estimate, of one text."""
-    other = len(re.findall(r"[^\x00-\x7F]", text))
-    plain, blank = len(re.findall(r"[0-9A-Za-z]", text)), len(re.findall(r"[\x09-\x0D\x1C-\x20]", text))
-    part = other / 1.5 + plain / 4 + (len(text) - other - plain - blank) / 2 + blank / 5
-    return max(1, int(part + max(1.0, part * 0.05)))
-
-
-def merge_blocks(blocks: list[str], starts: list[bool], limits: ChunkLimits = LIMITS, overlap: int = 1, least_tokens: int = 70, most_tokens: int = 800) -> list[tuple[str, bool]]:
-    """Chunks of blocks, a new one at each start, and whether text was lost to the limit.
-    Each opens with the last `overlap` blocks of the one before (one at least), is cut at
-    limits.child, and a small one joins its predecessor if both stay within most_tokens."""
-    groups: list[list[str]] = []
-    for block, start in zip(blocks, starts, strict=True):
-        if start or not groups:
-            groups.append([])
-        groups[-1].append(block)
-    out: list[tuple[str, bool]] = []
-    for i, g in enumerate(groups):
-        whole = " ".join((groups[i - 1][-max(1, overlap) :] if i else []) + g).strip()
-        text, lost = whole[: limits.child], len(whole) > limits.child
-        if out and mixed_tokens(text) < least_tokens and mixed_tokens(out[-1][0]) + mixed_tokens(text) <= most_tokens:
-            out[-1] = (out[-1][0] + " " + text, out[-1][1] or lost)
-        else:
-            out.append((text, lost))
-    return out
+    return F.aggregate(found, F.array().cast("array<string>"), add)
 
 
-def paragraphs(text: str, least: int = 50) -> list[str]:
-    """Paragraphs by empty lines; one shorter than `least` absorbs the next."""
-    out: list[str] = []
-    for p in (p for p in re.split(r"\n[^\S\n]*(?:\n[^\S\n]*)+", text.strip("\n")) if p.strip()):
-        if out and len(out[-1]) < least:
-            out[-1] += "\n\n" + p
-        else:
-            out.append(p)
-    return out
+def pack_lines(text: Column, most: int = 20_000) -> Column:
+    """Groups of whole lines of at most `most` characters each, or of one line."""
+    return _joined(packs(F.split(text, "\n"), most, gap=1), "\n")
 
 
-def chunk_texts(docs: DataFrame, cut: Callable[[str], list[str]] = fallback) -> DataFrame:
+def chunk_texts(docs: DataFrame, cut: Callable[[Column], Column] = fallback) -> DataFrame:
     """doc_id, chunk_index, total, content of docs (doc_id, text) by one of the cutters."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = [(doc, i, len(c), x) for doc, t in zip(pdf["doc_id"], pdf["text"], strict=True) for c in [cut(t or "")] for i, x in enumerate(c, 1)]
-            yield pd.DataFrame(rows, columns=["doc_id", "chunk_index", "total", "content"])
-
-    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {_kind(docs)}, chunk_index int, total int, content string")
+    cuts = docs.select("doc_id", cut(F.coalesce("text", F.lit(""))).alias("c")).withColumn("total", F.size("c"))
+    return cuts.select("doc_id", "total", F.posexplode("c").alias("at", "content")).select("doc_id", (F.col("at") + 1).alias("chunk_index"), "total", "content")
 
 
 def boundaries(blocks: DataFrame, threshold: float) -> DataFrame:
@@ -338,27 +354,21 @@ def boundaries(blocks: DataFrame, threshold: float) -> DataFrame:
 SIMILARITY = 0.57
 
 
+@F.pandas_udf(StringType())
+def nfc(texts: pd.Series) -> pd.Series:
+    """Texts in Unicode's composed form, which Spark has no function for."""
+    return texts.map(lambda t: unicodedata.normalize("NFC", t), na_action="ignore")
+
+
 def semantic_chunks(texts: DataFrame, embed: Callable[[DataFrame], DataFrame], threshold: float = SIMILARITY) -> DataFrame:
     """doc_id, chunk_index, total, content, truncated of texts (doc_id, text): base blocks,
     cut where neighbours' embeddings drop apart, merged. embed adds embedding to rows with
     content. A text without words has no chunks."""
-
-    def cut(text: str) -> list[str]:
-        return base_blocks(re.sub(r"\n{3,}", "\n\n", re.sub(r"[ \t]+", " ", unicodedata.normalize("NFC", text))).strip())
-
-    blocks = embed(chunk_texts(texts, cut).withColumnRenamed("chunk_index", "seq"))
+    composed = texts.select("doc_id", nfc("text").alias("text"))
+    blocks = embed(chunk_texts(composed, lambda t: base_blocks(T.clean_whitespace(t))).withColumnRenamed("chunk_index", "seq"))
     numbered = boundaries(blocks, threshold).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("seq", "content", "chunk_no"))).alias("b"))
-
-    def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for doc, b in zip(pdf["doc_id"], pdf["b"], strict=True):
-                no = [x["chunk_no"] for x in b]
-                found = merge_blocks([x["content"] for x in b], [i == 0 or no[i] != no[i - 1] for i in range(len(no))])
-                rows += [(doc, i, len(found), *c) for i, c in enumerate(found, 1)]
-            yield pd.DataFrame(rows, columns=["doc_id", "chunk_index", "total", "content", "truncated"])
-
-    return numbered.mapInPandas(merge, f"doc_id {_kind(texts)}, chunk_index int, total int, content string, truncated boolean")
+    merged = numbered.select("doc_id", merged_blocks(F.col("b")).alias("c")).withColumn("total", F.size("c"))
+    return merged.select("doc_id", "total", F.posexplode("c").alias("at", "c")).select("doc_id", (F.col("at") + 1).alias("chunk_index"), "total", "c.content", "c.truncated")
 
 
 def hierarchy(docs: DataFrame, embed: Callable[[DataFrame], DataFrame] | None) -> DataFrame:
@@ -386,39 +396,3 @@ def hierarchy(docs: DataFrame, embed: Callable[[DataFrame], DataFrame] | None) -
     parents_ = named.join(kept.withColumnRenamed("parent_id", "chunk_id"), "chunk_id", "left").select("chunk_id", F.lit(None).cast("string").alias("parent_id"), F.lit("parent").alias("chunk_level"), "doc_id", "chunk_index", "total", "section_path", "section_name", "content", F.lit(False).alias("truncated"), F.coalesce("children_ids", F.array().cast("array<string>")).alias("children_ids"))
     every = parents_.unionByName(children.withColumn("children_ids", F.array().cast("array<string>")))
     return every.join(docs.select("doc_id", *rest), "doc_id") if rest else every
-
-
-def _kind(docs: DataFrame) -> str:
-    return docs.schema["doc_id"].dataType.simpleString()
-
-
-#: Headings of structured program texts.
-SECTION_HEADINGS = [
-    r"CHƯƠNG TRÌNH ĐÀO TẠO[^*\r\n.,\"]*", r"GIỚI THIỆU CHƯƠNG TRÌNH[^*\r\n.,\"]*", "ĐIỀU KIỆN XÉT TUYỂN", "CƠ HỘI NGHỀ NGHIỆP",
-    r"CHÍNH SÁCH ƯU ĐÃI?\s*HỌC PHÍ", "MỤC TIÊU ĐÀO TẠO", "CHUẨN ĐẦU RA", "PHƯƠNG THỨC TUYỂN SINH",
-]
-
-
-def structured_sections(text: str) -> list[tuple[str, str]]:
-    """(heading, body) of a structured text; without headings the whole as (Toàn văn)."""
-    found = list(re.finditer(rf"^(?:\*\*)?({'|'.join(SECTION_HEADINGS)})(?:\*\*)?\s*\r?$", text, re.M | re.I))
-    if not found:
-        return [("(Toàn văn)", text.strip())] if text.strip() else []
-    ends = [m.start() for m in found[1:]] + [len(text)]
-    return [(m[1].strip(), body) for m, end in zip(found, ends, strict=True) if (body := text[m.end() : end].strip())]
-
-
-def structured_children(text: str, prefix: str = "") -> list[str]:
-    """Children of a section's body: paragraphs if it has over 300 tokens of three
-    characters, else the whole."""
-    parts = paragraphs(text) if len(text) // 3 > 300 else [text]
-    return [prefix + p for p in parts]
-
-
-def pack_lines(text: str, most: int = 20_000) -> list[str]:
-    """Groups of whole lines of at most `most` characters each, or of one line."""
-    return ["\n".join(g) for g in packed(text.split("\n"), most, gap=1)]
-
-
-def estimated(content: Column) -> Column:
-    return T.length_tokens(content)

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from docloom import config
 from docloom.functions import text as T
 from docloom.functions import vectors as V
-from docloom.operators import answers, catalog, chunking, dialogue, headers, ingest, retrieval, text_index, vector_index
+from docloom.operators import answers, catalog, chunking, dialogue, headers, ingest, retrieval, structured, text_index, vector_index
 from docloom.plans import providers
 from docloom.sources.tables import read_table, scratch
 
@@ -462,27 +462,57 @@ def ingest_chunks_fallback(s: SparkSession, d: str) -> DataFrame:
     return chunking.hierarchy(_markdown(s, d), None)
 
 
-@query()
+_BARE = r"regexp_replace({0}, '^\s+|\s+$', '', 'g')"
+_CLEAN = _BARE.format(r"regexp_replace(regexp_replace(text, '[ \t]+', ' ', 'g'), '\n{{3,}}', chr(10) || chr(10), 'g')".replace("{{", "{").replace("}}", "}"))
+_SENTENCES = rf"list_filter(list_transform(string_split_regex(regexp_replace(text, '([.!?;])\s+([A-ZÀ-Ỹa-zà-ỹ\d])', '\1' || chr(1) || '\2', 'g'), chr(1) || '|\n\n'), lambda x: {_BARE.format('x')}), lambda x: x <> '')"
+#: Groups, as a fold over lists of one group of one item each.
+_GROUPS = "list_reduce(list_transform({items}, lambda x: [[x]]), lambda a, b: CASE WHEN {closed} THEN a || [{carried}b[1]] ELSE a[:-2] || [a[-1] || b[1]] END)"
+_EACH = "SELECT doc_id, i::INT AS chunk_index, len(g)::INT AS total, {content} AS content FROM (SELECT doc_id, g, unnest(range(1, len(g) + 1)) AS i FROM g)"
+
+
+@query(f"""WITH t AS (SELECT doc_id, {_CLEAN} AS text FROM documents), s AS (SELECT doc_id, {_SENTENCES} AS s FROM t),
+g AS (SELECT doc_id, {_GROUPS.format(items="s", closed="list_sum(list_transform(a[-1], lambda y: length(y))) + length(b[1][1]) > 2800", carried="a[-1][-2:] || ")} AS g FROM s WHERE len(s) > 0)
+{_EACH.format(content="array_to_string(g[i], ' ')")}""")
 def fallback_chunks(s: SparkSession, d: str) -> DataFrame:
     return chunking.chunk_texts(read_table(s, d, "documents"))
 
 
-@query()
+@query(rf"""WITH l AS (SELECT doc_id, text, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS l FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(list_filter(l, lambda x: starts_with(x, '|'))) >= 2 AND len(list_filter(l, lambda x: regexp_matches(x, '^\|[\s\-:|]+\|'))) > 0 THEN [{{'t': {_BARE.format("text")}, 'h': true}}]
+ ELSE flatten(list_transform({_SENTENCES}, lambda x: CASE WHEN length(x) > 600 THEN list_transform(list_filter(list_transform(range(0, (length(x) - 1) // 300 + 1), lambda i: {_BARE.format("substr(x, i * 300 + 1, 300)")}), lambda p: p <> ''), lambda p: {{'t': p, 'h': true}}) ELSE [{{'t': x, 'h': false}}] END)) END AS s FROM l),
+g AS (SELECT doc_id, {_GROUPS.format(items="s", closed="b[1][1].h OR a[-1][1].h OR list_sum(list_transform(a[-1], lambda y: length(y.t))) + length(b[1][1].t) > 300", carried="")} AS g FROM s WHERE len(s) > 0)
+{_EACH.format(content="array_to_string(list_transform(g[i], lambda y: y.t), ' ')")}""")
 def base_blocks(s: SparkSession, d: str) -> DataFrame:
     return chunking.chunk_texts(read_table(s, d, "documents"), chunking.base_blocks)
 
 
-@query()
-def structured_chunks(s: SparkSession, d: str) -> DataFrame:
-    docs = read_table(s, d, "documents").select("doc_id", F.concat(F.lit("MỤC TIÊU ĐÀO TẠO\n"), F.replace("text", F.lit(". "), F.lit(".\n\n"))).alias("text"))
+_NAMES = ["KẾ TOÁN", "QUẢN TRỊ KINH DOANH (ứng dụng)", "Tài chính – Ngân hàng", "XYZ"]
+_PROGRAM = ", ".join(f"'{n}'" for n in _NAMES)
+_HEADINGS = "|".join(structured.SECTION_HEADINGS)
 
-    def cut(text: str) -> list[str]:
-        return [c for _, body in chunking.structured_sections(text) for c in chunking.structured_children(body)]
 
-    return chunking.chunk_texts(docs, cut)
+@query(rf"""WITH f AS (SELECT doc_id, 'd' || doc_id || '.txt' AS source, CASE doc_id % 3 WHEN 0 THEN 'thac_si' WHEN 1 THEN 'tien_si' ELSE 'unknown' END AS program_level, text AS body, [{_PROGRAM}][doc_id % 4 + 1] AS n FROM documents),
+t AS (SELECT *, {_BARE.format("CASE WHEN doc_id % 5 = 0 THEN replace(body, '. ', '.' || chr(10) || '  ' || chr(10)) ELSE '**CHƯƠNG TRÌNH ĐÀO TẠO NGÀNH ' || n || '**' || chr(10) || replace(body, '. ', '.' || chr(10) || chr(10)) || chr(10) || 'Điều kiện xét tuyển  ' || chr(10) || left(body, 200) || chr(10) || '**CHUẨN ĐẦU RA**' || chr(10) || CASE WHEN doc_id % 2 = 0 THEN 'x' ELSE ' ' END END")} AS text FROM f),
+h AS (SELECT *, regexp_extract_all(text, '(?mi)^(?:\*\*)?({_HEADINGS})(?:\*\*)?\s*\r?$', 1) AS h, string_split_regex(text, '(?mi)^(?:\*\*)?({_HEADINGS})(?:\*\*)?\s*\r?$') AS b FROM t),
+s AS (SELECT source, program_level, list_filter(CASE WHEN len(h) = 0 THEN [{{'heading': '(Toàn văn)', 'body': text}}] ELSE list_transform(range(1, len(h) + 1), lambda i: {{'heading': {_BARE.format("h[i]")}, 'body': {_BARE.format("b[i + 1]")}}}) END, lambda x: x.body <> '') AS s,
+ CASE WHEN doc_id % 5 = 0 THEN '(Toàn Văn)' ELSE ['Kế Toán', 'Quản Trị Kinh Doanh', 'Tài chính – Ngân hàng', 'Xyz'][doc_id % 4 + 1] END AS program_name, CASE program_level WHEN 'thac_si' THEN 'Thạc sĩ' WHEN 'tien_si' THEN 'Tiến sĩ' ELSE program_level END AS label FROM h),
+p AS (SELECT *, CASE program_level || program_name WHEN 'thac_siKế Toán' THEN '8340301' WHEN 'thac_siQuản Trị Kinh Doanh' THEN '8340101' WHEN 'tien_siQuản Trị Kinh Doanh' THEN '9340101' WHEN 'thac_siTài chính – Ngân hàng' THEN '8340201' WHEN 'tien_siTài chính – Ngân hàng' THEN '9340201' END AS code,
+ CASE program_name WHEN 'Kế Toán' THEN ' (KT, kt, Kế toán)' WHEN 'Quản Trị Kinh Doanh' THEN ' (QTKD, qtkd, Quản trị KD)' WHEN 'Tài chính – Ngân hàng' THEN ' (TC-NH, TCNH, tc-nh, tcnh, Tài chính Ngân hàng)' ELSE '' END AS short FROM s WHERE len(s) > 0),
+e AS (SELECT source, program_level, program_name, code, label, '[Chương trình: ' || label || ' ' || program_name || short || coalesce(' | Mã ngành: ' || code, '') || ']' AS prefix, len(s) AS total, unnest(range(1, len(s) + 1)) AS i, s FROM p),
+c AS (SELECT *, s[i].heading AS heading, s[i].body AS body, CASE WHEN length(s[i].body) // 3 > 300 THEN list_reduce(list_transform(list_filter(string_split_regex(s[i].body, '\n(?:[^\S\n]*\n)+'), lambda x: NOT regexp_matches(x, '^\s*$')), lambda x: [x]), lambda a, b: CASE WHEN length(a[-1]) < 50 THEN a[:-2] || [a[-1] || chr(10) || chr(10) || b[1]] ELSE a || b END) ELSE [s[i].body] END AS parts FROM e),
+r AS (SELECT *, 'parent' AS chunk_level, i AS chunk_index, total AS n, prefix || chr(10) || heading || chr(10) || chr(10) || body AS content FROM c UNION ALL SELECT * EXCLUDE j, 'child', j, len(parts), prefix || ' — ' || heading || chr(10) || chr(10) || parts[j] FROM (SELECT *, unnest(range(1, len(parts) + 1)) AS j FROM c))
+SELECT source, chunk_level, chunk_index::INT AS chunk_index, n::INT AS total, label || ' ' || program_name || ' > ' || heading AS section_path, program_name, program_level, code AS program_code, content, sha256(content) AS content_hash, CASE chunk_level WHEN 'parent' THEN len(parts) ELSE 0 END::INT AS n_children FROM r""".replace("[^\\S\\n]", "[ \\t\\f\\r]"))
+def structured_chunks(s: SparkSession, d: str) -> DataFrame:
+    k, t, r = F.col("doc_id"), F.col("text"), F.replace
+    name = F.element_at(F.array(*map(F.lit, _NAMES)), (k % 4 + 1).cast("int"))
+    path = F.concat(F.when(k % 3 == 0, "data/Ctrinh Thac Si/").when(k % 3 == 1, "data/Ctrinh Tien Si/").otherwise("data/x/"), F.lit("d"), k, F.lit(".txt"))
+    headed = F.concat(F.lit("**CHƯƠNG TRÌNH ĐÀO TẠO NGÀNH "), name, F.lit("**\n"), r(t, F.lit(". "), F.lit(".\n\n")), F.lit("\nĐiều kiện xét tuyển  \n"), F.left(t, F.lit(200)), F.lit("\n**CHUẨN ĐẦU RA**\n"), F.when(k % 2 == 0, "x").otherwise(" "))
+    docs = read_table(s, d, "documents").select(F.concat(F.lit("d"), k, F.lit(".txt")).alias("source"), path.alias("path"), F.when(k % 5 == 0, r(t, F.lit(". "), F.lit(".\n  \n"))).otherwise(headed).alias("text"))
+    return structured.chunks(docs).select("source", "chunk_level", "chunk_index", "total", "section_path", "program_name", "program_level", "program_code", "content", "content_hash", F.size("children_ids").alias("n_children"))
 
 
-@query()
+@query(f"""WITH s AS (SELECT page_id AS doc_id, string_split(html, chr(10)) AS s FROM pages), g AS (SELECT doc_id, {_GROUPS.format(items="s", closed="list_sum(list_transform(a[-1], lambda y: length(y) + 1)) + length(b[1][1]) + 1 > 20000", carried="")} AS g FROM s)
+{_EACH.format(content="array_to_string(g[i], chr(10))")}""")
 def html_line_pack(s: SparkSession, d: str) -> DataFrame:
     pages = read_table(s, d, "pages").select(F.col("page_id").alias("doc_id"), F.col("html").alias("text"))
     return chunking.chunk_texts(pages, chunking.pack_lines)

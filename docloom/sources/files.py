@@ -13,6 +13,11 @@ def _name(path: Column) -> Column:
     return F.element_at(F.split(path, "/"), -1)
 
 
+def _path() -> Column:
+    """Where a file stands, as it is named: its metadata has the path as part of a URL."""
+    return F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+
+
 def _clean(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(text, "^﻿", ""), r"\r\n?", "\n")
 
@@ -20,14 +25,14 @@ def _clean(text: Column) -> Column:
 def markdown_files(spark: SparkSession, folder: str) -> DataFrame:
     """source, path, text of all *.md under folder; editors' lock files (~$...) are left out."""
     read = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.md").text(folder, wholetext=True)
-    named = read.select(_name(F.col("_metadata.file_path")).alias("source"), F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    named = read.select(_name(_path()).alias("source"), _path().alias("path"), F.col("value").alias("text"))
     return named.filter(~F.col("source").startswith("~$"))
 
 
 def structured_files(spark: SparkSession, *folders: str) -> DataFrame:
     """source, path, text of the *.txt directly in the folders."""
     read = spark.read.option("pathGlobFilter", "*.txt").text(list(folders), wholetext=True)
-    return read.select(_name(F.col("_metadata.file_path")).alias("source"), F.col("_metadata.file_path").alias("path"), _clean(F.col("value")).alias("text"))
+    return read.select(_name(_path()).alias("source"), _path().alias("path"), _clean(F.col("value")).alias("text"))
 
 
 def uploads(spark: SparkSession, folder: str) -> DataFrame:

@@ -5,6 +5,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+import plain_chunking
 from docloom import config
 from docloom.functions import text as T
 from docloom.operators import answers, chunking, dialogue, headers, ingest, retrieval, text_index
@@ -83,12 +84,12 @@ def test_split_parent_keeps_tables_and_text():
 
 
 def test_fallback_carries_two_sentences():
-    chunks = chunking.fallback(" ".join(f"Sentence number {i} is here." for i in range(300)))
+    chunks = plain_chunking.fallback(" ".join(f"Sentence number {i} is here." for i in range(300)))
     assert len(chunks) > 1 and all(a.split(". ")[-2:] == [*b.split(". ")[:2]][:2] or a[-20:] in b for a, b in zip(chunks, chunks[1:], strict=False))
 
 
 def test_paragraphs_absorb():
-    assert chunking.paragraphs("a\n\n" + "b" * 60 + "\n\nc") == ["a\n\n" + "b" * 60, "c"]
+    assert plain_chunking.paragraphs("a\n\n" + "b" * 60 + "\n\nc") == ["a\n\n" + "b" * 60, "c"]
 
 
 def test_yaml_header():
@@ -126,10 +127,10 @@ def test_answers(spark):
 
 def test_merging_blocks():
     long = "Câu này dài. " * 20
-    assert chunking.merge_blocks([long, "b.", "c."], [True, False, True]) == [(f"{long} b. b. c.", False)]  # a small chunk joins, overlap and all
-    two = chunking.merge_blocks([long, long], [True, True])
+    assert plain_chunking.merge_blocks([long, "b.", "c."], [True, False, True]) == [(f"{long} b. b. c.", False)]  # a small chunk joins, overlap and all
+    two = plain_chunking.merge_blocks([long, long], [True, True])
     assert two == [(long.strip(), False), (f"{long} {long}".strip(), False)]
-    assert chunking.merge_blocks(["x" * 3000], [True]) == [("x" * 2400, True)]
+    assert plain_chunking.merge_blocks(["x" * 3000], [True]) == [("x" * 2400, True)]
 
 
 @pytest.mark.parametrize("by_meaning", [True, False])
@@ -150,12 +151,12 @@ def test_parents_and_children(spark, by_meaning):
         prefix = chunking.context_prefix(p.section_path, str(p.doc_id))
         text = p.content.removeprefix(prefix).strip()
         if by_meaning:
-            blocks = chunking.base_blocks(text)
+            blocks = plain_chunking.base_blocks(text)
             v = providers.HashingEmbedder().embed(blocks).astype(float)
             starts = [i == 0 or round(float(v[i] @ v[i - 1] / np.sqrt(v[i] @ v[i]) / np.sqrt(v[i - 1] @ v[i - 1])), 6) < chunking.SIMILARITY for i in range(len(blocks))]
-            cut = chunking.merge_blocks(blocks, starts)
+            cut = plain_chunking.merge_blocks(blocks, starts)
         else:
-            cut = [(c, False) for c in chunking.fallback(text)]
+            cut = [(c, False) for c in plain_chunking.fallback(text)]
         mine = [r for r in children if r.parent_id == key]
         assert [(r.content, r.truncated) for r in mine] == [(prefix + c, lost) for c, lost in cut]
         assert p.children_ids == [r.chunk_id for r in mine] and all((r.doc_id, r.section_path, r.source, r.total) == (p.doc_id, p.section_path, "s", len(mine)) for r in mine)
