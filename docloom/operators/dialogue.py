@@ -106,3 +106,23 @@ def request_counts(requests: DataFrame, seconds: int = config.RATE_WINDOW_SECOND
     in docloom.streaming."""
     w = Window.partitionBy("client").orderBy(F.unix_micros("ts")).rangeBetween(-seconds * 1_000_000 + 1, 0)
     return requests.withColumn("n_window", F.count("*").over(w)).withColumn("over", F.col("n_window") > most)
+
+
+def session_lookup(puts: DataFrame, gets: DataFrame, ttl_seconds: int = config.SESSION_TTL_SECONDS) -> DataFrame:
+    """request_id, document of gets (session_id, ts, request_id): the document of puts
+    (session_id, ts, request_id, document) last put before in the session, if it isn't
+    older than the TTL, else null. An as-of join in one pass: both sides are one table in
+    order of time, so that no get meets all puts of its session. Of rows at one time the
+    smaller request_id is first."""
+    columns = ("session_id", "ts", "request_id", "document")
+    rows = puts.select(*columns).unionByName(gets.withColumn("document", F.lit(None).cast("string")).select(*columns))
+    w = Window.partitionBy("session_id").orderBy("ts", "request_id").rowsBetween(Window.unboundedPreceding, -1)
+    last = F.last(F.when(F.col("document").isNotNull(), F.struct("ts", "document")), ignorenulls=True).over(w)
+    live_ = F.unix_micros("ts") - F.unix_micros("last.ts") <= ttl_seconds * 1_000_000
+    return rows.withColumn("last", last).filter("document is null").select("request_id", F.when(live_, F.col("last.document")).alias("document"))
+
+
+def recent(messages: DataFrame, most: int = config.API_HISTORY) -> DataFrame:
+    """conv_id, turn, history: the last `most` messages before each, as role: text."""
+    w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(-most, -1)
+    return messages.select("conv_id", "turn", F.collect_list(F.concat_ws(": ", "role", F.coalesce("text", F.lit("")))).over(w).alias("history"))

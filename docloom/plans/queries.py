@@ -590,6 +590,22 @@ def history_prompt(s: SparkSession, d: str) -> DataFrame:
     return dialogue.transcript(m)
 
 
+@query("""SELECT conv_id, turn, coalesce(string_agg(line, chr(10) ORDER BY t), '') AS history FROM (SELECT a.conv_id, a.turn, b.turn AS t, b.role || ': ' || coalesce(b.text, '') AS line, row_number() OVER (PARTITION BY a.conv_id, a.turn ORDER BY b.turn DESC) AS back
+FROM conversations a LEFT JOIN conversations b ON a.conv_id = b.conv_id AND b.turn < a.turn) WHERE back <= 3 GROUP BY 1, 2""")
+def recent_messages(s: SparkSession, d: str) -> DataFrame:
+    return dialogue.recent(read_table(s, d, "conversations"), 3).select("conv_id", "turn", F.array_join("history", "\n").alias("history"))
+
+
+@query("""WITH p AS (SELECT user_id, ts, event_id FROM events WHERE event_id % 3 = 0), g AS (SELECT user_id, ts, event_id FROM events WHERE event_id % 3 > 0),
+j AS (SELECT g.event_id AS request_id, g.ts, p.ts AS put_ts, p.event_id AS doc, row_number() OVER (PARTITION BY g.event_id ORDER BY p.ts DESC, p.event_id DESC) AS n FROM g LEFT JOIN p ON p.user_id = g.user_id AND (p.ts, p.event_id) < (g.ts, g.event_id))
+SELECT request_id, CASE WHEN epoch_us(ts) - epoch_us(put_ts) <= 36000000000 THEN 'd' || doc END AS document FROM j WHERE n = 1""")
+def session_lookup(s: SparkSession, d: str) -> DataFrame:
+    """Every third event puts a document into its user's session, which lives ten hours."""
+    e = read_table(s, d, "events").select(F.col("user_id").alias("session_id"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("request_id"))
+    puts = e.filter("request_id % 3 = 0").withColumn("document", F.concat(F.lit("d"), "request_id"))
+    return dialogue.session_lookup(puts, e.filter("request_id % 3 > 0"), 36_000)
+
+
 def _cache_sides(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     e = read_table(s, d, "embeddings").withColumn("at", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("vec_id") * 600))
     ask = e.select(F.col("vec_id").alias("request_id"), F.col("label").alias("action"), F.col("at").alias("asked_at"), "embedding")
