@@ -76,16 +76,25 @@ def request_gate(text: Column) -> Column:
     return F.when(n > config.MAX_INPUT_CHARS, "block").when(n >= config.SUMMARIZE_CHARS, "summarize").when(n < config.MIN_QUERY_CHARS, "greet").otherwise("pass")
 
 
-def cache_lookup(requests: DataFrame, cache: DataFrame, ttl_seconds: int = config.CACHE_TTL_SECONDS, least: float = config.CACHE_SIMILARITY) -> DataFrame:
+def cache_lookup(requests: DataFrame, cache: DataFrame, ttl_seconds: int = config.CACHE_TTL_SECONDS, least: float = config.CACHE_SIMILARITY, most: int = config.CACHE_SIZE) -> DataFrame:
     """request_id, entry_id, similarity, hit of the best live entry of the same action.
 
-    The action and the stretch of time, as long as an entry lives, are equi-keys: a
-    request meets the entries of its stretch and of the one before."""
-    stretch = lambda c: F.floor(F.unix_timestamp(c) / ttl_seconds)
-    asked = requests.withColumn("stretch", F.explode(F.array(stretch("asked_at"), stretch("asked_at") - 1)))
-    saved = cache.withColumn("stretch", stretch("saved_at"))
-    live_ = (F.col("c.saved_at") <= F.col("r.asked_at")) & (F.unix_timestamp("r.asked_at") - F.unix_timestamp("c.saved_at") < ttl_seconds)
-    pairs = asked.alias("r").join(saved.alias("c"), (F.col("r.action") == F.col("c.action")) & (F.col("r.stretch") == F.col("c.stretch")) & live_)
+    A request (request_id, action, asked_at, embedding) finds the last `most` entries
+    (entry_id, action, saved_at, embedding) saved until then, as far as they live. Entries
+    are numbered in the order they were saved, by a scan that needs no single task; the
+    action and the block of `most` numbers are equi-keys, so a request meets two blocks at
+    most, however long the history is."""
+    from docloom.operators.scan import running
+
+    saved = cache.select(F.lit(0).alias("kind"), F.col("entry_id").cast("string").alias("id"), F.col("saved_at").alias("at"), F.lit(1).cast("long").alias("one"))
+    asked = requests.select(F.lit(1).alias("kind"), F.col("request_id").cast("string").alias("id"), F.col("asked_at").alias("at"), F.lit(0).cast("long").alias("one"))
+    both = running(saved.unionByName(asked).withColumn("all", F.lit(0)), "all", ["at", "kind", "id"], {"number": "one"})
+    entries = cache.withColumn("id", F.col("entry_id").cast("string")).join(both.filter("kind = 0").select("id", "number"), "id").withColumn("block", F.floor(F.col("number") / most))
+    asks = requests.withColumn("id", F.col("request_id").cast("string")).join(both.filter("kind = 1").select("id", "number"), "id")
+    last = F.floor((F.col("number") - 1) / most)
+    asks = asks.withColumn("block", F.explode(F.array(last, last - 1)))
+    here = (F.col("c.number") < F.col("r.number")) & (F.col("c.number") >= F.col("r.number") - most) & (F.unix_timestamp("r.asked_at") - F.unix_timestamp("c.saved_at") < ttl_seconds)
+    pairs = asks.alias("r").join(entries.alias("c"), (F.col("r.action") == F.col("c.action")) & (F.col("r.block") == F.col("c.block")) & here)
     scored = pairs.select("r.request_id", "c.entry_id", F.round(cosine(F.col("r.embedding"), F.col("c.embedding")), 6).alias("similarity")).filter("similarity > 0")
     best = scored.groupBy("request_id").agg(F.min(F.struct(-F.col("similarity"), "entry_id")).alias("b"))
     return best.select("request_id", F.col("b.entry_id").alias("entry_id"), (-F.col("b.col1")).alias("similarity"), (-F.col("b.col1") >= least).alias("hit"))

@@ -22,6 +22,8 @@ if TYPE_CHECKING:
 #: Most bytes of query vectors that go to the tasks as they are, scores that a task holds
 #: at once, and rows of either side of a tile.
 QUERY_BLOCK_BYTES, SCORES, TILE_ROWS = 8 << 20, 1 << 22, 1 << 15
+#: Most rows of ids that are broadcast to fetch texts.
+BROADCAST_ROWS = 1 << 18
 
 
 def metadata_filter(level: str | None = None, name: str | None = None, only_active: bool = True) -> Column:
@@ -183,12 +185,21 @@ def fetch(positions: DataFrame, chunks: DataFrame) -> DataFrame:
 
 def budget(docs: DataFrame, most: int = config.CONTEXT_CHARS, least: int = config.MIN_TRUNCATED) -> DataFrame:
     """Rows (query_id, position, content) that the budget allows, with emitted: whole
-    while they fit, then one cut to the rest if more than `least` is left."""
-    w = Window.partitionBy("query_id").orderBy("position").rowsBetween(Window.unboundedPreceding, -1)
-    before = docs.withColumn("before", F.coalesce(F.sum(F.length("content")).over(w), F.lit(0)))
-    n, rest = F.length("content"), most - F.col("before")
-    emitted = F.when(n <= rest, F.col("content")).when((rest > least) & (n > rest), F.concat(F.left("content", rest.cast("int")), F.lit("...")))
-    return before.withColumn("emitted", emitted).filter(F.col("emitted").isNotNull()).drop("before")
+    while they fit, then one cut to the rest if more than `least` is left.
+
+    Lengths alone are summed, group by group of any size; texts are read for the rows that
+    are left. A null content counts as nothing and is not emitted."""
+    from docloom.operators.scan import running
+    from docloom.sources.tables import materialized
+
+    sizes = docs.filter("content is not null").select("query_id", "position", F.length("content").cast("long").alias("n"))
+    rest = most - F.col("before")
+    fits = materialized(running(sizes, "query_id", ["position"], {"before": "n"}).filter((F.col("n") <= rest) | (rest > least)).select("query_id", "position", rest.cast("int").alias("_rest")))
+    kept = F.broadcast(fits) if fits.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else fits
+    same = docs["query_id"].eqNullSafe(kept["query_id"]) & (docs["position"] == kept["position"])
+    met = docs.join(kept, same).select(*[docs[c] for c in docs.columns], "_rest")
+    emitted = F.when(F.length("content") <= F.col("_rest"), F.col("content")).otherwise(F.concat(F.left("content", F.col("_rest")), F.lit("...")))
+    return met.withColumn("emitted", emitted).drop("_rest")
 
 
 def context(docs: DataFrame, separator: str = "\n\n---\n\n") -> DataFrame:

@@ -16,8 +16,9 @@ from pyspark.sql import functions as F
 from docloom import config
 from docloom.functions import text as T
 from docloom.functions import vectors as V
-from docloom.operators import answers, catalog, chunking, dialogue, headers, ingest, retrieval, structured, text_index, vector_index
-from docloom.plans import providers
+from docloom.operators import answers, catalog, chunking, dialogue, headers, ingest, retrieval, scan, structured, text_index, vector_index
+from docloom.plans import loops, providers
+from docloom.sources import managed
 from docloom.sources.tables import read_table, scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -141,8 +142,7 @@ def _lists(s: SparkSession, d: str) -> DataFrame:
     both = e.filter("vec_id % 20 < 2").select(F.col("vec_id").alias("query_id"), "embedding")
     second = F.col("query_id") % 20
     vec = retrieval.vector_topk(_corpus(s, d), both).select((F.col("query_id") - second).alias("query_id"), second.cast("int").alias("list_no"), F.lit("vector").alias("source"), F.when(second == 0, config.STANDALONE_BOOST).otherwise(1.0).alias("weight"), "chunk_id", "rank", "score")
-    w = Window.partitionBy("label").orderBy("vec_id")
-    by_label = e.select("label", "vec_id").withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= config.TEXT_TOP_K).select("label", F.col("vec_id").alias("chunk_id"), "rank")
+    by_label = scan.numbered(e.select("label", "vec_id"), "label", ["vec_id"], "rank").withColumn("rank", F.col("rank").cast("int")).filter(F.col("rank") <= config.TEXT_TOP_K).select("label", F.col("vec_id").alias("chunk_id"), "rank")
     text = e.filter("vec_id % 20 = 0").select("label", F.col("vec_id").alias("query_id")).join(by_label, "label")
     return vec.unionByName(text.select("query_id", F.lit(9).alias("list_no"), F.lit("text").alias("source"), F.lit(1.0).alias("weight"), "chunk_id", "rank", F.lit(0.5).alias("score")))
 
@@ -170,8 +170,7 @@ def parent_rollup(s: SparkSession, d: str) -> DataFrame:
 
 
 def _per_source(s: SparkSession, d: str) -> DataFrame:
-    w = Window.partitionBy("source").orderBy("doc_id")
-    return read_table(s, d, "documents").select(F.col("source").alias("query_id"), F.row_number().over(w).alias("position"), F.col("text").alias("content"))
+    return read_table(s, d, "documents").select(F.col("source").alias("query_id"), F.col("doc_id").alias("position"), F.col("text").alias("content"))
 
 
 @query("""WITH p AS (SELECT source AS query_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS position, text AS content FROM documents),
@@ -179,7 +178,8 @@ b AS (SELECT *, coalesce(sum(length(content)) OVER (PARTITION BY query_id ORDER
 e AS (SELECT *, CASE WHEN length(content) <= 5000 - before THEN content WHEN 5000 - before > 100 THEN left(content, (5000 - before)::BIGINT) || '...' END AS emitted FROM b)
 SELECT query_id, position::INT AS position, emitted FROM e WHERE emitted IS NOT NULL""")
 def context_budget(s: SparkSession, d: str) -> DataFrame:
-    return retrieval.budget(_per_source(s, d)).select("query_id", "position", "emitted")
+    w = Window.partitionBy("query_id").orderBy("position")  # what is left is within the budget
+    return retrieval.budget(_per_source(s, d)).select("query_id", F.row_number().over(w).alias("position"), "emitted")
 
 
 @query("""WITH p AS (SELECT source AS query_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS position, text AS content FROM documents),
@@ -193,8 +193,7 @@ def context_text(s: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH {_CHUNKS}, p AS (SELECT label::BIGINT AS query_id, (vec_id * 3) AS wanted, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS position FROM embeddings)
 SELECT query_id, position::INT AS position, wanted AS parent_id, sha256(content) AS content_hash FROM p JOIN chunks ON wanted = chunk_id WHERE is_active""")
 def late_fetch(s: SparkSession, d: str) -> DataFrame:
-    w = Window.partitionBy("query_id").orderBy("vec_id")
-    p = read_table(s, d, "embeddings").select(F.col("label").cast("long").alias("query_id"), "vec_id").withColumn("position", F.row_number().over(w))
+    p = scan.numbered(read_table(s, d, "embeddings").select(F.col("label").cast("long").alias("query_id"), "vec_id"), "query_id", ["vec_id"]).withColumn("position", F.col("position").cast("int"))
     return retrieval.fetch(p.select("query_id", "position", (F.col("vec_id") * 3).alias("parent_id")), _chunks(s, d)).select("query_id", "position", "parent_id", F.sha2("content", 256).alias("content_hash"))
 
 
@@ -293,6 +292,21 @@ def dry_run_preview(s: SparkSession, d: str) -> DataFrame:
     return ingest.preview(_chunks(s, d).withColumn("chunk_id", F.col("chunk_id").cast("string")))
 
 
+@query("""WITH c AS (SELECT DISTINCT sha256(text) AS content_hash, source FROM documents), a AS (SELECT DISTINCT sha256(text) AS content_hash, source FROM documents WHERE source LIKE '%2' AND doc_id % 3 > 0), t AS (SELECT DISTINCT source FROM a)
+SELECT c.source, c.content_hash, CASE WHEN t.source IS NOT NULL THEN a.source IS NOT NULL ELSE c.source NOT LIKE '%1' END AS is_active FROM c LEFT JOIN t USING (source) LEFT JOIN a USING (source, content_hash) WHERE c.source NOT LIKE '%3'""")
+def table_changes(s: SparkSession, d: str) -> DataFrame:
+    """A stored table of the documents, after an insertion that is repeated, the soft delete
+    of the sources in 1, a second ingestion of those in 2 and a rebuild of those in 3."""
+    rows = read_table(s, d, "documents").select("source", F.sha2("text", 256).alias("content_hash"), F.lit(1).alias("version"), F.lit(True).alias("is_active"), "doc_id")
+    table = managed.chunk_table(scratch(s, "chunks"), "content_hash string, source string, version int, is_active boolean", buckets=8)
+    managed.insert(table, rows)
+    managed.insert(table, rows)
+    managed.deactivate(table, rows.filter("source like '%1'"))
+    managed.ingest_again(table, rows.filter("source like '%2' and doc_id % 3 > 0"))
+    managed.rebuild(table, rows.limit(0), "%3")
+    return table.read(s).select("source", "content_hash", "is_active")
+
+
 @query("SELECT user_id AS task_id, arg_max(event_type, (epoch_us(ts), event_type)) AS status, max(epoch_us(ts)) AS updated_at FROM events GROUP BY 1")
 def task_status(s: SparkSession, d: str) -> DataFrame:
     e = read_table(s, d, "events").select(F.col("user_id").alias("task_id"), F.col("event_type").alias("status"), F.unix_micros(F.col("ts").cast("timestamp")).alias("updated_at"))
@@ -774,6 +788,27 @@ def cache_statistics(s: SparkSession, d: str) -> DataFrame:
     return answers.cache_statistics(e, F.lit("2024-01-15 12:00:00").cast("timestamp"))
 
 
+@query("""SELECT doc_id, source || '|' || least(doc_id % 4 + 1, 3) || '|' || CASE WHEN doc_id % 4 = 0 THEN 'none' ELSE 'c' || (least(doc_id % 4 + 1, 3) - 1) END AS draft, true AS passed,
+CASE WHEN doc_id % 4 = 0 THEN '' ELSE 'c' || (least(doc_id % 4 + 1, 3) - 1) END AS critique, least(doc_id % 4 + 1, 3)::INT AS rounds FROM documents""")
+def verify_loop(s: SparkSession, d: str) -> DataFrame:
+    """Drafts that pass in the first to fourth round, of which three are made."""
+    draft = lambda r: r.withColumn("draft", F.concat_ws("|", "source", "round", F.coalesce("critique", F.lit("none"))))
+    check = lambda r: r.withColumn("passed", F.col("round") > F.col("doc_id") % 4).withColumn("said", F.concat(F.lit("c"), "round"))
+    return loops.refined(read_table(s, d, "documents").select("doc_id", "source"), draft, check, 2).drop("source")
+
+
+def _chain() -> list[providers.StandIn]:
+    return [providers.StandIn("first", 1, " der "), providers.StandIn("second", 0, " le ")]
+
+
+@query("""SELECT conv_id, turn, CASE WHEN NOT contains(text, ' der ') THEN 'first says ' || text WHEN NOT contains(text, ' le ') THEN 'second says ' || text END AS answer, CASE WHEN NOT contains(text, ' der ') THEN 'first' WHEN NOT contains(text, ' le ') THEN 'second' END AS provider,
+contains(text, ' der ') AS failed FROM conversations""")
+def provider_answers(s: SparkSession, d: str) -> DataFrame:
+    """Two providers, of which the first fails once on each text and for good on some."""
+    a = providers.answered(read_table(s, d, "conversations"), _chain, base=0.0)
+    return a.select("conv_id", "turn", "answer", "provider", F.contains(F.coalesce("error", F.lit("")), F.lit("bad request")).alias("failed"))
+
+
 _LOOSE = f"CASE (conv_id + turn) % 3 WHEN 0 THEN {_PICK} WHEN 1 THEN lower(replace({_PICK}, '_', '-')) ELSE 'no such ' || {_PICK} END"
 
 
