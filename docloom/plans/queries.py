@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from docloom import config
 from docloom.functions import text as T
 from docloom.functions import vectors as V
-from docloom.operators import answers, catalog, chunking, dialogue, headers, ingest, retrieval, scan, structured, text_index, vector_index
+from docloom.operators import answers, catalog, chunking, dialogue, headers, ingest, retrieval, rewriting, scan, structured, text_index, vector_index
 from docloom.plans import loops, providers
 from docloom.sources import managed
 from docloom.sources.tables import read_table, scratch
@@ -401,6 +401,20 @@ def header_legacy(s: SparkSession, d: str) -> DataFrame:
     return read_table(s, d, "documents").select("doc_id", F.unix_micros(h["valid_from"]).alias("valid_from"), h["header_context"].alias("header_context"), h["program_level"].alias("program_level"), h["academic_year"].alias("academic_year"), h["doc_number"].alias("doc_number"), F.length(h["content"]).cast("long").alias("chars"))
 
 
+@query(rf"""WITH x AS (SELECT doc_id, doc_id % 4 AS k, {_LEGACY} || replace(text, '.', '\.') AS old, regexp_replace(replace(text, '.', '\.'), '\\([-.*\[\]_])', '\1', 'g') AS body, '20' || (20 + doc_id % 9) AS year, CASE doc_id % 3 WHEN 0 THEN 'trình độ tiến sĩ năm 20' WHEN 1 THEN 'THẠC SĨ năm 20' ELSE 'khác năm 20' END || (20 + doc_id % 9) AS last FROM documents)
+SELECT doc_id, CASE k WHEN 0 THEN 'already_yaml' WHEN 1 THEN 'no_header' ELSE 'converted' END AS status, CASE WHEN k > 1 THEN concat_ws(chr(10), '---', 'doc_type: ' || CASE k WHEN 2 THEN 'maudon' ELSE 'thongtinchung' END, 'doc_id: mau-don-' || doc_id, 'title: "' || last || '"',
+ 'effective_date: ' || year || '-02-0' || (1 + doc_id % 9), 'doc_number: "' || doc_id || '/QĐ"', CASE doc_id % 3 WHEN 0 THEN 'program_level: tien_si' WHEN 1 THEN 'program_level: thac_si' END, 'academic_year: "' || year || '"', CASE doc_id % 3 WHEN 0 THEN 'keywords: [tiến sĩ, NCS, nghiên cứu sinh]' WHEN 1 THEN 'keywords: [thạc sĩ, cao học, tuyển sinh]' END, '---',
+ 'Ký 31/12/2019 tại trường', last, '-start-', body) END AS new_text FROM x""")
+def header_rewrite(s: SparkSession, d: str) -> DataFrame:
+    k = F.col("doc_id")
+    level = F.when(k % 3 == 0, "trình độ tiến sĩ").when(k % 3 == 1, "THẠC SĨ").otherwise("khác")
+    head = F.concat(F.lit("Ký 31/12/2019 tại trường\nNgày hiệu lực: 0"), 1 + k % 9, F.lit("/02/20"), 20 + k % 9, F.lit("\nVăn bản số: "), k, F.lit(" / QĐ\n"), level, F.lit(" năm 20"), 20 + k % 9, F.lit("\n\\-start\\-\n"))
+    text = F.replace("text", F.lit("."), F.lit("\\."))
+    made = F.when(k % 4 == 0, F.concat(F.lit("---\ntitle: x\n---\n-start-\n"), text)).when(k % 4 == 1, text).otherwise(F.concat(head, text))
+    path = F.concat(F.lit("data/"), F.when(k % 4 == 2, "maudon").otherwise("x"), F.lit("/Mẫu đơn "), k, F.lit(".md"))
+    return rewriting.converted(read_table(s, d, "documents").select("doc_id", path.alias("path"), made.alias("text"))).select("doc_id", "status", "new_text")
+
+
 _FORM = "CASE doc_id % 4 WHEN 0 THEN '---' || chr(10) || 'title: a....b' || chr(10) || '---' || chr(10) ELSE '' END || replace(replace(replace(text, '. ', ':.....' || chr(10) || ' ..  .' || chr(10)), ', ', ' ……x'), ' a', chr(10) || chr(10) || chr(10) || chr(10) || chr(10) || 'a   ')"
 _SHORT = "line"
 for _p, _r in ((r"\.{{3,}}", "___"), ("…+", "___"), (r":\s*___", ": ___"), (r"___\s*(\S)", r"___ \1"), ("  +", " "), (r"\s+$", "")):
