@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from docloom import config
 from docloom.functions import text as T
 from docloom.functions import vectors as V
-from docloom.operators import answers, catalog, chunking, dialogue, headers, ingest, retrieval, rewriting, scan, structured, text_index, vector_index
+from docloom.operators import answers, catalog, chunking, dialogue, headers, ingest, responses, retrieval, rewriting, scan, structured, text_index, vector_index
 from docloom.plans import loops, providers
 from docloom.sources import managed
 from docloom.sources.tables import read_table, scratch
@@ -823,6 +823,69 @@ def provider_answers(s: SparkSession, d: str) -> DataFrame:
     return a.select("conv_id", "turn", "answer", "provider", F.contains(F.coalesce("error", F.lit("")), F.lit("bad request")).alias("failed"))
 
 
+_ACTIONS = ["GREET", "CLARIFY", "BLOCK_FALLBACK", "PROCEED_RAG"]
+_REFUSALS = {"TAN_CONG_HE_THONG": "Không được. ", "CAU_HOI_LAC_DE": " Lạc đề."}
+_REFUSED = "CASE conv_id % 3 WHEN 0 THEN 'TAN_CONG_HE_THONG' WHEN 1 THEN 'CAU_HOI_LAC_DE' ELSE 'KHAC' END"
+
+
+@query(f"""WITH x AS (SELECT conv_id, turn, (conv_id + turn) % 4 AS k, {_REFUSED} AS intent FROM conversations)
+SELECT conv_id, turn, CASE k WHEN 0 THEN 'Chào!' || chr(10) || '---' || chr(10) || 'Liên hệ' WHEN 1 THEN 'Sao ạ?' || chr(10) || '---' || chr(10) || 'Liên hệ' WHEN 2 THEN CASE intent WHEN 'TAN_CONG_HE_THONG' THEN 'Không được.' WHEN 'CAU_HOI_LAC_DE' THEN 'Lạc đề.' ELSE 'Xin lỗi.' END || chr(10) || 'Liên hệ' END AS response,
+CASE k WHEN 0 THEN 'greet_template' WHEN 1 THEN 'clarify_template' WHEN 2 THEN 'intent_block' END AS source FROM x""")
+def instant_responses(s: SparkSession, d: str) -> DataFrame:
+    c, k = F.col("conv_id"), (F.col("conv_id") + F.col("turn")) % 4
+    act = F.element_at(F.array(*map(F.lit, _ACTIONS)), (k + 1).cast("int"))
+    intent = F.when(c % 3 == 0, "TAN_CONG_HE_THONG").when(c % 3 == 1, "CAU_HOI_LAC_DE").otherwise("KHAC")
+    r = responses.instant(act, intent, c, ["Chào!"], ["Sao ạ?"], _REFUSALS, "Xin lỗi.", "Liên hệ")
+    return read_table(s, d, "conversations").select("conv_id", "turn", r["response"].alias("response"), r["source"].alias("source"))
+
+
+@query("WITH t AS (SELECT conv_id, turn, text, " + _TEEN + " AS n FROM conversations), g AS (SELECT *, CASE WHEN length(text) > 3000 THEN 0 " + " ".join(f"WHEN regexp_matches(n, '(?i){p}') THEN {layer}" for layer, _, p in _RULES) + """ ELSE -1 END AS layer FROM t)
+SELECT conv_id, turn, layer < 0 AS passed, CASE WHEN layer >= 0 THEN least(layer, 1) END::INT AS layer, CASE WHEN layer = 0 THEN lower(left(text, 200)) ELSE n END AS normalized, CASE layer WHEN 0 THEN 'dài' WHEN 1 THEN 'cấm' WHEN 2 THEN 'tiêm' END || chr(10) || 'Liên hệ' AS response, CASE WHEN layer >= 0 THEN 'fast_scan' END AS source FROM g""")
+def fast_scan(s: SparkSession, d: str) -> DataFrame:
+    b = responses.blocked(F.col("text"), {0: "dài", 1: "cấm", 2: "tiêm"}, "Liên hệ")
+    return read_table(s, d, "conversations").select("conv_id", "turn", b.alias("b")).select("conv_id", "turn", "b.*")
+
+
+@query("""WITH c AS (SELECT page_id, list_filter([url, 'https://www.google.com/url?q=' || url, replace(url, 'example', 'pdt.ufm'), 'https://a.ufm.edu.vn/' || page_id, NULL], lambda u: u IS NOT NULL) AS u FROM pages),
+k AS (SELECT page_id, unnest(u) AS url, generate_subscripts(u, 1) AS i FROM c) SELECT page_id, string_agg(url, ' ' ORDER BY i) AS urls FROM k WHERE NOT contains(url, 'www.google.com/url') AND regexp_matches(regexp_extract(lower(url), '^[a-z][a-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]+)', 1), '(^|\\.)(ufm\\.edu\\.vn|example\\.com)$') GROUP BY 1""")
+def citation_filter(s: SparkSession, d: str) -> DataFrame:
+    u = F.col("url")
+    urls = F.array(u, F.concat(F.lit("https://www.google.com/url?q="), u), F.replace(u, F.lit("example"), F.lit("pdt.ufm")), F.concat(F.lit("https://a.ufm.edu.vn/"), "page_id"), F.lit(None).cast("string"))
+    kept = responses.shown(F.transform(urls, lambda x: F.struct(x.alias("url"))), ["ufm.edu.vn", "example.com"])
+    return read_table(s, d, "pages").select("page_id", F.array_join(F.transform(kept, lambda c: c["url"]), " ").alias("urls"))
+
+
+@query("""WITH x AS (SELECT event_id AS request_id, event_id % 5 AS k FROM events), f AS (SELECT request_id, unnest(CASE k WHEN 0 THEN [1, 2, 3] WHEN 1 THEN [2, 9] ELSE [0] END) AS n, unnest(CASE k WHEN 0 THEN [1, 2, 3] WHEN 1 THEN [1, 2] ELSE [1] END) AS position FROM x)
+SELECT request_id, position::INT AS position, CASE WHEN n IN (1, 2) THEN 'f' || n ELSE 'don_chung' END AS id, CASE n WHEN 1 THEN 'Đơn một' WHEN 2 THEN 'f2' WHEN 3 THEN 'Tự soạn' WHEN 9 THEN 'Mô tả 9' ELSE 'Mẫu đơn theo yêu cầu' END AS name, CASE WHEN n IN (1, 2) THEN 'f' || n || '.md' END AS template_file FROM f""")
+def form_selection(s: SparkSession, d: str) -> DataFrame:
+    k = F.col("event_id") % 5
+    four = '{"forms": [{"filename": "f1.md", "description": "x"}, {"filename": "f2.md"}, {"filename": "NONE", "description": "Tự soạn"}, {"filename": "f1.md"}]}'
+    raw = F.when(k == 0, f"```json\n{four}\n```").when(k == 1, '{"forms": [{"filename": "f2.md"}, {"filename": "gone.md", "description": "Mô tả 9"}]}').when(k == 2, '{"forms": []}').when(k == 3, "no form fits")
+    files = s.createDataFrame([("f1.md", '---\ntitle: "Đơn một"\n---\n-start-\nx'), ("f2.md", "no header")], "source string, text string")
+    return responses.selected_forms(read_table(s, d, "events").select(F.col("event_id").alias("request_id"), raw.alias("raw")), responses.form_titles(files))
+
+
+@query("""WITH x AS (SELECT doc_id, doc_id % 5 AS l, doc_id % 6 AS p, doc_id % 7 AS o FROM documents)
+SELECT doc_id, CASE WHEN o = 0 THEN 'dai_hoc' ELSE CASE l WHEN 0 THEN 'thac_si' WHEN 1 THEN 'tien_si' WHEN 2 THEN 'thac_si' END END AS program_level,
+CASE WHEN o = 1 THEN 'Kế Toán' ELSE CASE p WHEN 0 THEN 'Marketing' WHEN 1 THEN 'Kế Toán' WHEN 2 THEN 'Luật Kinh Tế' WHEN 3 THEN 'Quản Trị Kinh Doanh' WHEN 4 THEN 'không rõ' END END AS program_name FROM x""")
+def header_normalize(s: SparkSession, d: str) -> DataFrame:
+    k = F.col("doc_id")
+    pick = lambda n, values: F.element_at(F.array(*[F.lit(v).cast("string") for v in values]), (k % n + 1).cast("int"))
+    level, program = pick(5, ["thac_si", "NCS khóa 3", "Cao học", "mầm non", None]), pick(6, [" marketing ", "KẾ TOÁN", "Ngành Luật Kinh Tế mới", "quản trị kinh doanh", "không rõ", None])
+    level, program = headers.normalize(level, program, F.when(k % 7 == 0, "dai_hoc"), F.when(k % 7 == 1, "Kế Toán"))
+    return read_table(s, d, "documents").select("doc_id", level.alias("program_level"), program.alias("program_name"))
+
+
+@query("SELECT doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id)::INT AS chunk_index, count(*) OVER (PARTITION BY source) AS total_chunks_in_section FROM documents")
+def parent_reindex(s: SparkSession, d: str) -> DataFrame:
+    return catalog.reindexed(read_table(s, d, "documents").select("doc_id", "source", F.col("doc_id").alias("seq"))).select("doc_id", "chunk_index", "total_chunks_in_section")
+
+
+@query("SELECT conv_id, turn FROM (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back FROM conversations) WHERE back <= 5")
+def last_turns(s: SparkSession, d: str) -> DataFrame:
+    return responses.last_turns(read_table(s, d, "conversations"), 5).select("conv_id", "turn")
+
+
 _LOOSE = f"CASE (conv_id + turn) % 3 WHEN 0 THEN {_PICK} WHEN 1 THEN lower(replace({_PICK}, '_', '-')) ELSE 'no such ' || {_PICK} END"
 
 
