@@ -4,15 +4,21 @@ Base kinds are patterns. The method adds kind ``random``: long runs of encoding
 characters outside the base spans whose symbols look like random data.
 
 Per token the encoding is inferred (digits, hex of one case, base32, or the character
-classes it uses) and with it the alphabet, in its order. Three tests on the symbols'
-ranks in that alphabet must not reject randomness: chi-squared uniformity (Wilson-
-Hilferty), runs above and below the alphabet's middle, and serial correlation at lag 1.
-Short tokens of words pass such tests by chance, so each also gets the probability that
-a language gives letters and digits so unlike its own: the mean log-likelihood of its
-symbols under the letter frequencies of European languages, whose spread shrinks with the
-token's length; and so many runs of capitals, small letters and digits. A Benjamini-Hochberg step over all tokens of one length class bounds the
-share of words among the discoveries. Its ranks come from a histogram of the probabilities,
-so that no task ever sorts all tokens, and the table of cuts has one row per length class.
+classes it uses) and with it the alphabet, in its order. Three tests are made on the
+symbols' ranks in that alphabet: chi-squared uniformity (Wilson-Hilferty), runs above and
+below the alphabet's middle, and serial correlation at lag 1. Their p-values are combined
+by Fisher's method into one of the whole battery: how often random symbols fare so badly.
+
+Short tokens of words pass such tests by chance, so each also gets the probability that a
+language gives letters and digits so unlike its own: the mean log-likelihood of its symbols
+under the letter frequencies of European languages, whose spread shrinks with the token's
+length; and so many runs of capitals, small letters and digits. The control ranks tokens by
+both at once: what speaks against language less what the battery has against randomness, from a
+p-value of 0.1 down. This is never less than language's own p-value, so a
+Benjamini-Hochberg step over all tokens of one length class bounds the share of words among
+the discoveries; and a token that the battery rejects as a whole (0.001) is none. Ranks
+come from a histogram, so that no task ever sorts all tokens, and the table of cuts has one
+row per length class.
 A run of digits counts there as one symbol, since words hold years and numbers; strings of
 digits alone so say nothing, and are left to the base kind hex.
 
@@ -40,8 +46,9 @@ LEAST = {"access": r"AKIA[A-Z0-9]{16,}", "hex": r"[0-9a-f]{24,}"}
 TOKEN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}"
 KINDS = [*PATTERNS, "random"]
 
-#: Rejection of randomness, as a normal quantile (0.001, two sides).
-REJECT_Z = 3.29
+#: The whole battery rejects randomness below a p-value of 0.001, and says nothing against
+#: it above 0.1 (as -log10).
+REJECT, DOUBT = 3.0, 1.0
 #: Shares of letters a to z in European languages, per cent, and of each digit in words.
 LETTERS = [8.6, 1.4, 3.3, 4.5, 14.3, 1.4, 1.7, 3.0, 7.0, 0.4, 0.6, 4.8, 2.7, 7.6, 6.0, 2.3, 0.7, 6.8, 7.3, 6.9, 4.5, 1.2, 1.0, 0.3, 0.9, 0.6]
 DIGIT = 0.005
@@ -81,6 +88,15 @@ def _tail(z: Column) -> Column:
     return F.when(z >= 0, F.lit(0.0)).otherwise((x * x / 2 + 0.9189385332) / 2.302585093 - F.log10(poly))
 
 
+def _battery() -> Column:
+    """-log10 of the p-value of the three tests, two-sided each, by Fisher's method: the
+    tail of chi-squared with six degrees of freedom. Runs and serial correlation go together
+    to a degree, so small values come two to three times as often as they say."""
+    each = [F.greatest(_tail(-F.abs(c)) - math.log10(2), F.lit(0.0)) for c in ("chi2_z", "runs_z", "serial_z")]
+    x = sum(each[1:], each[0]) * math.log(10)
+    return F.greatest((x - F.ln(1 + x + x * x / 2)) / math.log(10), F.lit(0.0))
+
+
 def _language() -> tuple[list[float], float, float]:
     """Bits that each of a-z0-9 speaks for language against an even draw, and their mean
     and standard deviation in language."""
@@ -91,7 +107,8 @@ def _language() -> tuple[list[float], float, float]:
 
 
 def battery(tokens: DataFrame) -> DataFrame:
-    """Adds encoding, k, n, chi2_z, runs_z, serial_z and evidence (-log10 of the
+    """Adds encoding, k, n, chi2_z, runs_z, serial_z, against (-log10 of the p-value of
+    these three together, that random symbols fare so badly) and evidence (-log10 of the
     probability that language gives symbols so unlike its own) to rows with a token."""
     bare = F.translate(F.rtrim("token", F.lit("=")), "-_", "+/")
     df = tokens.withColumn("bare", bare)
@@ -127,19 +144,21 @@ def battery(tokens: DataFrame) -> DataFrame:
     bound = gaps * (rate * F.ln(rate / CHANGES) + (1 - rate) * F.ln((1 - rate) / (1 - CHANGES))) / math.log(10)
     total = _tail(F.col("language_z")) + bound
     df = df.withColumn("evidence", F.greatest(F.lit(0.0), total - F.log10(1 + total * math.log(10))))  # Fisher's combination of the two
+    df = df.withColumn("against", _battery())
     return df.drop("bare", "alphabet", "v", "high", "n1", "n0", "runs", "mean", "var", "serial", "bits", "changes")
 
 
 def discoveries(tested: DataFrame, rate: float = 0.01) -> DataFrame:
     """Those rows of battery() that look random, at the false discovery rate within each
-    class of lengths (doublings). Evidence is rounded down to hundredths for the ranks."""
-    binned = tested.withColumn("length_class", F.floor(F.log2("n"))).withColumn("bin", F.least(F.floor(F.col("evidence") * 100), F.lit(30000)))
+    class of lengths (doublings): ranked by their evidence less what the tests have against
+    randomness, rounded down to hundredths, so ties share a rank."""
+    score = F.greatest(F.col("evidence") - F.greatest(F.col("against") - DOUBT, F.lit(0.0)), F.lit(0.0))
+    binned = tested.withColumn("length_class", F.floor(F.log2("n"))).withColumn("bin", F.least(F.floor(score * 100), F.lit(30000)))
     counts = binned.groupBy("length_class", "bin").count()
     by = Window.partitionBy("length_class")
     ranks = counts.withColumn("rank", F.sum("count").over(by.orderBy(F.desc("bin")))).withColumn("m", F.sum("count").over(by))
     cuts = ranks.filter(F.pow(F.lit(10.0), -F.col("bin") / 100) <= rate * F.col("rank") / F.col("m")).groupBy("length_class").agg(F.min("bin").alias("cut"))
-    random = (F.abs("chi2_z") < REJECT_Z) & (F.abs("runs_z") < REJECT_Z) & (F.abs("serial_z") < REJECT_Z)
-    return binned.join(F.broadcast(cuts), "length_class").filter((F.col("bin") >= F.col("cut")) & random)
+    return binned.join(F.broadcast(cuts), "length_class").filter((F.col("bin") >= F.col("cut")) & (F.col("against") < REJECT))
 
 
 def scan(docs: DataFrame, rate: float = 0.01) -> DataFrame:

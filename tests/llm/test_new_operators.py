@@ -236,3 +236,47 @@ def test_reply_trees(spark, monkeypatch):
         assert got == Counter((t, k, tuple(p)) for t, k, p in tree_brute(made, top))
         assert all(r.learned == [t.text for t in r.turns if t.role == "assistant"] for r in rows)
     assert chat.conversations(df.limit(0)).count() == 0
+
+
+# -- the control of op5 ----------------------------------------------------------------------
+
+
+def test_the_battery_decides(spark):
+    """Its p-value is near uniform over random tokens (the tests go together to a degree), and
+    what only looks unlike language is not found."""
+    from docloom.llm import secrets
+
+    rng = random.Random(12)
+    chars = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    tokens = [("random", "".join(rng.choices(chars, k=rng.choice([40, 60, 90])))) for _ in range(1500)]
+    tokens += [("repeated", "".join(rng.choices("XQZJKV", k=4)) * 12) for _ in range(60)] + [("sorted", "".join(sorted(rng.choices(chars, k=60)))) for _ in range(60)]
+    tokens += [("words", "".join(rng.choices(["the", "ing", "tion", "und", "que", "-"], k=20))) for _ in range(1000)]
+    df = secrets.battery(spark.createDataFrame(tokens, "kind string, token string")).cache()
+    against = [r.against for r in df.filter("kind = 'random'").select("against").collect()]
+    for level in (0.5, 1.0, 2.0):
+        share = sum(a > level for a in against) / len(against)
+        assert 0.4 * 10**-level < share < 3 * 10**-level, (level, share)
+    found = Counter(r.kind for r in secrets.discoveries(df).collect())
+    assert found["random"] > 1450 and found["repeated"] == 0 and found["sorted"] == 0 and found["words"] <= 0.01 * sum(found.values()) + 1, found
+    assert min(r.evidence for r in df.filter("kind = 'repeated'").collect()) > 3  # language alone would not have stopped them
+
+
+def test_planted_tokens_are_found_in_a_table(spark):
+    from docloom.llm import secrets
+
+    rng = random.Random(9)
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()
+    alphabets = ["ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"]
+    planted, texts = {}, []
+    for r in rows:
+        text = r.text or ""
+        if r.doc_id % 8 == 0:
+            token = "".join(rng.choices(alphabets[r.doc_id % 3], k=rng.choice([32, 40, 64])))
+            at = text.find(" ", rng.randrange(len(text) + 1)) + 1
+            planted[r.doc_id] = f"random:{at}:{at + len(token)}"
+            text = f"{text[:at]}{token} {text[at:]}"
+        texts.append((r.doc_id, text))
+    got = {r.doc_id: r.spans.split(",") for r in secrets.digest(secrets.scan(spark.createDataFrame(texts, "doc_id long, text string"))).collect()}
+    hits = sum(span in got[i] for i, span in planted.items())
+    false = sum(s.startswith("random") and s != planted.get(i) for i, spans in got.items() for s in spans)
+    assert hits >= 0.95 * len(planted) and false <= 0.02 * len(planted) + 1, (hits, len(planted), false)
