@@ -22,8 +22,8 @@ SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 BETWEEN = r"\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-#: Most bytes of windows that are broadcast.
-BROADCAST_BYTES = 64 << 20
+#: Most bytes of windows that are broadcast, and keys that documents without a hit meet under.
+BROADCAST_BYTES, MARKERS = 64 << 20, 1024
 
 
 def words(text: Column) -> Column:
@@ -63,11 +63,12 @@ def _flagged(keyed: DataFrame, benchmark: DataFrame, n: int, share: int) -> Data
     windows = test_windows(benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), "text"), n)
     count, size = windows.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("gram") + 200), F.lit(0))).first()
     lengths = sorted(r[0] for r in windows.select("m").distinct().collect())  # at most n
-    marker = windows.sparkSession.range(1).select(F.lit(0).alias("m"), F.lit(0).cast("long").alias("key"), F.lit("").alias("gram"), F.array().cast("array<string>").alias("items"))
+    marker = windows.sparkSession.range(MARKERS).select(F.lit(0).alias("m"), F.col("id").alias("key"), F.lit("").alias("gram"), F.array().cast("array<string>").alias("items"))
     table = windows.unionByName(marker)
     table = F.broadcast(table) if size <= BROADCAST_BYTES else table
     split = keyed.select("_row", "doc_id", words(F.col("text")).alias("w")).withColumn("n_words", F.size("w"))
-    # position 0 is a marker that each document sends, so that one pass gives both words and hits
+    # position 0 is a marker that each document sends, so that one pass gives both words and
+    # hits; it has one of MARKERS keys, so that beyond a broadcast no task gets all documents
     shortest = min(lengths, default=n)
     at = split.withColumn("i", F.explode(F.expr(f"sequence(0, greatest(0, n_words - {shortest - 1}))")))
     if len(lengths) > 1:
@@ -76,7 +77,7 @@ def _flagged(keyed: DataFrame, benchmark: DataFrame, n: int, share: int) -> Data
     else:
         at = at.withColumn("width", F.lit(shortest))
         key = _hash(shortest)
-    probed = at.withColumn("key", F.when(F.col("i") == 0, F.lit(0).cast("long")).otherwise(key))
+    probed = at.withColumn("key", F.when(F.col("i") == 0, F.pmod(F.xxhash64("_row"), F.lit(MARKERS))).otherwise(key))
     if size > BROADCAST_BYTES:
         probed = probed.withColumn("w", F.when(F.col("i") > 0, F.expr("slice(w, i, width)")))
         same = F.expr("array_join(w, ' ') = gram")
