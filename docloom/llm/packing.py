@@ -175,6 +175,6 @@ def pack(docs: DataFrame, tokenizer_file: str, size: int = 1024, end_id: int = 2
     spark = docs.sparkSession
     spots = spark.createDataFrame(places(histogram, size), "length long, first long, n long, sequence long, offset long")
     by_length = spots.groupBy("length").agg(F.array_sort(F.collect_list(F.struct("first", "n", "sequence", "offset"))).alias("spots"))
-    numbered = ranked(cut, "length", ["doc_id", "piece", "start", "ids_crc32"])
+    numbered = ranked(with_row_key(cut), "length", ["_row"])  # rows that repeat go to buckets of their own
     found = numbered.join(F.broadcast(by_length), "length").withColumn("spot", F.expr("spots[array_size(filter(spots, s -> s.first <= rank)) - 1]"))
     return found.select("doc_id", "piece", "start", "length", "ids_crc32", F.expr("spot.sequence + rank - spot.first").alias("sequence_id"), F.col("spot.offset").alias("offset"))
