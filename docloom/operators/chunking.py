@@ -329,8 +329,9 @@ def paragraphs(text: Column, least: int = 50) -> Column:
 
 
 def pack_lines(text: Column, most: int = 20_000) -> Column:
-    """Groups of whole lines of at most `most` characters each, or of one line."""
-    return _joined(packs(F.split(text, "\n"), most, gap=1), "\n")
+    """Groups of whole lines of at most `most` characters each, line ends not counted, or
+    of one line."""
+    return _joined(packs(F.split(text, "\n"), most), "\n")
 
 
 def chunk_texts(docs: DataFrame, cut: Callable[[Column], Column] = fallback) -> DataFrame:

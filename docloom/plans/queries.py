@@ -17,7 +17,7 @@ from docloom import config
 from docloom.functions import text as T
 from docloom.functions import vectors as V
 from docloom.operators import answers, catalog, chunking, dialogue, headers, ingest, responses, retrieval, rewriting, scan, structured, text_index, vector_index
-from docloom.plans import loops, providers
+from docloom.plans import compose, loops, providers
 from docloom.sources import managed
 from docloom.sources.tables import read_table, scratch
 
@@ -539,13 +539,24 @@ def structured_chunks(s: SparkSession, d: str) -> DataFrame:
     return structured.chunks(docs).select("source", "chunk_level", "chunk_index", "total", "section_path", "program_name", "program_level", "program_code", "content", "content_hash", F.size("children_ids").alias("n_children"))
 
 
-@query(f"""WITH s AS (SELECT page_id AS doc_id, string_split(html, chr(10)) AS s FROM pages), g AS (SELECT doc_id, {_GROUPS.format(items="s", closed="list_sum(list_transform(a[-1], lambda y: length(y) + 1)) + length(b[1][1]) + 1 > 20000", carried="")} AS g FROM s)
+@query(f"""WITH s AS (SELECT page_id AS doc_id, string_split(html, chr(10)) AS s FROM pages), g AS (SELECT doc_id, {_GROUPS.format(items="s", closed="list_sum(list_transform(a[-1], lambda y: length(y))) + length(b[1][1]) > 20000", carried="")} AS g FROM s)
 {_EACH.format(content="array_to_string(g[i], chr(10))")}""")
 def html_line_pack(s: SparkSession, d: str) -> DataFrame:
     pages = read_table(s, d, "pages").select(F.col("page_id").alias("doc_id"), F.col("html").alias("text"))
     return chunking.chunk_texts(pages, chunking.pack_lines)
 
 
+@query(rf"""WITH p AS (SELECT page_id, page_id AS doc_id, replace(html, '><', '>' || chr(10) || '<') AS html, 'Trang ' || page_id AS title FROM pages), s AS (SELECT *, string_split(html, chr(10)) AS s FROM p),
+g AS (SELECT page_id, title, {_GROUPS.format(items="s", closed="list_sum(list_transform(a[-1], lambda y: length(y))) + length(b[1][1]) > 2000", carried="")} AS g FROM s),
+q AS (SELECT page_id, title, len(g) AS n, i, 'Tiêu đề: ' || title || ' (Phần ' || i || '/' || len(g) || ')' || chr(10) || chr(10) || 'Nội dung HTML phần này:' || chr(10) || array_to_string(g[i], chr(10)) AS text FROM (SELECT *, unnest(range(1, len(g) + 1)) AS i FROM g)),
+w AS (SELECT page_id, title, n, bool_or(contains(text, 'xxx')) AS failed, string_agg({_BARE.format("'first says ' || text")}, chr(10) || chr(10) ORDER BY i) AS body FROM q GROUP BY ALL)
+SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'Ban_Nhaps.md' ELSE 'p' || page_id || '.md' END AS file_name, CASE WHEN NOT failed THEN '---' || chr(10) || 'title: "' || title || '"' || chr(10) || 'academic_year: "2026"' || chr(10) || '---' || chr(10) || '-start-' || chr(10) || chr(10) || {_BARE.format("body")} END AS content, n::INT AS n_parts, CASE WHEN failed THEN 'first: bad request' END AS error FROM w""")
+def html_compose(s: SparkSession, d: str) -> DataFrame:
+    k = F.col("page_id")
+    pages = read_table(s, d, "pages").select("page_id", F.replace("html", F.lit("><"), F.lit(">\n<")).alias("html"), F.concat(F.lit("Trang "), "page_id").alias("title"), F.when(k % 2 == 1, F.concat(F.lit("p"), k)).alias("file_name"), F.lit("").alias("program_level"), F.lit(None).cast("string").alias("program_name"), F.lit("2026").alias("academic_year"), F.lit(None).cast("string").alias("reference_url"))
+    return compose.composed(pages, lambda rows: providers.answered(rows, lambda: [providers.StandIn("first", 0, "xxx")], base=0.0), 2000)
+
+
 @query("""WITH t AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN '| a | b |' || chr(10) || '|---|:-:|' || chr(10) || '| ' || text || ' |' WHEN doc_id % 3 = 1 THEN '| a |' || chr(10) || text ELSE text END AS text FROM documents),
 l AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS l FROM t)
 SELECT doc_id, len(list_filter(l, lambda x: starts_with(x, '|'))) >= 2 AND len(list_filter(l, lambda x: regexp_matches(x, '^\\|[\\s\\-:|]+\\|'))) > 0 AS is_table FROM l""".replace("\\\\", "\\"))

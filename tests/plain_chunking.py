@@ -74,4 +74,4 @@ def paragraphs(text: str, least: int = 50) -> list[str]:
 
 
 def pack_lines(text: str, most: int = 20_000) -> list[str]:
-    return ["\n".join(g) for g in packed(text.split("\n"), most, gap=1)]
+    return ["\n".join(g) for g in packed(text.split("\n"), most)]

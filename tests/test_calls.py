@@ -124,3 +124,24 @@ def test_answering_a_stream(spark, tmp_path):
         cache.step(again, 5, ask)
     assert {r.request_id: (r.answer, r.hit, r.entry_id) for r in cache.answers(spark).collect()} == want
     assert {r.entry_id for r in cache.before(spark, 99).collect()} == left and cache.answers(spark).count() == len(want)
+
+
+def test_composing_pages(spark):
+    from docloom.plans import compose
+
+    schema = "page_id int, html string, title string, file_name string, program_level string, program_name string, academic_year string, reference_url string"
+    rows = [(1, "<p>a</p>\n<p>bb</p>\n<p>c</p>", "T", " x ", "thac_si", None, "2026", ""), (2, "ok\nfail", "U", None, None, None, None, None), (3, None, None, "y.md", None, None, None, "http://u")]
+    seen = []
+
+    def ask(parts):
+        seen.extend(r.text for r in parts.collect())
+        inner = F.regexp_extract("text", r"(?s)phần này:\n(.*)\z", 1)
+        return parts.withColumn("answer", F.when(~inner.contains("fail"), F.concat(F.lit("```markdown\n"), F.regexp_replace(inner, "</?p>", ""), F.lit(" \n```")))).withColumn("error", F.when(inner.contains("fail"), "no answer"))
+
+    got = {r.page_id: tuple(r)[1:] for r in compose.composed(spark.createDataFrame(rows, schema).repartition(3), ask, most=12).collect()}
+    assert got == {
+        1: ("x.md", '---\ntitle: "T"\nprogram_level: "thac_si"\nacademic_year: "2026"\n---\n-start-\n\na\n\nbb\n\nc', 3, None),
+        2: ("Ban_Nhaps.md", None, 1, "no answer"),
+        3: ("y.md", '---\ntitle: ""\nreference_url: "http://u"\n---\n-start-\n\n', 1, None),
+    }
+    assert "Tiêu đề: T (Phần 2/3)\n\nNội dung HTML phần này:\n<p>bb</p>" in seen

@@ -34,6 +34,13 @@ def test_cutters(texts, name):
     assert len(got) == len(want) and set(got) == want
 
 
+@pytest.mark.parametrize("most", [1, 40, 300])
+def test_lines_are_packed(texts, most):
+    rows, df = texts
+    want = {(i, k, x) for i, t in rows for k, x in enumerate(plain_chunking.pack_lines(t or "", most), 1)}
+    assert {(r.doc_id, r.chunk_index, r.content) for r in chunking.chunk_texts(df, lambda t: chunking.pack_lines(t, most)).collect()} == want
+
+
 def test_merging(spark):
     rng = random.Random(2)
     cases = [([rng.choice(["ngắn.", "Câu này dài hơn một chút. " * 4, "x" * 900, "y" * 2600]) for _ in range(n)], [k == 0 or rng.random() < 0.5 for k in range(n)]) for n in (1, 2, 3, 5, 9) for _ in range(12)]
