@@ -49,14 +49,30 @@ def uploads(spark: SparkSession, folder: str) -> DataFrame:
     return read.select(_name(F.col("path")).alias("source"), F.col("length").alias("size"), F.when(reason.isNull(), _clean(F.col("content").cast("string"))).alias("text"), reason.alias("reason"))
 
 
-def export_json(trees: DataFrame, path: str) -> None:
-    """Nested parents and children as JSON lines; embeddings as size, first eight and norm."""
+def export_json(trees: DataFrame, path: str, summary: DataFrame | None = None) -> None:
+    """Nested parents and children as JSON lines under path/chunks, and, if given, a summary
+    by program under path/summary; embeddings as size, first eight and norm."""
     from docloom.functions.vectors import norm
 
     if "embedding" in trees.columns:
         e = F.col("embedding")
-        trees = trees.withColumn("embedding", F.struct(F.size(e).alias("dims"), F.slice(e, 1, 8).alias("first"), F.round(norm(e), 6).alias("norm")))
-    trees.write.mode("overwrite").json(path)
+        trees = trees.withColumn("embedding", F.when(e.isNotNull(), F.struct(F.size(e).alias("dims"), F.slice(e, 1, 8).alias("first"), F.round(norm(e), 6).alias("norm"))))
+    trees.write.mode("overwrite").json(f"{path}/chunks")
+    if summary is not None:
+        summary.coalesce(1).write.mode("overwrite").json(f"{path}/summary")
+
+
+def config_file(spark: SparkSession, path: str) -> dict:
+    """A YAML or JSON file as a dict; empty if it isn't there or holds no mapping."""
+    import yaml
+
+    jvm = spark.sparkContext._jvm
+    file = jvm.org.apache.hadoop.fs.Path(path)
+    if not file.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(file):
+        return {}
+    rows = spark.read.text(path, wholetext=True).collect()  # one file
+    read = yaml.safe_load(rows[0][0]) if rows else None
+    return read if isinstance(read, dict) else {}
 
 
 def event_frames(texts: DataFrame) -> DataFrame:

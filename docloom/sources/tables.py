@@ -24,9 +24,21 @@ def _shared(spark: SparkSession) -> str:
     return (named or sc.getCheckpointDir()).rstrip("/")
 
 
+def _own(spark: SparkSession) -> str:
+    """This application's part of the shared folder."""
+    return f"{_shared(spark)}/docloom/{spark.sparkContext.applicationId}"
+
+
 def scratch(spark: SparkSession, name: str = "table") -> str:
     """A path of its own in the shared folder, for what one query writes."""
-    return f"{_shared(spark)}/docloom/{name}-{uuid.uuid4().hex}"
+    return f"{_own(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes all that this application has written with scratch and materialized. Call it
+    when results were read or written: those that still lead there can't be any more."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_own(spark))
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def materialized(df: DataFrame) -> DataFrame:

@@ -60,3 +60,23 @@ def test_forms_are_compressed(spark, tmp_path):
     assert report == {"files": 2, "changed": 1, "saved": 31 - len(new), "dots_before": 14, "dots_after": 0} and "..." not in new
     assert (tmp_path / "a.md.bak").read_text() == "Tôi tên là:......... tại .....\n" and not (tmp_path / "b.md.bak").exists()
     assert rewrites.compress_forms(spark, str(tmp_path))["changed"] == 0
+
+
+def test_export_and_config(spark, tmp_path):
+    import json
+
+    from docloom.operators import catalog
+
+    schema = "chunk_id string, parent_id string, chunk_level string, chunk_index int, program_level string, program_name string, section_name string, embedding array<double>, content string"
+    rows = [("p", None, "parent", 1, "x", "N", "s", [3.0, 4.0] + [0.0] * 8, "P"), ("b", "p", "child", 2, "x", "N", "t", None, "B"), ("a", "p", "child", 1, "x", "N", "s", None, "A")]
+    chunks = spark.createDataFrame(rows, schema)
+    files.export_json(catalog.trees(chunks), str(tmp_path / "out"), catalog.program_summary(chunks))
+    read = lambda name: [json.loads(line) for f in (tmp_path / "out" / name).glob("*.json") for line in f.read_text().splitlines()]
+    (tree,), (summary,) = read("chunks"), read("summary")
+    assert tree["embedding"] == {"dims": 10, "first": [3.0, 4.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0], "norm": 5.0} and [c["chunk_id"] for c in tree["children"]] == ["a", "b"]
+    assert summary == {"program_level": "x", "program_name": "N", "parents": 1, "children": 2, "sections": "s|t", "total": 3}
+    (tmp_path / "c.yaml").write_text("a:\n  - 1\nb: ä\n")
+    (tmp_path / "d.json").write_text('{"x": {"y": 1}}')
+    (tmp_path / "e.yaml").write_text("- 1\n")
+    load = lambda name: files.config_file(spark, str(tmp_path / name))
+    assert load("c.yaml") == {"a": [1], "b": "ä"} and load("d.json") == {"x": {"y": 1}} and load("e.yaml") == {} == load("none.yaml")

@@ -77,3 +77,15 @@ def test_lookup_finds_the_newest_entries_alone(spark, many_ranges):
     requests = spark.createDataFrame(asks, "request_id int, action string, asked_at timestamp, embedding array<double>")
     got = dialogue.cache_lookup(requests, cache, 300, 0.9, most=20).collect()
     assert {r.request_id: (r.entry_id, r.similarity) for r in got} == want and all(r.hit == (r.similarity >= 0.9) for r in got)
+
+
+def test_intermediates_are_cleared(spark):
+    from pathlib import Path
+
+    from docloom.sources import tables
+
+    kept = tables.materialized(spark.range(3))
+    folder = Path(tables._own(spark).removeprefix("file:"))
+    assert kept.count() == 3 and any(folder.iterdir())
+    tables.clear(spark)
+    assert not folder.exists() and tables.materialized(spark.range(2)).count() == 2
