@@ -248,17 +248,27 @@ def parent_chunks(secs: DataFrame) -> DataFrame:
 
 
 def packs(items: Column, most: int, gap: int = 0, carry: int = 0) -> Column:
-    """packed() of an array of strings, as an array of groups."""
-    strings, groups = F.array().cast("array<string>"), F.array().cast("array<array<string>>")
-    chars = lambda a: F.aggregate(a, F.lit(0), lambda s, x: s + F.length(x) + gap)
-    kept = (lambda a: F.slice(a, F.greatest(F.size(a) - carry + 1, F.lit(1)), F.lit(carry))) if carry else lambda a: strings
-    state = lambda done, run, size: F.struct(done.alias("done"), run.alias("run"), size.alias("size"))
+    """packed() of an array of strings, as an array of groups. The fold is over lengths
+    alone and keeps where groups begin; items are made and sliced once."""
+    return F.element_at(F.transform(F.array(items), lambda bound: _packs(bound, most, gap, carry)), 1)
 
-    def add(s: Column, x: Column) -> Column:
-        n = F.length(x) + gap
-        return F.when((F.size(s["run"]) > 0) & (s["size"] + n > most), state(F.concat(s["done"], F.array(s["run"])), F.concat(kept(s["run"]), F.array(x)), chars(kept(s["run"])) + n)).otherwise(state(s["done"], F.concat(s["run"], F.array(x)), s["size"] + n))
 
-    return F.aggregate(items, state(groups, strings, F.lit(0)), add, lambda s: F.when(F.size(s["run"]) > 0, F.concat(s["done"], F.array(s["run"]))).otherwise(s["done"]))
+def _packs(items: Column, most: int, gap: int, carry: int) -> Column:
+    state = lambda starts, size: F.struct(starts.alias("starts"), size.alias("size"))
+    lengths = F.transform(items, lambda x, i: F.struct((i + 1).alias("at"), (F.length(x) + gap).alias("n")))
+
+    def add(s: Column, x: Column) -> Column:
+        start = F.element_at(s["starts"], -1)
+        first = F.greatest(start, x["at"] - carry)  # a group opens with the last `carry` of the one before
+        carried = sum((F.when(x["at"] - k >= start, F.length(F.get(items, x["at"] - k - 1)) + gap).otherwise(0) for k in range(1, carry + 1)), F.lit(0))
+        full = (x["at"] > start) & (s["size"] + x["n"] > most)
+        return F.when(full, state(F.concat(s["starts"], F.array(x["at"], first)), carried + x["n"])).otherwise(state(s["starts"], s["size"] + x["n"]))
+
+    # starts: 1, then for each further group the item that closed the one before, and its first
+    folded = F.aggregate(lengths, state(F.array(F.lit(1)), F.lit(0)), add, lambda s: F.concat(s["starts"], F.array(F.size(items) + 1)))
+    cut = lambda bounds: F.transform(F.sequence(F.lit(1), F.size(bounds) - 1, F.lit(2)), lambda k: F.slice(items, F.element_at(bounds, k), F.element_at(bounds, k + 1) - F.element_at(bounds, k)))
+    groups = F.element_at(F.transform(F.array(folded), cut), 1)
+    return F.when(F.size(items) > 0, groups).otherwise(F.array().cast("array<array<string>>"))
 
 
 def _joined(groups: Column, by: str) -> Column:

@@ -15,7 +15,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docloom import config
@@ -78,22 +78,26 @@ def _listed(rows: DataFrame, listed: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(listed) if n <= BROADCAST_TERMS else listed, "term", "left_semi")
 
 
-def build(docs: DataFrame, path: str, only: DataFrame | None = None, k1: float = 1.2, b: float = 0.75, buckets: int = BUCKETS) -> Index:
+def build(docs: DataFrame, path: str, only: DataFrame | None = None, k1: float = 1.2, b: float = 0.75, buckets: int = BUCKETS, places: bool = True) -> Index:
     """Writes the index of docs (chunk_id, each once; content) to path; with only (term),
-    of these terms alone, for searches that ask for no others. Chunks without words count
-    as chunks of length 0.
+    of these terms alone, for searches that ask for no others; without places, for those
+    that don't ask how terms stand. Chunks without words count as chunks of length 0.
 
-    Chunks are dealt out by id before they are exploded, so counting needs no further
-    shuffle; postings are then dealt out by bucket, a large bucket over several tasks."""
+    Chunks are dealt out by id before they are split, so counting needs no further shuffle;
+    postings are then dealt out by bucket, a large bucket over several tasks. Texts are
+    read once: their number and lengths are observed on the way."""
     spark = docs.sparkSession
-    split = docs.select("chunk_id", terms(F.coalesce("content", F.lit(""))).alias("t")).withColumn("length", F.size("t"))
-    split = split.repartition("chunk_id")
-    sizes = split.agg(F.count("*"), F.coalesce(F.avg("length"), F.lit(0.0))).first()
+    dealt = docs.select("chunk_id", "content").repartition("chunk_id")
+    split = dealt.select("chunk_id", terms(F.coalesce("content", F.lit(""))).alias("t")).withColumn("length", F.size("t"))
+    sizes = Observation()
+    split = split.observe(sizes, F.count("*").alias("n"), F.coalesce(F.sum("length"), F.lit(0)).alias("words"))
     each = split.select("chunk_id", "length", F.posexplode("t").alias("at", "term"))
     each = each if only is None else _listed(each, only.select("term").distinct())
-    found = each.groupBy("chunk_id", "term").agg(F.first("length").alias("length"), F.count("*").alias("tf"), F.array_sort(F.collect_list("at")).alias("pos"))
-    index = Index(path, sizes[0], max(float(sizes[1]), 1e-9), k1, b, buckets, docs.schema["chunk_id"].dataType.simpleString())
+    pos = F.array_sort(F.collect_list("at")) if places else F.lit(None).cast("array<int>")
+    found = each.groupBy("chunk_id", "term").agg(F.max("length").alias("length"), F.count("*").alias("tf"), pos.alias("pos"))
     found.select("term", "chunk_id", "length", "tf", "pos", _bucket(buckets)).hint("rebalance", "bucket").sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+    seen = sizes.get
+    index = Index(path, seen["n"], max(seen["words"] / max(1, seen["n"]), 1e-9), k1, b, buckets, docs.schema["chunk_id"].dataType.simpleString())
     each = index.postings(spark).groupBy("bucket", "term").agg(F.count("*").alias("df"), F.max(index.part()).alias("peak"))
     each.select("term", "df", "peak", "bucket").hint("rebalance", "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/terms")
     spark.createDataFrame([(index.n_docs, index.mean_length, k1, b, buckets, index.chunk_type)], "n_docs long, mean_length double, k1 double, b double, buckets int, chunk_type string").coalesce(1).write.mode("overwrite").parquet(f"{path}/sizes")

@@ -117,11 +117,11 @@ p AS (SELECT chunk_id, len(t) AS length, term, count(*) AS tf FROM (SELECT chunk
 wanted AS (SELECT query_id, len(list_distinct(t)) AS n_terms, unnest(list_distinct(t)) AS term FROM (SELECT item_id AS query_id, {_TERMS.format("text")} AS t FROM benchmark))"""
 
 
-def _text_index(s: SparkSession, d: str) -> tuple[text_index.Index, DataFrame]:
+def _text_index(s: SparkSession, d: str, places: bool = False) -> tuple[text_index.Index, DataFrame]:
     """The index of all documents for the terms of the benchmark's texts, and these terms."""
     docs = read_table(s, d, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"))
     wanted = text_index.query_terms(read_table(s, d, "benchmark").select(F.col("item_id").alias("query_id"), "text"))
-    return text_index.build(docs, scratch(s, "text-index"), wanted), wanted
+    return text_index.build(docs, scratch(s, "text-index"), wanted, places=places), wanted
 
 
 @query(f"WITH {_POSTINGS} SELECT query_id, chunk_id FROM (SELECT query_id, chunk_id, count(*) AS n, max(n_terms) AS m FROM p JOIN wanted USING (term) GROUP BY ALL) WHERE n = m")
@@ -920,12 +920,12 @@ cd AS (SELECT query_id, chunk_id, round(sum(0.1::DOUBLE / (1 + (pos - begin) - (
 
 @query(f"WITH {_COVERS.replace('{docs}', 'documents')} SELECT query_id, chunk_id, score FROM cd")
 def cover_density(s: SparkSession, d: str) -> DataFrame:
-    return text_index.cover_density(*_text_index(s, d), k=None)
+    return text_index.cover_density(*_text_index(s, d, places=True), k=None)
 
 
 @query(f"WITH {_COVERS.replace('{docs}', 'documents')}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM cd) SELECT query_id, chunk_id, score, rank::INT AS rank FROM r WHERE rank <= 5")
 def cover_density_topk(s: SparkSession, d: str) -> DataFrame:
-    return text_index.cover_density(*_text_index(s, d))
+    return text_index.cover_density(*_text_index(s, d, places=True))
 
 
 _HYBRID = f"""WITH {_CHUNKS}, live AS (SELECT chunk_id AS doc_id, content AS text FROM chunks WHERE is_active), {_COVERS.replace('{docs}', 'live')},
