@@ -45,7 +45,7 @@ def blocked(query: Column, messages: dict[int, str], contact: str) -> Column:
     stopped = ~found["safe"]
     return F.struct(
         found["safe"].alias("passed"), F.when(stopped, F.least(found["layer"], F.lit(1))).alias("layer"),
-        F.when(found["layer"] == 0, F.lower(F.left(query, F.lit(200)))).otherwise(T.normalize_teencode(query)).alias("normalized"),
+        F.when(found["layer"] == 0, T.lower(F.left(query, F.lit(200)))).otherwise(T.normalize_teencode(query)).alias("normalized"),
         F.when(stopped, F.concat(message, F.lit("\n" + contact))).alias("response"), F.when(stopped, "fast_scan").alias("source"),
     )
 

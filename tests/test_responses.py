@@ -32,3 +32,8 @@ def test_blocked_and_shown(spark):
     df = spark.createDataFrame([([(u,) for u in urls],)], "c array<struct<url:string>>")
     shown = lambda *a: [c.url for c in df.select(responses.shown(F.col("c"), *a).alias("s")).first().s]
     assert shown(["ufm.edu.vn"]) == [urls[0], urls[5]] and shown() == [urls[0], urls[1], urls[5]]
+
+
+def test_scan_lowers_long_queries_letter_by_letter(spark):
+    df = spark.createDataFrame([("İΣ" * 1501,), ("sudođ İΣ",)], "q string").select(responses.blocked(F.col("q"), {0: "l", 1: "b", 2: "i"}, "C").alias("b"))
+    assert [tuple(r.b)[:3] for r in df.collect()] == [(False, 0, "iσ" * 100), (False, 1, "sudođ iσ")]
