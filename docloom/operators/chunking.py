@@ -13,6 +13,7 @@ import unicodedata
 from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -227,21 +228,35 @@ def parents(rows: list[tuple[int, str, str]], source: str, limits: ChunkLimits =
     return stack[0][1].emitted
 
 
+#: Characters of parents that a task holds as Python objects before it hands them on.
+HELD_CHARS = 1 << 20
+
+
 def parent_chunks(secs: DataFrame) -> DataFrame:
     """Parent chunks of sections() rows (doc_id, seq, level, heading, body), numbered
-    through each document. A document's sections are gathered: a document is bounded."""
+    through each document. A document's sections are gathered: a document is bounded. One
+    document at a time becomes Python objects, however many an Arrow batch brings."""
     docs = secs.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("seq", "level", "heading", "body"))).alias("s"))
-
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for doc, s in zip(pdf["doc_id"], pdf["s"], strict=True):
-                found = parents([(x["level"], x["heading"], x["body"]) for x in s], str(doc))
-                rows += [{"doc_id": doc, "chunk_index": i, "total": len(found)} | c for i, c in enumerate(found, 1)]
-            yield pd.DataFrame(rows, columns=["doc_id", "chunk_index", "total", "section_path", "section_name", "part", "parts", "content"])
-
     kind = secs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInPandas(cut, f"doc_id {kind}, chunk_index int, total int, section_path string, section_name string, part int, parts int, content string")
+    columns = "chunk_index int, total int, section_path string, section_name string, part int, parts int, content string"
+    names = ["doc_id", *(c.split()[0] for c in columns.split(", "))]
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            schema = pa.schema([("doc_id", batch.schema.field("doc_id").type), *((n, pa.int32() if n in ("chunk_index", "total", "part", "parts") else pa.string()) for n in names[1:])])
+            rows, held = [], 0
+            for doc, s in zip(batch.column("doc_id"), batch.column("s"), strict=True):
+                doc = doc.as_py()
+                found = parents([(x["level"], x["heading"], x["body"]) for x in s.as_py()], str(doc))
+                rows += [{"doc_id": doc, "chunk_index": i, "total": len(found)} | c for i, c in enumerate(found, 1)]
+                held += sum(len(c["content"]) for c in found)
+                if held > HELD_CHARS:
+                    yield pa.RecordBatch.from_pylist(rows, schema)
+                    rows, held = [], 0
+            if rows:
+                yield pa.RecordBatch.from_pylist(rows, schema)
+
+    return docs.mapInArrow(cut, f"doc_id {kind}, {columns}")
 
 
 # -- children --------------------------------------------------------------------------

@@ -144,6 +144,22 @@ def test_merging_blocks():
     assert plain_chunking.merge_blocks(["x" * 3000], [True]) == [("x" * 2400, True)]
 
 
+def test_documents_are_cut_one_at_a_time(spark, monkeypatch):
+    """Not an Arrow batch of them at once: each is handed on before the next is read."""
+    import pyarrow as pa
+
+    seen = []
+    monkeypatch.setattr(type(spark.range(1)), "mapInArrow", lambda self, f, *a: seen.append(f))
+    monkeypatch.setattr(chunking, "HELD_CHARS", 10)
+    chunking.parent_chunks(spark.createDataFrame([(1, 1, 1, "A", "x")], "doc_id long, seq long, level int, heading string, body string"))
+    asked = []
+    monkeypatch.setattr(chunking, "parents", lambda rows, source: asked.append(source) or [{"section_path": "p", "section_name": "n", "part": 1, "parts": 1, "content": rows[0][2] * 20}])
+    batch = pa.RecordBatch.from_pylist([{"doc_id": i, "s": [{"seq": 1, "level": 1, "heading": "A", "body": "x"}]} for i in range(5)])
+    out = seen[0](iter([batch]))
+    assert next(out).num_rows == 1 and asked == ["0"]
+    assert sum(b.num_rows for b in out) == 4 and asked == list("01234")
+
+
 @pytest.mark.parametrize("by_meaning", [True, False])
 def test_parents_and_children(spark, by_meaning):
     """Against the same steps taken one document at a time."""
