@@ -20,6 +20,7 @@ from pyspark.sql.types import StringType
 
 from docloom.config import ChunkLimits
 from docloom.functions import text as T
+from docloom.sources.tables import materialized
 
 LIMITS = ChunkLimits()
 
@@ -407,7 +408,7 @@ def hierarchy(docs: DataFrame, embed: Callable[[DataFrame], DataFrame] | None) -
     are hashes of the document and the chunk's place. A text without words has no chunks."""
     rest = [c for c in docs.columns if c not in ("doc_id", "text")]
     found = parent_chunks(sections(headings(fences(lines(docs.select("doc_id", "text").filter("trim(text) <> ''"))))))
-    named = found.withColumn("chunk_id", F.sha2(F.concat_ws("#", "doc_id", "chunk_index"), 256))
+    named = materialized(found.withColumn("chunk_id", F.sha2(F.concat_ws("#", "doc_id", "chunk_index"), 256)))  # three readers
     prefix = F.concat(F.lit("[Nguồn: "), F.col("doc_id").cast("string"), F.lit("]\n[Mục: "), F.col("section_path"), F.lit("]\n\n"))
     named = named.withColumn("prefix", prefix)
     body = F.when(F.startswith("content", F.col("prefix")), F.substring("content", F.length("prefix") + 1, F.length("content"))).otherwise(F.col("content"))
