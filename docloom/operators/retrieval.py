@@ -21,7 +21,7 @@ if TYPE_CHECKING:
 
 #: Most bytes of query vectors that go to the tasks as they are, scores that a task holds
 #: at once, and rows of either side of a tile.
-QUERY_BLOCK_BYTES, SCORES, TILE_ROWS = 8 << 20, 1 << 22, 1 << 15
+QUERY_BLOCK_BYTES, SCORES, TILE_ROWS = 8 << 20, 1 << 20, 1 << 15
 #: Most rows of ids that are broadcast to fetch texts.
 BROADCAST_ROWS = 1 << 18
 
@@ -78,26 +78,35 @@ def _best(i: np.ndarray, ids: np.ndarray, s: np.ndarray, k: int) -> tuple[np.nda
 
 
 class _Held:
-    """The k best of each of some queries, over batches of vectors."""
+    """The k best of each of some queries, over batches of vectors. Scores under the k-th
+    held so far are dropped where they are made."""
 
     def __init__(self, q: np.ndarray, k: int, digits: int) -> None:
         self.q, self.k, self.digits = unit(q), k, digits
+        self.kth = np.full((len(q), 1), -np.inf)
         self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         self.n = 0
 
     def add(self, names: np.ndarray, vectors: np.ndarray) -> None:
-        x, step = unit(vectors), max(1, SCORES // max(1, len(self.q)))
-        for at in range(0, len(x), step):  # scores of a bounded number of pairs
-            s = np.round(self.q @ x[at : at + step].T, self.digits)
+        step = max(1, SCORES // max(1, len(self.q)))
+        for at in range(0, len(vectors), step):  # scores of a bounded number of pairs
+            s = self.q @ unit(vectors[at : at + step]).T
+            np.round(s, self.digits, out=s)
             s[np.isnan(s)] = -np.inf
-            rest = s.shape[1] - min(self.k, s.shape[1])
-            least = np.partition(s, rest, axis=1)[:, rest, None]
-            i, j = np.nonzero((s >= least) & (s > -np.inf))
-            self.parts.append(_best(i, names[at + j], s[i, j], self.k))
-            self.n += len(self.parts[-1][0])
-            if self.n > 4 * self.k * len(self.q):
+            open_ = (s >= self.kth) & (s > -np.inf)
+            if np.count_nonzero(open_) > self.k * len(self.q):
+                rest = s.shape[1] - min(self.k, s.shape[1])
+                open_ &= s >= np.partition(s, rest, axis=1)[:, rest, None]
+            i, j = np.nonzero(open_)
+            if len(i):
+                self.parts.append(_best(i, names[at + j], s[i, j], self.k))
+                self.n += len(self.parts[-1][0])
+            if self.n > 2 * self.k * len(self.q):
                 self.parts = [self.best()]
-                self.n = len(self.parts[0][0])
+                i, _, s = self.parts[0]
+                self.n, found = len(i), np.bincount(i, minlength=len(self.q))
+                full = found == self.k
+                self.kth[full, 0] = s[np.cumsum(found)[full] - 1]
 
     def best(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         return _best(*(np.concatenate(c) for c in zip(*self.parts, strict=True)), self.k)
@@ -141,6 +150,8 @@ def tiled(corpus: DataFrame, queries: DataFrame, k: int, digits: int = 6, rows:
             return pa.schema(fields).empty_table()
         held = _Held(matrix(asked["embedding"], len(asked)), k, digits)
         held.add(vectors["chunk_id"].to_numpy(), matrix(vectors["embedding"], len(vectors)))
+        if not held.parts:
+            return pa.schema(fields).empty_table()
         i, names, s = held.best()
         return pa.Table.from_arrays([asked["query_id"].take(pa.array(i)), pa.array(names, fields[1][1]), pa.array(s)], schema=pa.schema(fields))
 

@@ -189,3 +189,22 @@ def test_bm25_leaves_out_nothing_that_ranks(index, wanted, texts):
         if s:
             want[q] = [(i, s[i]) for i in sorted(s, key=lambda i: (-s[i], i))[:5]]
     assert found(text_index.bm25(index, wanted)) == want
+
+
+def test_scores_under_the_kth_are_not_held(monkeypatch):
+    """What a task sorts and holds grows with the queries, not with the vectors."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    q, x, names = rng.normal(size=(5, 8)), np.round(rng.normal(size=(4000, 8)), 1), rng.permutation(4000)
+    x[::3], x[7] = x[0], np.nan
+    sorted_, best = [], retrieval._best
+    monkeypatch.setattr(retrieval, "_best", lambda i, *a: sorted_.append(len(i)) or best(i, *a))
+    monkeypatch.setattr(retrieval, "SCORES", 100)
+    held = retrieval._Held(q, 3, 6)
+    for at in range(0, 4000, 900):
+        held.add(names[at : at + 900], x[at : at + 900])
+    i, ids, s = held.best()
+    scores = np.nan_to_num(np.round(retrieval.unit(q) @ retrieval.unit(x).T, 6), nan=-np.inf)
+    want = [(row, names[j], scores[row, j]) for row in range(5) for j in np.lexsort((names, -scores[row]))[:3]]
+    assert list(zip(i, ids, s, strict=True)) == want and sum(sorted_) < 2500
