@@ -25,6 +25,8 @@ from docloom.sources.tables import materialized
 #: Buckets of the stored postings. Most terms of questions that are broadcast; more are
 #: joined by a shuffle.
 BUCKETS, BROADCAST_TERMS = 64, 1 << 19
+#: Bytes of text that a task counts the words of.
+DEALT_BYTES = 16 << 20
 #: Scores are compared with bounds with so much to spare, since they are rounded after.
 SPARE = 2e-6
 
@@ -84,10 +86,12 @@ def build(docs: DataFrame, path: str, only: DataFrame | None = None, k1: float =
     that don't ask how terms stand. Chunks without words count as chunks of length 0.
 
     Chunks are dealt out by id before they are split, so counting needs no further shuffle;
-    postings are then dealt out by bucket, a large bucket over several tasks. Texts are
-    read once: their number and lengths are observed on the way."""
+    postings are then dealt out by bucket, a large bucket over several tasks. The number of
+    tasks that count follows the bytes of the texts, so that none counts more as they grow;
+    number and lengths of the texts are observed on the way."""
     spark = docs.sparkSession
-    dealt = docs.select("chunk_id", "content").repartition("chunk_id")
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("content")), F.lit(0))).first()[0]
+    dealt = docs.select("chunk_id", "content").repartition(max(spark.sparkContext.defaultParallelism, -(-size // DEALT_BYTES)), "chunk_id")
     split = dealt.select("chunk_id", terms(F.coalesce("content", F.lit(""))).alias("t")).withColumn("length", F.size("t"))
     sizes = Observation()
     split = split.observe(sizes, F.count("*").alias("n"), F.coalesce(F.sum("length"), F.lit(0)).alias("words"))

@@ -208,3 +208,14 @@ def test_scores_under_the_kth_are_not_held(monkeypatch):
     scores = np.nan_to_num(np.round(retrieval.unit(q) @ retrieval.unit(x).T, 6), nan=-np.inf)
     want = [(row, names[j], scores[row, j]) for row in range(5) for j in np.lexsort((names, -scores[row]))[:3]]
     assert list(zip(i, ids, s, strict=True)) == want and sum(sorted_) < 2500
+
+
+def test_tasks_that_count_words_follow_the_texts(spark, tmp_path, monkeypatch):
+    asked, kind = [], type(spark.range(1))
+    whole = kind.repartition
+    monkeypatch.setattr(kind, "repartition", lambda self, *a: asked.append(a) or whole(self, *a))
+    monkeypatch.setattr(text_index, "DEALT_BYTES", 100)
+    docs = spark.createDataFrame([(i, "á b " * 5 if i else None) for i in range(101)], "chunk_id long, content string")
+    index = text_index.build(docs, str(tmp_path / "i"))
+    assert asked == [(25, "chunk_id")]
+    assert index.n_docs == 101 and {(r.term, r.df) for r in index.terms(spark).collect()} == {("á", 100), ("b", 100)}
