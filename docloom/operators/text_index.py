@@ -1,12 +1,11 @@
 """A stored positional index of texts, and searches that start from rare terms.
 
 Postings (term, chunk, places) are written once, in buckets of terms, with each term's
-document frequency and the most it can add to a score. A search for all of a query's terms
-follows the postings of the rarest and keeps what holds the next ones; only what is left
-is looked up for every term. A ranked search scores what holds rare terms, and leaves out
-the terms that together can't lift a chunk to the k-th score found: a chunk that holds
-none but such common terms is never looked at. Both give the same rows as a search that
-looks at everything.
+document frequency. A search for all of a query's terms follows the postings of the rarest
+and keeps what holds the next ones; only what is left is looked up for every term, with the
+same rows as a search that looks at everything. A ranked search deals the postings of the
+queries' terms out by chunk and scores inside tasks: of the pairs of a query and a chunk,
+the best of each task alone are shuffled.
 """
 
 from __future__ import annotations
@@ -27,8 +26,8 @@ from docloom.sources.tables import materialized
 BUCKETS, BROADCAST_TERMS = 64, 1 << 19
 #: Bytes of text that a task counts the words of.
 DEALT_BYTES = 16 << 20
-#: Scores are compared with bounds with so much to spare, since they are rounded after.
-SPARE = 2e-6
+#: Postings, once for each query that asks for their term, that a task scores.
+DEALT_PAIRS = 1 << 22
 
 
 @dataclass(frozen=True)
@@ -48,8 +47,8 @@ class Index:
         return spark.read.schema(f"term string, chunk_id {self.chunk_type}, length int, tf long, pos array<int>, bucket int").parquet(f"{self.path}/postings")
 
     def terms(self, spark: SparkSession) -> DataFrame:
-        """term, df, peak (the largest part() of its postings), bucket."""
-        return spark.read.schema("term string, df long, peak double, bucket int").parquet(f"{self.path}/terms")
+        """term, df, bucket."""
+        return spark.read.schema("term string, df long, bucket int").parquet(f"{self.path}/terms")
 
     def part(self) -> Column:
         """What a posting adds to a score, but for its term's weight."""
@@ -102,8 +101,8 @@ def build(docs: DataFrame, path: str, only: DataFrame | None = None, k1: float =
     found.select("term", "chunk_id", "length", "tf", "pos", _bucket(buckets)).hint("rebalance", "bucket").sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
     seen = sizes.get
     index = Index(path, seen["n"], max(seen["words"] / max(1, seen["n"]), 1e-9), k1, b, buckets, docs.schema["chunk_id"].dataType.simpleString())
-    each = index.postings(spark).groupBy("bucket", "term").agg(F.count("*").alias("df"), F.max(index.part()).alias("peak"))
-    each.select("term", "df", "peak", "bucket").hint("rebalance", "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/terms")
+    each = index.postings(spark).groupBy("bucket", "term").agg(F.count("*").alias("df"))
+    each.select("term", "df", "bucket").hint("rebalance", "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/terms")
     spark.createDataFrame([(index.n_docs, index.mean_length, k1, b, buckets, index.chunk_type)], "n_docs long, mean_length double, k1 double, b double, buckets int, chunk_type string").coalesce(1).write.mode("overwrite").parquet(f"{path}/sizes")
     return index
 
@@ -113,7 +112,7 @@ def load(spark: SparkSession, path: str) -> Index:
 
 
 def _asked(index: Index, wanted: DataFrame, allowed: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-    """wanted with df, peak and place (from 1 at the rarest), as far as terms are known,
+    """wanted with df and place (from 1 at the rarest), as far as terms are known,
     and the postings of these terms, in allowed chunks (chunk_id) if given."""
     spark = wanted.sparkSession
     known = wanted.join(index.terms(spark).drop("bucket"), "term")
@@ -127,7 +126,7 @@ def _all_terms(known: DataFrame, rows: DataFrame, more: list[str]) -> DataFrame:
     """query_id, chunk_id, n_terms and the columns `more` of postings, in rows (term, *more),
     of the chunks that hold every term of a query. Queries with an unknown term are out
     from the start; then the rarest term leads, and the two after it narrow."""
-    whole = known.join(known.groupBy("query_id").count().withColumnRenamed("query_id", "q"), (F.col("query_id") == F.col("q")) & (F.col("n_terms") == F.col("count"))).drop("q", "count", "df", "peak")
+    whole = known.join(known.groupBy("query_id").count().withColumnRenamed("query_id", "q"), (F.col("query_id") == F.col("q")) & (F.col("n_terms") == F.col("count"))).drop("q", "count", "df")
     lean = rows.select("term", "chunk_id")
     found = whole.filter("place = 1").join(lean, "term").select("query_id", "n_terms", "chunk_id")
     for place in (2, 3):
@@ -185,21 +184,14 @@ def bm25(index: Index, wanted: DataFrame, k: int = config.TEXT_TOP_K, allowed: D
     a query's terms need not all be there. Weights are those of the whole index, whatever
     is allowed.
 
-    The three rarest terms give the k-th score of what holds them, which the final k-th
-    can't be under. Terms that together stay below it needn't be followed: chunks that
-    hold another are the candidates, and those that can't reach it any more are dropped
-    before the common terms are looked up."""
+    Postings are dealt out by chunk, each once; the queries' terms go to the tasks. A task
+    makes the pairs of its chunks and the queries, adds them up and sends the k best of each
+    query on: no pair that can't rank is shuffled. The number of tasks follows the number
+    of (posting, query), so that none holds more as either grows."""
     known, rows = _asked(index, wanted, allowed)
-    known = known.withColumn("idf", index.idf()).withColumn("most", F.col("idf") * F.col("peak"))
-    rows = rows.select("term", "chunk_id", index.part().alias("part"))
-    add = F.sum(F.col("idf") * F.col("part"))
-    w = Window.partitionBy("query_id")
-    seeds = known.filter("place <= 3").select("query_id", "term", "idf").join(rows, "term").groupBy("query_id", "chunk_id").agg(add.alias("score"))
-    kth = ranked(seeds, k).groupBy("query_id").agg(F.when(F.count("*") == k, F.min("score")).alias("kth"))
-    by_bound = w.orderBy("most", "term")
-    known = known.join(kth, "query_id", "left").withColumn("below", F.sum("most").over(by_bound)).withColumn("common", F.coalesce(F.col("below") < F.col("kth") - SPARE, F.lit(False)))
-    known = materialized(known.withColumn("rest", F.coalesce(F.sum(F.when(F.col("common"), F.col("most"))).over(w), F.lit(0.0))))
-    led = known.filter("not common").join(rows, "term").groupBy("query_id", "chunk_id").agg(add.alias("score"), F.first("rest").alias("rest"), F.first("kth").alias("kth"))
-    led = materialized(led.filter(F.coalesce(F.col("score") + F.col("rest") >= F.col("kth") - SPARE, F.lit(True))).select("query_id", "chunk_id", "score"))
-    more = led.select("query_id", "chunk_id").join(known.filter("common").select("query_id", "term", "idf"), "query_id").join(rows, ["term", "chunk_id"]).select("query_id", "chunk_id", (F.col("idf") * F.col("part")).alias("score"))
-    return ranked(led.unionByName(more).groupBy("query_id", "chunk_id").agg(F.round(F.sum("score"), digits).alias("score")), k)
+    asked = known.select("query_id", "term", index.idf().alias("idf"))
+    n, met = known.agg(F.count("*"), F.coalesce(F.sum("df"), F.lit(0))).first()
+    tasks = max(wanted.sparkSession.sparkContext.defaultParallelism, -(-met // DEALT_PAIRS))
+    dealt = rows.select("term", "chunk_id", index.part().alias("part")).repartition(tasks, "chunk_id")
+    pairs = dealt.join(F.broadcast(asked) if n <= BROADCAST_TERMS else asked, "term")
+    return ranked(pairs.groupBy("query_id", "chunk_id").agg(F.round(F.sum(F.col("idf") * F.col("part")), digits).alias("score")), k)

@@ -219,3 +219,20 @@ def test_tasks_that_count_words_follow_the_texts(spark, tmp_path, monkeypatch):
     index = text_index.build(docs, str(tmp_path / "i"))
     assert asked == [(25, "chunk_id")]
     assert index.n_docs == 101 and {(r.term, r.df) for r in index.terms(spark).collect()} == {("á", 100), ("b", 100)}
+
+def test_bm25_shuffles_postings_and_not_their_pairs(spark, tmp_path, monkeypatch):
+    """Pairs of a query and a chunk are made and added up in the tasks that hold the chunk's postings."""
+    asked, kind = [], type(spark.range(1))
+    whole = kind.repartition
+    monkeypatch.setattr(text_index, "DEALT_PAIRS", 100)
+    docs = spark.createDataFrame([(i, f"common w{i % 7} " * (1 + i % 3)) for i in range(120)], "chunk_id long, content string")
+    index = text_index.build(docs, str(tmp_path / "i"))
+    asks = text_index.query_terms(spark.createDataFrame([(q, f"common w{q % 7}") for q in range(20)], "query_id long, text string"))
+    monkeypatch.setattr(kind, "repartition", lambda self, *a: asked.append(a) or whole(self, *a))
+    got = text_index.bm25(index, asks)
+    assert asked == [(28, "chunk_id")]  # 20 queries meet 120 postings of one term and 17 or 18 of another
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    exchanges = [x for x in plan.splitlines() if "Exchange hashpartitioning" in x]
+    assert len([x for x in exchanges if "(chunk_id#" in x]) == 1 and "WindowGroupLimit" in plan
+    assert not any("query_id#" in x and "chunk_id#" in x for x in exchanges)
+    assert got.count() == 100
