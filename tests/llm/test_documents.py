@@ -485,3 +485,33 @@ def test_a_large_group_of_lines_across_blocks(spark, monkeypatch):
     got = {r.doc_id: r.n_removed for r in line_dedup.line_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     want = lines_brute(rows)
     assert {i for i, n in got.items() if n} == {i for _, i in want}
+
+
+def test_blocks_are_compared_in_waves_after_the_signatures_went(spark, monkeypatch):
+    """Large buckets lie on disk a wave at a time, and nothing that was read before beside them."""
+    from pathlib import Path
+
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choices("aeiounrstl", k=rng.randrange(2, 9)))
+    passage = [word() for _ in range(60)]
+    lines = [[*passage[: 30 + i % 31], *(word() for _ in range(20 + i % 9))] for i in range(120)]
+    lines += [[*w[:-1], word()] for w in lines[::4]]
+    rows = [(i, " ".join(w)) for i, w in enumerate(lines)]
+    beside, bands, write = [], [], line_dedup.written
+    held = lambda: {p.name for p in Path(spark.conf.get("spark.checkpoint.dir")).glob("docloom/*")}
+    before = held()
+
+    def watched(df, name):
+        out = write(df, name)
+        if name == "line-links-across":
+            beside.append({n.rsplit("-", 1)[0] for n in held() - before})
+        return out
+
+    monkeypatch.setattr(line_dedup, "written", watched)
+    monkeypatch.setattr(line_dedup, "BLOCK_LINES", 16)
+    monkeypatch.setattr(line_dedup, "WAVE", 100)
+    monkeypatch.setattr(line_dedup, "WAVE_BYTES", 1)
+    got = {r.doc_id: r.n_removed for r in line_dedup.line_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {i for i, n in got.items() if n} == {i for _, i in lines_brute(rows)}
+    assert 2 <= len(beside) <= 20
+    assert not set.union(*beside) & {"line-signatures", "line-bands", "line-buckets", "line-texts", "line-open"}
