@@ -176,8 +176,9 @@ class _Siblings:
             self.names.append(name)
 
 
-def parents(rows: list[tuple[int, str, str]], source: str, limits: ChunkLimits = LIMITS) -> list[dict]:
-    """Parent chunks of sections (level, heading, body) in document order.
+def _parents(rows: list[tuple[int, str, str]], source: str, limits: ChunkLimits = LIMITS) -> list[dict]:
+    """parents() with the content in two parts: head, the path that its prefix names, and
+    tail. All parts of a section share one head, which can be as long as the document.
 
     A leaf's short body, a heading without body and an inner section's short body wait
     for the next emitted sibling; what still waits at the end of a level joins its last
@@ -191,15 +192,15 @@ def parents(rows: list[tuple[int, str, str]], source: str, limits: ChunkLimits =
         texts = split_parent(body, max(limits.part, limits.parent - len(prefix)))
         for i, t in enumerate(texts, 1):
             label = f"[Phần {i}/{len(texts)}]\n" if len(texts) > 1 else ""
-            level.emitted.append({"section_path": path, "section_name": name, "part": i, "parts": len(texts), "content": prefix + label + t})
+            level.emitted.append({"section_path": path, "section_name": name, "part": i, "parts": len(texts), "head": path, "tail": label + t})
 
     def flush(level: _Siblings) -> None:
         if not level.text:
             return
         name = " & ".join(level.names) or "Phần bổ sung"
         last = level.emitted[-1] if level.emitted else None
-        if last and len(last["content"]) + len(level.text) <= limits.parent:
-            last["content"] += "\n\n" + level.text
+        if last and len(context_prefix(last["head"], source)) + len(last["tail"]) + len(level.text) <= limits.parent:
+            last["tail"] += "\n\n" + level.text
             last["section_name"] += " & " + name
             last["section_path"] = " > ".join([*level.path, last["section_name"]])
         else:
@@ -229,15 +230,24 @@ def parents(rows: list[tuple[int, str, str]], source: str, limits: ChunkLimits =
     return stack[0][1].emitted
 
 
+def parents(rows: list[tuple[int, str, str]], source: str, limits: ChunkLimits = LIMITS) -> list[dict]:
+    """Parent chunks of sections (level, heading, body) in document order."""
+    return [{k: v for k, v in c.items() if k not in ("head", "tail")} | {"content": context_prefix(c["head"], source) + c["tail"]} for c in _parents(rows, source, limits)]
+
+
 #: Characters of parents that a task holds as Python objects before it hands them on.
 HELD_CHARS = 1 << 20
 
 
+def _gathered(secs: DataFrame) -> DataFrame:
+    return secs.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("seq", "level", "heading", "body"))).alias("s"))
+
+
 def parent_chunks(secs: DataFrame) -> DataFrame:
     """Parent chunks of sections() rows (doc_id, seq, level, heading, body), numbered
     through each document. A document's sections are gathered: a document is bounded. One
     document at a time becomes Python objects, however many an Arrow batch brings."""
-    docs = secs.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("seq", "level", "heading", "body"))).alias("s"))
+    docs = _gathered(secs)
     kind = secs.schema["doc_id"].dataType.simpleString()
     columns = "chunk_index int, total int, section_path string, section_name string, part int, parts int, content string"
     names = ["doc_id", *(c.split()[0] for c in columns.split(", "))]
@@ -260,6 +270,41 @@ def parent_chunks(secs: DataFrame) -> DataFrame:
     return docs.mapInArrow(cut, f"doc_id {kind}, {columns}")
 
 
+def folded_parents(secs: DataFrame) -> DataFrame:
+    """parent_chunks() as a row for each document that has any, about as long as the
+    document: doc_id, source (as prefixes name it), paths (each once) and chunks (path and
+    head: places in paths; name: how many characters at the path's end; part, parts, tail).
+    What children are cut from is inner, or the tail where that is null; composed is its
+    composed form, where that differs."""
+    kind = secs.schema["doc_id"].dataType.simpleString()
+    numbers, strings = ("path", "name", "head", "part", "parts"), ("tail", "inner", "composed")
+    chunk = pa.struct([*((n, pa.int32()) for n in numbers), *((n, pa.string()) for n in strings)])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            schema = pa.schema([("doc_id", batch.schema.field("doc_id").type), ("source", pa.string()), ("paths", pa.list_(pa.string())), ("chunks", pa.list_(chunk))])
+            for doc, s in zip(batch.column("doc_id"), batch.column("s"), strict=True):
+                doc = doc.as_py()
+                paths: dict[str, int] = {}
+                place = lambda path, paths=paths: paths.setdefault(path, len(paths))
+                chunks = []
+                for c in _parents([(x["level"], x["heading"], x["body"]) for x in s.as_py()], str(doc)):
+                    path, head, tail = c["section_path"], c["head"], c["tail"]
+                    inner = None
+                    if doc is None or path != head or not path:  # else the prefix is the one that children get
+                        whole = context_prefix(head, str(doc)) + tail
+                        inner = (whole if doc is None else whole.removeprefix(f"[Nguồn: {doc}]\n[Mục: {path}]\n\n")).strip(" ")
+                    text = tail.strip(" ") if inner is None else inner
+                    composed = unicodedata.normalize("NFC", text)
+                    chunks.append((place(path), len(c["section_name"]), place(head), c["part"], c["parts"], tail, inner, composed if composed != text else None))
+                if chunks:
+                    fields = [dict(zip((*numbers, *strings), c, strict=True)) for c in chunks]
+                    yield pa.RecordBatch.from_pylist([{"doc_id": doc, "source": str(doc), "paths": list(paths), "chunks": fields}], schema)
+
+    fields = ", ".join([*(f"{n}: int" for n in numbers), *(f"{n}: string" for n in strings)])
+    return _gathered(secs).mapInArrow(cut, f"doc_id {kind}, source string, paths array<string>, chunks array<struct<{fields}>>")
+
+
 # -- children --------------------------------------------------------------------------
 
 
@@ -287,6 +332,11 @@ def _packs(items: Column, most: int, gap: int, carry: int) -> Column:
     return F.when(F.size(items) > 0, groups).otherwise(F.array().cast("array<array<string>>"))
 
 
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), where value is made once however often use reads it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def _joined(groups: Column, by: str) -> Column:
     return F.transform(groups, lambda g: F.array_join(g, by))
 
@@ -328,9 +378,9 @@ def merged_blocks(blocks: Column, limits: ChunkLimits = LIMITS, overlap: int = 1
     predecessor if both stay within most_tokens."""
     groups = F.transform(F.sequence(F.lit(1), F.array_max(F.transform(blocks, lambda b: b["chunk_no"])).cast("int")), lambda n: F.transform(F.filter(blocks, lambda b: b["chunk_no"] == n), lambda b: b["content"]))
     o, strings = max(1, overlap), F.array().cast("array<string>")
-    before = lambda i: F.when(i > 0, F.element_at(groups, i)).otherwise(strings)
+    before = lambda all_, i: F.when(i > 0, F.element_at(all_, i)).otherwise(strings)
     last = lambda g: F.slice(g, F.greatest(F.size(g) - o + 1, F.lit(1)), F.lit(o))
-    whole = F.transform(groups, lambda g, i: F.trim(F.array_join(F.concat(last(before(i)), g), " ")))
+    whole = _bound(groups, lambda all_: F.transform(all_, lambda g, i: F.trim(F.array_join(F.concat(last(before(all_, i)), g), " "))))
     cut = F.transform(whole, lambda t: F.struct(F.left(t, F.lit(limits.child)).alias("content"), (F.length(t) > limits.child).alias("truncated")))
 
     def add(out: Column, x: Column) -> Column:
@@ -387,12 +437,24 @@ def nfc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: unicodedata.normalize("NFC", t), na_action="ignore")
 
 
+def _blocks(text: Column) -> Column:
+    return _bound(T.clean_whitespace(text), lambda t: base_blocks(t))
+
+
+def _cuts(composed: DataFrame, embed: Callable[[DataFrame], DataFrame], threshold: float = SIMILARITY) -> DataFrame:
+    """doc_id and nos of composed texts (doc_id, text): for each of its base blocks the
+    number of the chunk it falls into. Blocks' texts are not shuffled."""
+    blocks = embed(chunk_texts(composed, _blocks).withColumnRenamed("chunk_index", "seq"))
+    numbered = boundaries(blocks, threshold).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("seq", "chunk_no"))).alias("b"))
+    return numbered.select("doc_id", F.transform("b", lambda b: b["chunk_no"]).alias("nos"))
+
+
 def semantic_chunks(texts: DataFrame, embed: Callable[[DataFrame], DataFrame], threshold: float = SIMILARITY) -> DataFrame:
     """doc_id, chunk_index, total, content, truncated of texts (doc_id, text): base blocks,
     cut where neighbours' embeddings drop apart, merged. embed adds embedding to rows with
     content. A text without words has no chunks."""
     composed = texts.select("doc_id", nfc("text").alias("text"))
-    blocks = embed(chunk_texts(composed, lambda t: base_blocks(T.clean_whitespace(t))).withColumnRenamed("chunk_index", "seq"))
+    blocks = embed(chunk_texts(composed, _blocks).withColumnRenamed("chunk_index", "seq"))
     numbered = boundaries(blocks, threshold).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("seq", "content", "chunk_no"))).alias("b"))
     merged = numbered.select("doc_id", merged_blocks(F.col("b")).alias("c")).withColumn("total", F.size("c"))
     return merged.select("doc_id", "total", F.posexplode("c").alias("at", "c")).select("doc_id", (F.col("at") + 1).alias("chunk_index"), "total", "c.content", "c.truncated")
@@ -407,19 +469,40 @@ def hierarchy(docs: DataFrame, embed: Callable[[DataFrame], DataFrame] | None) -
     sentences alone where embed is None, and open with the parent's context prefix. Ids
     are hashes of the document and the chunk's place. A text without words has no chunks."""
     rest = [c for c in docs.columns if c not in ("doc_id", "text")]
-    found = parent_chunks(sections(headings(fences(lines(docs.select("doc_id", "text").filter("trim(text) <> ''"))))))
-    named = materialized(found.withColumn("chunk_id", F.sha2(F.concat_ws("#", "doc_id", "chunk_index"), 256)))  # three readers
-    prefix = F.concat(F.lit("[Nguồn: "), F.col("doc_id").cast("string"), F.lit("]\n[Mục: "), F.col("section_path"), F.lit("]\n\n"))
-    named = named.withColumn("prefix", prefix)
-    body = F.when(F.startswith("content", F.col("prefix")), F.substring("content", F.length("prefix") + 1, F.length("content"))).otherwise(F.col("content"))
-    inner = named.select(F.col("chunk_id").alias("doc_id"), F.trim(body).alias("text"))
-    cut = chunk_texts(inner).withColumn("truncated", F.lit(False)) if embed is None else semantic_chunks(inner, embed)
-    parts = named.select(F.col("chunk_id").alias("parent_id"), F.col("doc_id").alias("doc"), "section_path", "section_name", "prefix")
-    children = cut.join(parts, F.col("doc_id") == F.col("parent_id")).select(
-        F.sha2(F.concat_ws("#", "parent_id", "chunk_index"), 256).alias("chunk_id"), "parent_id", F.lit("child").alias("chunk_level"), F.col("doc").alias("doc_id"), "chunk_index", "total", "section_path", "section_name",
-        F.when(F.startswith("content", F.col("prefix")), F.col("content")).otherwise(F.concat("prefix", "content")).alias("content"), "truncated",
+    folded = folded_parents(sections(headings(fences(lines(docs.select("doc_id", "text").filter("trim(text) <> ''"))))))
+    bare = F.coalesce("c.inner", F.trim("c.tail"))
+    if embed is None:
+        of = lambda c: F.transform(fallback(F.col("text")), lambda t: F.struct(t.alias("content"), F.lit(False).alias("truncated")))
+    else:
+        folded = materialized(folded, compact=True)  # two readers
+        each = folded.select("doc_id", F.posexplode("chunks").alias("at", "c"))
+        bare = F.coalesce("c.composed", bare)
+        cuts = _cuts(each.select(F.struct("doc_id", "at").alias("doc_id"), bare.alias("text")), embed)
+        cuts = cuts.groupBy(F.col("doc_id.doc_id").alias("of")).agg(F.map_from_entries(F.collect_list(F.struct("doc_id.at", "nos"))).alias("cuts"))
+        of = lambda c: F.when(c.isNotNull(), _bound(F.arrays_zip(_blocks(F.col("text")).alias("content"), c.alias("chunk_no")), lambda b: merged_blocks(b)))
+    if rest:
+        beside = docs.select("doc_id", *[F.col(c).alias(f"_{i}") for i, c in enumerate(rest)])
+        folded = folded.join(beside if embed is None else beside.join(cuts, F.col("doc_id") == F.col("of"), "left"), "doc_id")
+    elif embed is not None:
+        folded = folded.join(cuts, F.col("doc_id").eqNullSafe(F.col("of")), "left")
+    # what repeats a path is made last, row by row: neither written nor shuffled
+    kept, inherited = ["cuts"] * (embed is not None), [f"_{i}" for i in range(len(rest))]
+    each = folded.select("doc_id", *inherited, *kept, "source", "paths", F.size("chunks").alias("total"), F.posexplode("chunks").alias("at", "c"))
+    each = each.withColumn("section_path", F.get("paths", F.col("c.path"))).withColumn("head", F.get("paths", F.col("c.head"))).drop("paths")
+    head = F.concat(F.lit("[Nguồn: "), "source", F.when(F.col("head") != "", F.concat(F.lit("]\n[Mục: "), "head")).otherwise(""), F.lit("]\n\n"))
+    index = F.col("at") + 1
+    named = each.select("doc_id", *inherited, "total", index.alias("chunk_index"), F.sha2(F.concat_ws("#", "doc_id", index), 256).alias("id"), "section_path", F.right("section_path", "c.name").alias("section_name"), F.concat(head, "c.tail").alias("content"), bare.alias("text"), *(F.element_at(c, F.col("at")).alias("nos") for c in kept))
+    named = named.withColumn("prefix", F.concat(F.lit("[Nguồn: "), F.col("doc_id").cast("string"), F.lit("]\n[Mục: "), F.col("section_path"), F.lit("]\n\n")))
+    named = named.withColumn("cut", F.coalesce(of(F.col("nos") if kept else None), F.array().cast("array<struct<content:string,truncated:boolean>>"))).drop("text", "nos")
+    ids = F.transform(F.sequence(F.lit(1), F.size("cut")), lambda i: F.sha2(F.concat_ws("#", "id", i), 256))
+    named = named.withColumn("ids", F.when(F.size("cut") > 0, ids).otherwise(F.array().cast("array<string>")))
+    rows = named.select("*", F.explode(F.sequence(F.lit(0), F.size("cut"))).alias("n")).withColumn("child", F.get("cut", F.col("n") - 1)).drop("cut")
+    parent = F.col("n") == 0
+    pick = lambda one, other, name: F.when(parent, one).otherwise(other).alias(name)
+    with_prefix = F.when(F.startswith("child.content", F.col("prefix")), F.col("child.content")).otherwise(F.concat("prefix", "child.content"))
+    every = rows.select(
+        pick(F.col("id"), F.get("ids", F.col("n") - 1), "chunk_id"), pick(F.lit(None), F.col("id"), "parent_id"), pick(F.lit("parent"), F.lit("child"), "chunk_level"), "doc_id", pick(F.col("chunk_index"), F.col("n"), "chunk_index"),
+        pick(F.col("total"), F.size("ids"), "total"), "section_path", "section_name", pick(F.col("content"), with_prefix, "content"), pick(F.lit(False), F.col("child.truncated"), "truncated"),
+        pick(F.col("ids"), F.array().cast("array<string>"), "children_ids"), *[F.col(f"_{i}").alias(c) for i, c in enumerate(rest)],
     )
-    kept = children.groupBy("parent_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("chunk_index", "chunk_id"))), lambda x: x["chunk_id"]).alias("children_ids"))
-    parents_ = named.join(kept.withColumnRenamed("parent_id", "chunk_id"), "chunk_id", "left").select("chunk_id", F.lit(None).cast("string").alias("parent_id"), F.lit("parent").alias("chunk_level"), "doc_id", "chunk_index", "total", "section_path", "section_name", "content", F.lit(False).alias("truncated"), F.coalesce("children_ids", F.array().cast("array<string>")).alias("children_ids"))
-    every = parents_.unionByName(children.withColumn("children_ids", F.array().cast("array<string>")))
-    return every.join(docs.select("doc_id", *rest), "doc_id") if rest else every
+    return every.select("doc_id", *[c for c in every.columns if c != "doc_id"]) if rest else every

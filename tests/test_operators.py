@@ -190,6 +190,24 @@ def test_parents_and_children(spark, by_meaning):
     assert len({r.chunk_id for r in got}) == len(got)
 
 
+@pytest.mark.parametrize("by_meaning", [True, False])
+def test_long_paths_are_neither_written_nor_shuffled(spark, monkeypatch, by_meaning):
+    """Headings without body are joined into one path that heads every part."""
+    import re
+
+    text = "\n".join(f"### mục số {i} của một văn bản dài." for i in range(1200))
+    docs = spark.createDataFrame([(1, text, "s")], "doc_id long, text string, source string")
+    held, keep = [], chunking.materialized
+    monkeypatch.setattr(chunking, "materialized", lambda df, **how: held.append(keep(df, **how)) or held[-1])
+    got = chunking.hierarchy(docs, providers.with_embeddings if by_meaning else None)
+    total, n = got.agg(F.sum(F.length("content")), F.count("*")).first()
+    assert n > 100 and total > 100 * len(text)
+    assert all(df.agg(F.sum(F.length(F.to_json(F.struct("*"))))).first()[0] < 5 * len(text) for df in held)
+    plan = got._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    last = next(i for i, line in enumerate(plan) if "Generate explode(sequence(0" in line)
+    assert not any(re.match(r"[ :+-]*(Join|Aggregate|Window|Repartition)", line) for line in plan[:last])
+
+
 def test_yaml_header_forms():
     parse = headers.parse_yaml_header
     assert parse("no header") is None and parse("---\ntitle: T\n---") is None
